@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import decontaminate, quality_rules, simhash, url_filter
+from loomwright.llm import decontaminate, html_text, packing, pii, quality_rules, rule_ensemble, simhash, url_filter
 
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -22,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ensemble = rule_ensemble.learn(documents, table(spark, sf_dir, "labels").filter(~held_out()))
+    return rule_ensemble.score_quality(documents, ensemble).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_of(F.col("fingerprint")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -32,6 +42,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("spans", pii.of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    base = pii.spans_text(F.filter("spans", pii.of_kind(*pii.KINDS)))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -42,7 +70,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op4_quality_rules, op9_url_filter, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_rule_ensemble, op3_simhash, op4_quality_rules, op5_packing, op6_html_text, op8_pii, op9_url_filter, op10_decontaminate)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"

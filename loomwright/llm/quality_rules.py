@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import WORD, let, unused, words_of
 
 #: Rows of the sample that orders the cascade; it decides no row's fate.
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 200
 #: Words in a window of repeat_words.
 WINDOW = 5
 
@@ -90,11 +90,12 @@ METHOD_RULES = [
 
 def plan_cascade(df: DataFrame, rules: list[QualityRule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[QualityRule]:
     """rules, those first that reject the most sampled rows for each second they take."""
-    sample = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(sample_rows).withColumn("w", words_of(F.col("t"))).persist()
+    texts = [r["t"] for r in df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).take(sample_rows)]
+    if not texts:
+        return list(rules)
+    sample = df.sparkSession.range(1).select(F.explode(F.lit(texts)).alias("t")).withColumn("w", words_of(F.col("t"))).persist()
     try:
-        n = sample.count()
-        if n == 0:
-            return list(rules)
+        sample.count()
         worth = []
         for k, rule in enumerate(rules):
             probe = sample.agg(F.sum(rule.rejects(F.col("t"), F.col("w")).cast("long")).alias("n"))
