@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import decontaminate, html_text, packing, pii, quality_rules, rule_ensemble, simhash, url_filter
+from loomwright.llm import decontaminate, html_text, line_dedup, packing, pii, quality_rules, rule_ensemble, simhash, url_filter
 
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many of them match an earlier line of the corpus, and which (from 0)."""
+    report = line_dedup.line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return report.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
@@ -70,7 +76,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_rule_ensemble, op3_simhash, op4_quality_rules, op5_packing, op6_html_text, op8_pii, op9_url_filter, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_rule_ensemble, op3_simhash, op4_quality_rules, op5_packing, op6_html_text, op8_pii, op9_url_filter, op10_decontaminate)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
