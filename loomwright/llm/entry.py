@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import decontaminate, html_text, line_dedup, packing, pii, quality_rules, rule_ensemble, simhash, url_filter
+from loomwright.llm import decontaminate, html_text, line_dedup, packing, pii, quality_rules, rule_ensemble, simhash, suffix_dedup, url_filter
 
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -59,6 +59,11 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", suffix_dedup.removed_bytes(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("spans", pii.of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
@@ -76,7 +81,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_rule_ensemble, op3_simhash, op4_quality_rules, op5_packing, op6_html_text, op8_pii, op9_url_filter, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_rule_ensemble, op3_simhash, op4_quality_rules, op5_packing, op6_html_text, op7_suffix_dedup, op8_pii, op9_url_filter, op10_decontaminate)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
