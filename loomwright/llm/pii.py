@@ -35,6 +35,8 @@ DIGIT = re.compile(r"[0-9]")
 WORDS = re.compile(rf"[^{SPACE}]+")
 #: Stripped from both ends of a word.
 PUNCTUATION = ".,;:!?\"'()[]{}|#*$%&<>"
+#: Terms that are broadcast, at most (8 bytes each), so that the others are not counted at all; beyond that they meet in a join.
+BROADCAST_TERMS = 2_000_000
 #: Words on each side of an entity that count as near; documents in which a term needs to be with it; least share of its documents.
 NEAR, LEAST_TEXTS, LEAST_SHARE = 10, 2, 0.5
 
@@ -121,11 +123,12 @@ def find_entities(df: DataFrame, text: str = "text", spans: str = "spans") -> Da
     return df.mapInArrow(lambda batches: _scan(batches, text, spans), T.StructType([*df.schema.fields, T.StructField(spans, SPAN)]))
 
 
-def term_documents(df: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n_term): over all documents, how many hold each term (by its hash)."""
+def term_documents(df: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n_term): over all documents, how many hold each wanted term (by its hash)."""
     words = F.split(F.coalesce(F.col(text), F.lit("")), rf"[{SPACE}]+")
     terms = F.transform(words, lambda w: F.xxhash64(F.btrim(w, F.lit(PUNCTUATION))))
-    return df.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    return df.select(F.explode(F.array_distinct(terms)).alias("term")).join(near, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
 
 
 def disclosing_terms(found: DataFrame, corpus: DataFrame, text: str, spans: str, key: str) -> DataFrame:
@@ -144,6 +147,7 @@ def disclosing_terms(found: DataFrame, corpus: DataFrame, text: str, spans: str,
     pairs = saved(found.select(key, text, spans).mapInArrow(near, "k long, term long, entity long, kind string, whole long"), "pii-pairs")
     per_pair = pairs.groupBy("term", "entity", "kind").agg(F.count("*").alias("n_both"), F.min("whole").alias("one"), F.max("whole").alias("other"))
     per_pair = per_pair.filter(F.col("one") != F.col("other"))  # two different texts at least
+    per_pair = saved(per_pair.drop("one", "other"), "pii-terms")
     per_entity = found.select(F.explode(spans).alias("s"), key, text)
     value = F.substring(F.col(text), (F.col("s.start") + 1).cast("int"), (F.col("s.end") - F.col("s.start")).cast("int"))
     value = F.when(F.col("s.kind").isin("email", "ip"), F.lower(value)).otherwise(F.regexp_replace(value, "[^0-9]", ""))
@@ -151,7 +155,7 @@ def disclosing_terms(found: DataFrame, corpus: DataFrame, text: str, spans: str,
     with_entity = per_entity.groupBy("entity").agg(F.count("*").alias("n_entity"))
     with_kind = per_entity.select(key, "kind").distinct().groupBy("kind").agg(F.count("*").alias("n_kind"))
     documents = corpus.agg(F.count("*").alias("n_all"))
-    scored = per_pair.join(term_documents(corpus, text), "term").join(with_entity, "entity").join(with_kind, "kind").withColumn("n_all", documents.scalar())
+    scored = per_pair.join(term_documents(corpus, per_pair.select("term").distinct(), text), "term").join(with_entity, "entity").join(with_kind, "kind").withColumn("n_all", documents.scalar())
     bits = F.log2(F.col("n_all") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     general = F.log2(F.col("n_all") / F.col("n_kind"))
     told = scored.filter((bits > general) & (F.col("n_both") >= LEAST_SHARE * F.col("n_term"))).select("term", "entity")
