@@ -86,8 +86,8 @@ def _spend(requests: pd.DataFrame, per_minute: int, state: dict) -> list[bool]:
     return out
 
 
-def token_bucket_stream(events: DataFrame, key: str, ts: str, order: str, per_minute: int, idle_minutes: int = 10) -> DataFrame:
-    """token_bucket over a stream; a key's bucket, full again by then, is forgotten after idle_minutes."""
+def token_bucket_stream(events: DataFrame, key: str, ts: str, order: str, per_minute: int, idle_minutes: int | None = None) -> DataFrame:
+    """token_bucket over a stream. With idle_minutes, for a stream that never ends, a key's bucket, full again by then, is forgotten (a drained stream would wait for that)."""
     wanted = events.select(F.col(key).alias("key"), _micros(ts).alias("at"), F.col(order).alias("id"))
 
     def spend(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -98,10 +98,11 @@ def token_bucket_stream(events: DataFrame, key: str, ts: str, order: str, per_mi
         rows = pd.concat(list(parts)).sort_values(["at", "id"])
         allowed = _spend(rows, per_minute, held)
         state.update((held["tokens"], held["last"]))
-        state.setTimeoutDuration(idle_minutes * 60_000)
+        if idle_minutes is not None:
+            state.setTimeoutDuration(idle_minutes * 60_000)
         yield pd.DataFrame({"key": rows["key"], "id": rows["id"], "allowed": allowed})
 
-    return wanted.groupBy("key").applyInPandasWithState(spend, "key long, id long, allowed boolean", "tokens long, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return wanted.groupBy("key").applyInPandasWithState(spend, "key long, id long, allowed boolean", "tokens long, last long", "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def counts_stream(events: DataFrame, ts: str, kind: str, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
