@@ -24,7 +24,8 @@ def index(chunks: DataFrame) -> DataFrame:
     """
     symbol = F.coalesce("symbol", F.lit(""))
     a = lexemes(F.concat_ws(" ", symbol, camel_split(symbol), "file_path"))
-    rest = F.concat(lexemes(F.col("content")), lexemes(camel_split(F.col("content"))))
+    plain = F.transform(F.array(lexemes(F.col("content"))), lambda w: F.when(F.col("content").rlike("[a-z0-9][A-Z]"), F.concat(w, lexemes(camel_split(F.col("content"))))).otherwise(F.concat(w, w)))
+    rest = F.element_at(plain, 1)
     out = chunks.select("repo_id", "chunk_id", "language", "file_path", a.alias("a"), rest.alias("rest"))
     out = out.select("repo_id", "chunk_id", "language", "file_path", F.concat("a", "rest").alias("words"), F.size("a").alias("n_a"))
     return out.withColumn("dl", F.size(F.array_distinct("words")))
@@ -36,9 +37,9 @@ def corpus_stats(indexed: DataFrame) -> DataFrame:
 
 
 def question_lexemes(terms: DataFrame) -> DataFrame:
-    """(qid, repo_id, lexeme) from questions (qid, repo_id, terms), once each."""
-    words = F.flatten(F.transform("terms", lambda t: F.concat(F.when(t["whole"].isNotNull(), F.array(t["whole"])).otherwise(F.array().cast("array<string>")), t["phrase"])))
-    return terms.select("qid", "repo_id", F.explode(F.array_distinct(words)).alias("lexeme"))
+    """(qid, repo_id, lexeme, whole) from questions (qid, repo_id, terms), once each; whole: the lexeme alone is a term."""
+    each = F.flatten(F.transform("terms", lambda t: F.concat(F.when(t["whole"].isNotNull(), F.array(F.struct(t["whole"].alias("lexeme"), F.lit(True).alias("whole")))).otherwise(F.array().cast("array<struct<lexeme:string,whole:boolean>>")), F.transform(t["phrase"], lambda w: F.struct(w.alias("lexeme"), F.lit(False).alias("whole"))))))
+    return terms.select("qid", "repo_id", F.inline(each)).groupBy("qid", "repo_id", "lexeme").agg(F.max("whole").alias("whole"))
 
 
 def term_frequency(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -53,13 +54,14 @@ def document_frequency(tf: DataFrame) -> DataFrame:
 
 
 def bm25(indexed: DataFrame, terms: DataFrame) -> DataFrame:
-    """(qid, repo_id, chunk_id, score), unfiltered: the statistics see every chunk of the repository."""
+    """(qid, repo_id, chunk_id, score, whole), unfiltered: the statistics see every chunk of the repository. whole: some term of one word matches."""
     wanted = question_lexemes(terms)
-    tf = term_frequency(indexed, wanted)
-    scored = tf.join(document_frequency(tf), ["repo_id", "lexeme"]).join(corpus_stats(indexed), "repo_id")
+    tf = term_frequency(indexed, wanted).withColumn("df", F.count("*").over(Window.partitionBy("repo_id", "lexeme")))
+    scored = tf.join(corpus_stats(indexed), "repo_id")
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.select("repo_id", "chunk_id", "lexeme", part.alias("part")).join(wanted, ["repo_id", "lexeme"]).groupBy("qid", "repo_id", "chunk_id").agg(F.sum("part").alias("score"))
+    met = scored.select("repo_id", "chunk_id", "lexeme", part.alias("part")).join(wanted, ["repo_id", "lexeme"])
+    return met.groupBy("qid", "repo_id", "chunk_id").agg(F.sum("part").alias("score"), F.max("whole").alias("whole"))
 
 
 def has_phrase(words: Column, phrase: Column) -> Column:
@@ -69,19 +71,28 @@ def has_phrase(words: Column, phrase: Column) -> Column:
     return (F.size(words) >= n) & (n > 0) & F.exists(starts, lambda i: F.slice(words, i, n) == phrase)
 
 
-def matches_any(words: Column, terms: Column) -> Column:
-    """Whether any term matches as a whole: its word, or its phrase."""
-    return F.exists(terms, lambda t: F.coalesce(F.array_contains(words, t["whole"]), F.lit(False)) | F.when(F.size(t["phrase"]) > 0, has_phrase(words, t["phrase"])).otherwise(False))
+def phrase_matches(indexed: DataFrame, terms: DataFrame, scored: DataFrame) -> DataFrame:
+    """(qid, chunk_id) of scored chunks, without a term of one word, that have a phrase of the question. Only these read words again."""
+    phrases = F.filter(F.transform("terms", lambda t: t["phrase"]), lambda p: F.size(p) > 0)
+    asked = terms.select("qid", phrases.alias("phrases")).filter(F.size("phrases") > 0)
+    open_ = scored.filter(~F.col("whole")).select("qid", "repo_id", "chunk_id").join(F.broadcast(asked), "qid")
+    met = open_.join(indexed.select("repo_id", "chunk_id", "words"), ["repo_id", "chunk_id"])
+    return met.filter(F.exists("phrases", lambda p: has_phrase(F.col("words"), p))).select("qid", "chunk_id")
 
 
 def search(indexed: DataFrame, terms: DataFrame, k: int = 20, languages: list[str] | None = None, path_prefix: str = "") -> DataFrame:
     """(qid, rank, chunk_id, score): boosted where any term matches as a whole; the filters remove chunks, they never change a score."""
     scored = bm25(indexed, terms)
-    held = indexed.filter(F.col("file_path").startswith(path_prefix)) if path_prefix else indexed
-    held = held.filter(F.col("language").isin(languages)) if languages else held
-    met = scored.join(held.select("repo_id", "chunk_id", "words"), ["repo_id", "chunk_id"]).join(F.broadcast(terms.select("qid", "terms")), "qid")
-    score = F.round(F.col("score") * F.when(matches_any(F.col("words"), F.col("terms")), PHRASE_BOOST).otherwise(1.0), DIGITS)
-    ranked = met.select("qid", "chunk_id", score.alias("score"))
+    phrased = phrase_matches(indexed, terms, scored).withColumn("phrased", F.lit(True))
+    if path_prefix or languages:
+        held = indexed.filter(F.col("file_path").startswith(path_prefix)) if path_prefix else indexed
+        held = held.filter(F.col("language").isin(languages)) if languages else held
+        kept = scored.join(held.select("repo_id", "chunk_id"), ["repo_id", "chunk_id"], "left_semi")
+    else:
+        kept = scored
+    boosted = F.col("whole") | F.coalesce("phrased", F.lit(False))
+    score = F.round(F.col("score") * F.when(boosted, PHRASE_BOOST).otherwise(1.0), DIGITS)
+    ranked = kept.join(phrased, ["qid", "chunk_id"], "left").select("qid", "chunk_id", score.alias("score"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")))
     return ranked.filter(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
 
@@ -93,7 +104,7 @@ def cover_density(indexed: DataFrame, terms: DataFrame, k: int = 20) -> DataFram
     the sum is divided by 1 + log of the chunk's length.
     """
     wanted = question_lexemes(terms)
-    at = indexed.select("repo_id", "chunk_id", "dl", F.posexplode("words").alias("pos", "lexeme")).join(wanted, ["repo_id", "lexeme"])
+    at = indexed.select("repo_id", "chunk_id", "dl", F.posexplode("words").alias("pos", "lexeme")).join(wanted.drop("whole"), ["repo_id", "lexeme"])
     before = Window.partitionBy("qid", "chunk_id").orderBy("pos")
     steps = at.withColumns({"last": F.lag("lexeme").over(before), "gap": F.col("pos") - F.lag("pos").over(before)})
     gain = F.when(F.col("last") != F.col("lexeme"), 1.0 / F.col("gap")).otherwise(F.lit(0.0))
