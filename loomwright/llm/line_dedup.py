@@ -5,10 +5,10 @@ if a line before it, anywhere in the corpus, matches it; before means: the lesse
 
 - Lines with equal sets collapse first; each set stands where it occurs first. Its later occurrences are removed.
 - The words of each set are ordered from rare to frequent, by counts over all documents folded into BUCKETS counters. Matching sets
-  share one of their first words (prefix filter). Only pairs that can still reach the similarity, by their sizes and by
-  the places of the shared word, are compared (length and positional filters), on the words themselves.
-- First each set meets the earliest set in each of its word groups alone, which settles families of many variants of one line
-  in linear time. The sets that this leaves open meet all earlier sets of their groups.
+  share one of their first words (prefix filter). Only pairs that can still reach the similarity, by their sizes, by the
+  places of the shared word (length and positional filters) and by 128-bit signatures, are compared, on the words themselves.
+- First each set meets one set alone: of the earliest and the last before it in its word groups, the likeliest to match.
+  That settles families of many variants of a line in linear time. The sets that this leaves open meet all earlier sets.
 
 Defined results
 - Lines of fewer than LEAST_WORDS different words are never removed: they show nothing. A null text has one empty line.
@@ -28,16 +28,25 @@ from loomwright.llm.common import let, saved, unused, words_of
 SIMILAR = (4, 5)
 LEAST_WORDS = 5
 BUCKETS = 1 << 18
+#: Sets before each in a word group that it may meet first.
+LAGS = 1
 #: Candidate lines whose places are broadcast, at most (about 60 bytes each); beyond that their texts are joined by a shuffle.
 BROADCAST_LINES = 500_000
 
 
 def line_words(line: Column) -> Column:
-    return F.array_distinct(words_of(line))
+    return F.array_distinct(_words(line))
+
+
+def _words(line: Column) -> Column:
+    """Lines whose words are parted by single spaces, as most are, take the faster way."""
+    return F.when(line.rlike(r"[\x09-\x0D]|  |^ | $|^$"), words_of(line)).otherwise(F.split(line, " "))
 
 
 def eligible(line: Column) -> Column:
-    return F.size(line_words(line)) >= LEAST_WORDS
+    """LEAST_WORDS different words or more; most lines show that within their first dozen."""
+    first = F.array_distinct(F.filter(F.slice(F.split(line, " ", 13), F.lit(1), F.lit(12)), lambda w: ~w.rlike(r"[\x09-\x0D]|^$")))
+    return (F.size(first) >= LEAST_WORDS) | (F.size(line_words(line)) >= LEAST_WORDS)
 
 
 def _documents(df: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -48,75 +57,107 @@ def _documents(df: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 def _rarity(documents: DataFrame) -> bytes:
     """Counts of all words, folded into BUCKETS counters: a byte for each, rising with the logarithm. Its size is fixed."""
-    buckets = documents.select(F.explode(F.transform(words_of(F.col("t")), _bucket)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    words = F.split(F.replace("t", F.lit("\n"), F.lit(" ")), " ")
+    buckets = documents.select(F.explode(F.transform(words, lambda w: _bucket(F.xxhash64(w)))).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     every = documents.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     step = F.least(F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0)))), F.lit(126)) + 1
     counts = every.join(buckets, "b", "left").select(F.struct("b", step.alias("c")).alias("x"))
     return counts.agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.char(x["c"])), "").alias("c")).first()["c"].encode()
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def _bucket(hash_: Column) -> Column:
+    """A counter for the low bits of a word's hash; the signature takes the next ones, and the upper half names the word."""
+    return hash_.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def _prefix(words: Column, counts: bytes) -> Column:
-    """The rarest words, as 32-bit hashes, of which a matching set must have one: all but SIMILAR of them, and one more."""
+    """Of the hashes of a set's words, the rarest, as their upper halves, of which a matching set must have one: all but SIMILAR of them, and one more."""
     p, q = SIMILAR
-    rarity = lambda w: F.ascii(F.substring(F.lit(counts), _bucket(w) + 1, F.lit(1)).cast("string")).cast("long")
-    ordered = F.sort_array(F.transform(words, lambda w: rarity(w) * F.lit(1 << 32) + F.hash(w).cast("long") + F.lit(1 << 31)))
+    rarity = lambda h: F.ascii(F.substring(F.lit(counts), _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
+    ordered = F.sort_array(F.transform(words, lambda h: F.shiftleft(rarity(h), 32).bitwiseOR(F.shiftrightunsigned(h, 32))))
     size = F.size(words)
-    return F.transform(F.slice(ordered, F.lit(1), size - F.ceil(size * p / q).cast("int") + 1), lambda x: (x % F.lit(1 << 32)).cast("long"))
+    return F.transform(F.slice(ordered, F.lit(1), size - F.ceil(size * p / q).cast("int") + 1), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"))
+
+
+def _signature(words: Column) -> Column:
+    """128 bits, each flipped by the words that fall on it: two sets differ in as many words at least as their signatures in bits."""
+
+    def half(k: int) -> Column:
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int"))
+        mine = lambda h: F.shiftrightunsigned(h, 26).bitwiseAND(F.lit(1)) == k
+        return F.aggregate(words, F.lit(0).cast("long"), lambda s, h: F.when(mine(h), s.bitwiseXOR(bit(h))).otherwise(s))
+
+    return F.struct(half(0).alias("a"), half(1).alias("b"))
+
+
+def _differences(a: Column, b: Column) -> Column:
+    return F.bit_count(a["a"].bitwiseXOR(b["a"])) + F.bit_count(a["b"].bitwiseXOR(b["b"]))
 
 
 def line_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The distinct sets of the eligible lines, where each occurs first: s (rising from first to last), id, h, line, n, prefix."""
+    """The distinct sets of the eligible lines, where each occurs first: s (rising from first to last), id, h, line, n, signature, prefix.
+
+    64-bit hashes stand for the words; two of them name a set, one of its ordered words and one of them all.
+    """
     documents = _documents(df, text, doc_id)
     counts = _rarity(documents)
-    lines = documents.select("id", "h", F.posexplode(F.split("t", "\n", -1)).alias("line", "l")).withColumn("w", line_words(F.col("l"))).filter(F.size("w") >= LEAST_WORDS)
-    joined = F.array_join(F.sort_array("w"), " ")
-    first = F.struct(F.col("id").isNull().alias("none"), "id", "h", "line", F.size("w").alias("n"), _prefix(F.col("w"), counts).alias("prefix"))
-    keyed = lines.select(let(joined, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("set"), first.alias("first"))
-    sets = keyed.groupBy("set.a", "set.b").agg(F.min("first").alias("first")).select("first.*")
-    sets = sets.orderBy("none", "id", "h", "line").select(F.monotonically_increasing_id().alias("s"), "id", "h", "line", "n", "prefix")
+    hashes = lambda x: F.array_distinct(F.transform(_words(x), lambda w: F.xxhash64(w)))
+    each = F.transform(F.split("t", "\n", -1), lambda x, k: F.struct(k.alias("line"), hashes(x).alias("w")))
+    lines = documents.select("id", "h", F.inline(F.filter(each, lambda x: F.size(x["w"]) >= LEAST_WORDS)))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "h", "line", F.size("w").alias("n"), _signature(F.col("w")).alias("signature"), _prefix(F.col("w"), counts).alias("prefix"))
+    set_ = F.struct(F.xxhash64(F.sort_array("w")).alias("a"), F.aggregate("w", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(h)).alias("b"))
+    sets = lines.select(set_.alias("set"), first.alias("first")).groupBy("set.a", "set.b").agg(F.min("first").alias("first")).select("first.*")
+    sets = sets.orderBy("none", "id", "h", "line").select(F.monotonically_increasing_id().alias("s"), "id", "h", "line", "n", "signature", "prefix")
     return saved(sets, "lines")
 
 
-def _may_match(n: Column, at: Column, m: Column, to: Column) -> Column:
-    """Length filter, and positional filter at a shared word: the rest after it must still allow the overlap."""
+def _may_match(a: Column, b: Column) -> Column:
+    """Of two sets at a shared word (structs of s, n, signature and at): length filter; positional filter, the words after it must still
+    allow the overlap; and no more differences in the signatures than the sets may have."""
     p, q = SIMILAR
-    within = (q * F.least(n, m) >= p * F.greatest(n, m))
-    return within & ((p + q) * (1 + F.least(n - at, m - to) - 1) >= p * (n + m))
+    both = a["n"] + b["n"]
+    length = q * F.least(a["n"], b["n"]) >= p * F.greatest(a["n"], b["n"])
+    place = (p + q) * F.least(a["n"] - a["at"], b["n"] - b["at"]) >= p * both
+    return length & place & ((p + q) * _differences(a["signature"], b["signature"]) <= (q - p) * both)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, text: str, doc_id: str) -> DataFrame:
     """The distinct a of the pairs (a, b) whose lines match."""
     pairs = saved(pairs.distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    places = saved(sets.join(wanted, "s", "left_semi").select("s", F.col("id").alias("i"), F.col("h").alias("g"), F.col("line").alias("k")), "places")
-    near = F.broadcast(places) if places.count() <= BROADCAST_LINES else places
-    lines = _documents(df, text, doc_id).select("id", "h", F.posexplode(F.split("t", "\n", -1)).alias("line", "l"))
-    found = lines.join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")) & (F.col("line") == F.col("k"))).select("s", line_words(F.col("l")).alias("w"))
-    found = saved(found, "found")
+    places = saved(sets.join(wanted, "s", "left_semi").select("s", "id", "h", "line"), "places")
+    by_document = places.groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_list(F.struct("line", "s")).alias("at"))
+    near = F.broadcast(by_document) if places.count() <= BROADCAST_LINES else by_document
+    met = _documents(df, text, doc_id).join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
+    lines = F.split("t", "\n", -1)
+    found = saved(met.select(F.inline(let(lines, lambda all_: F.transform("at", lambda x: F.struct(x["s"].alias("s"), all_[x["line"]].alias("l")))))), "found")
+    both = pairs.join(found.select(F.col("s").alias("a"), F.col("l").alias("la")), "a").join(found.select(F.col("s").alias("b"), F.col("l").alias("lb")), "b")
     p, q = SIMILAR
-    both = pairs.join(found.select(F.col("s").alias("a"), F.col("w").alias("wa")), "a").join(found.select(F.col("s").alias("b"), F.col("w").alias("wb")), "b")
-    return both.filter((p + q) * F.size(F.array_intersect("wa", "wb")) >= p * (F.size("wa") + F.size("wb"))).select(F.col("a").alias("s")).distinct()
+    alike = lambda x, y: (p + q) * F.size(F.array_intersect(x, y)) >= p * (F.size(x) + F.size(y))
+    match = let(line_words(F.col("la")), lambda x: let(line_words(F.col("lb")), lambda y: alike(x, y)))
+    return both.filter(match).select(F.col("a").alias("s")).distinct()
 
 
 def matched_sets(df: DataFrame, sets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """s of each set that an earlier set matches."""
 
-    def by_word(of: DataFrame) -> DataFrame:
-        return of.select("s", "n", F.posexplode("prefix").alias("at", "word"))
-
-    words = by_word(sets)
-    earliest = Window.partitionBy("word").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = words.withColumn("e", F.first(F.struct("s", "n", "at")).over(earliest)).filter(F.col("s") > F.col("e.s"))
-    met = met.filter(_may_match(F.col("n"), F.col("at"), F.col("e.n"), F.col("e.at"))).select(F.col("s").alias("a"), F.col("e.s").alias("b"))
-    settled = saved(_verified(met, sets, df, text, doc_id), "settled")
-    open_ = by_word(sets.join(settled, "s", "left_anti"))
-    earlier = words.select(F.col("s").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), "word")
-    pairs = open_.join(earlier, (open_["word"] == earlier["word"]) & (F.col("b") < F.col("s")) & _may_match(F.col("n"), F.col("at"), F.col("m"), F.col("to"))).select(F.col("s").alias("a"), "b")
-    return settled.union(_verified(pairs, sets, df, text, doc_id))
+    def by_word(of: DataFrame, *more: str) -> DataFrame:
+        rows = of.select("s", "n", "signature", *more, F.posexplode("prefix").alias("at", "word"))
+        return rows.select("word", F.struct("s", "n", "signature", "at").alias("x"), *more)
+
+    # Each set first meets one other: of the earliest and the last before it in its word groups, the one whose signature is nearest.
+    group = Window.partitionBy("word").orderBy("x.s")
+    near = F.array(F.first("x").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow)), *[F.lag("x", k).over(group) for k in range(1, LAGS + 1)])
+    met = by_word(sets).withColumn("near", near).select("x", F.explode("near").alias("e")).filter((F.col("x.s") > F.col("e.s")) & _may_match(F.col("x"), F.col("e")))
+    nearest = met.groupBy(F.col("x.s").alias("a")).agg(F.min_by("e.s", _differences(F.col("x.signature"), F.col("e.signature"))).alias("b"))
+    settled = saved(_verified(nearest, sets, df, text, doc_id), "settled")
+    flagged = sets.join(settled.withColumn("open", F.lit(0)), "s", "left").withColumn("open", F.coalesce("open", F.lit(1)))
+    words = by_word(flagged, "open")
+    left, right = words.alias("l"), words.alias("r")
+    # Open sets alone look for matches. The test takes both sides, so that one shuffle of the words serves for both.
+    open_ = F.col("l.open") * F.col("r.x.n") > F.col("r.open")
+    pairs = left.join(right, (F.col("l.word") == F.col("r.word")) & (F.col("r.x.s") < F.col("l.x.s")) & open_ & _may_match(F.col("l.x"), F.col("r.x")))
+    return settled.union(_verified(pairs.select(F.col("l.x.s").alias("a"), F.col("r.x.s").alias("b")), sets, df, text, doc_id))
 
 
 def kept_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
