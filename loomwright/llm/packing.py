@@ -184,7 +184,6 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_i
     tokens = tokens.withColumn("lane", F.pmod(F.xxhash64("doc_id", "n", F.crc32("ids")), F.lit(lanes)))
     held = tokens.groupBy("lane", "source").agg(F.sum("n").alias("n"))
     plan = _lane_plan(held, total, targets)
-    item = np.dtype(encoder(tokenizer).kind)
     columns = PIECES.format(kind)
     places = Places(total, window)
 
@@ -193,7 +192,7 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_i
         queues = {s: list(zip(part.index.tolist(), part["n"].tolist(), strict=True)) for s, part in docs.groupby("source")}
         owed = dict(zip(state["source"], state["share"] * state["first"] - state["given"], strict=True))
         found = fill(queues, dict(zip(state["source"], state["share"], strict=True)), owed, int(state["first"].iloc[0]) if len(state) else 0, places, least_piece)
-        wide = [memoryview(np.frombuffer(x, item).astype("<u4")) for x in docs["ids"]]
+        wide = [memoryview(np.frombuffer(x, f"<u{len(x) // n}").astype("<u4")) for x, n in zip(docs["ids"], docs["n"], strict=True)]
         rows = pd.DataFrame(found, columns=["doc", "start", "length", "sequence_id", "offset"], dtype="int64")
         crcs = [zlib.crc32(wide[doc][a : a + n]) for doc, a, n, _, _ in found]
         of = docs.loc[rows["doc"]].reset_index(drop=True)
