@@ -1,7 +1,7 @@
 """Personal data: patterns find the protected entities; corpus co-occurrence finds the terms that give them away.
 
-A term is a word without the punctuation around it. For each term that stands near an entity, all documents are counted:
-those with the term, with the entity, with both. The term discloses the entity if its pointwise mutual information with
+A term is a word without the punctuation around it. For each term of a document with an entity, however far from it, whole documents
+are counted: those with the term, with the entity, with both. The term discloses the entity if its pointwise mutual information with
 it exceeds the information of the entity's generalisation (its kind), and the entity is likelier than not where the term is.
 One text alone shows nothing, however often it was copied: LEAST_TEXTS different texts must have both. Such terms are marked in
 every document that holds the entity, and ``sanitise`` replaces entities and terms by their generalisation.
@@ -37,8 +37,8 @@ WORDS = re.compile(rf"[^{SPACE}]+")
 PUNCTUATION = ".,;:!?\"'()[]{}|#*$%&<>"
 #: Terms that are broadcast, at most (8 bytes each), so that the others are not counted at all; beyond that they meet in a join.
 BROADCAST_TERMS = 2_000_000
-#: Words on each side of an entity that count as near; documents in which a term needs to be with it; least share of its documents.
-NEAR, LEAST_TEXTS, LEAST_SHARE = 10, 2, 0.5
+#: Texts in which a term needs to be with an entity; least share of its documents.
+LEAST_TEXTS, LEAST_SHARE = 2, 0.5
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -93,22 +93,6 @@ def _terms(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[int, int, str]]:
-    """(hash of a term, hash of the entity it stands near, the entity's kind)."""
-    import bisect
-
-    terms = _terms(text)
-    starts = [s for _, s, _ in terms]
-    out = set()
-    for kind, start, end in spans:
-        entity = _hash(_value(kind, text[start:end]))
-        at, past = bisect.bisect_left(starts, start), bisect.bisect_left(starts, end)
-        for word, s, e in terms[max(0, at - NEAR) : at] + terms[past : past + NEAR]:
-            if e <= start or s >= end:
-                out.add((_hash(word), entity, kind))
-    return out
-
-
 def _scan(batches: Iterator[pa.RecordBatch], text: str, spans: str) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, text):
         data, bounds = utf8(batch.column(text))
@@ -123,43 +107,49 @@ def find_entities(df: DataFrame, text: str = "text", spans: str = "spans") -> Da
     return df.mapInArrow(lambda batches: _scan(batches, text, spans), T.StructType([*df.schema.fields, T.StructField(spans, SPAN)]))
 
 
+def term_hashes(text: Column) -> Column:
+    """The hashes of the text's distinct terms, as _hash(word) of _terms."""
+    words = F.transform(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+"), lambda w: F.btrim(w, F.lit(PUNCTUATION)))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.char_length(w) > 1), lambda w: F.xxhash64(w)))
+
+
+def _small(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+
+
 def term_documents(df: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
     """(term, n_term): over all documents, how many hold each wanted term (by its hash)."""
-    words = F.split(F.coalesce(F.col(text), F.lit("")), rf"[{SPACE}]+")
-    terms = F.transform(words, lambda w: F.xxhash64(F.btrim(w, F.lit(PUNCTUATION))))
-    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
-    return df.select(F.explode(F.array_distinct(terms)).alias("term")).join(near, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    return df.select(F.explode(term_hashes(F.col(text))).alias("term")).join(_small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
 
 
 def disclosing_terms(found: DataFrame, corpus: DataFrame, text: str, spans: str, key: str) -> DataFrame:
-    """(key, terms): hashes of the terms that disclose an entity of the row. found: the rows with entities, by a unique key."""
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
-            rows: list[tuple] = []
-            for k, t, s in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), batch.column(spans).to_pylist(), strict=True):
-                whole = _hash(t)
-                rows += [(k, *x, whole) for x in near_terms(t, [(x["kind"], x["start"], x["end"]) for x in s])]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["k", "term", "entity", "kind", "whole"])
-
-    pairs = saved(found.select(key, text, spans).mapInArrow(near, "k long, term long, entity long, kind string, whole long"), "pii-pairs")
-    per_pair = pairs.groupBy("term", "entity", "kind").agg(F.count("*").alias("n_both"), F.min("whole").alias("one"), F.max("whole").alias("other"))
-    per_pair = per_pair.filter(F.col("one") != F.col("other"))  # two different texts at least
-    per_pair = saved(per_pair.drop("one", "other"), "pii-terms")
-    per_entity = found.select(F.explode(spans).alias("s"), key, text)
+    """(key, terms): hashes of the terms that disclose an entity of the row. found: the rows with entities, by a unique key.
+
+    Counts over the rows with entities bound those over all documents from below. Pairs that fail by them already are left out early.
+    """
     value = F.substring(F.col(text), (F.col("s.start") + 1).cast("int"), (F.col("s.end") - F.col("s.start")).cast("int"))
     value = F.when(F.col("s.kind").isin("email", "ip"), F.lower(value)).otherwise(F.regexp_replace(value, "[^0-9]", ""))
-    per_entity = per_entity.select(key, F.col("s.kind").alias("kind"), F.xxhash64(F.concat_ws(":", F.col("s.kind"), value)).alias("entity")).distinct()
-    with_entity = per_entity.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    with_kind = per_entity.select(key, "kind").distinct().groupBy("kind").agg(F.count("*").alias("n_kind"))
-    documents = corpus.agg(F.count("*").alias("n_all"))
-    scored = per_pair.join(term_documents(corpus, per_pair.select("term").distinct(), text), "term").join(with_entity, "entity").join(with_kind, "kind").withColumn("n_all", documents.scalar())
+    spelt = found.select(F.explode(spans).alias("s"), F.col(key).alias("k"), text)
+    per_entity = saved(spelt.select("k", F.col("s.kind").alias("kind"), F.xxhash64(F.concat_ws(":", F.col("s.kind"), value)).alias("entity"), F.xxhash64(text).alias("whole")).distinct(), "pii-entities")
+    with_kind = per_entity.select("k", "kind").distinct().groupBy("kind").agg(F.count("*").alias("n_kind"))
+    several = F.col("one") != F.col("other")  # two different texts at least
+    with_entity = per_entity.groupBy("entity", "kind").agg(F.count("*").alias("n_entity"), F.min("whole").alias("one"), F.max("whole").alias("other"))
+    with_entity = saved(with_entity.filter(several).join(with_kind, "kind").select("entity", "n_entity", "n_kind"), "pii-shared")
+    held = per_entity.join(with_entity, "entity").select("k", "entity", "n_entity", "whole")
+    words = saved(found.select(F.col(key).alias("k"), term_hashes(F.col(text)).alias("terms")), "pii-words")
+    low = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_low")).filter(F.col("n_low") >= LEAST_TEXTS)
+    low = saved(low, "pii-low")
+    met = words.join(held, "k").select("k", "entity", "n_entity", "whole", F.explode("terms").alias("term"))
+    pairs = met.join(_small(low), "term").filter(F.col("n_entity") >= LEAST_SHARE * F.col("n_low"))
+    per_pair = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_both"), F.first("n_low").alias("n_low"), F.min("whole").alias("one"), F.max("whole").alias("other"))
+    per_pair = per_pair.filter(several & (F.col("n_both") >= LEAST_SHARE * F.col("n_low"))).drop("one", "other").join(with_entity, "entity")
+    per_pair = saved(per_pair.filter(F.col("n_both") * F.col("n_kind") > F.col("n_low") * F.col("n_entity")), "pii-terms")
+    scored = per_pair.join(term_documents(corpus, per_pair.select("term").distinct(), text), "term").withColumn("n_all", corpus.agg(F.count("*").alias("n_all")).scalar())
     bits = F.log2(F.col("n_all") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     general = F.log2(F.col("n_all") / F.col("n_kind"))
-    told = scored.filter((bits > general) & (F.col("n_both") >= LEAST_SHARE * F.col("n_term"))).select("term", "entity")
-    return pairs.join(told, ["term", "entity"]).groupBy(F.col("k").alias(key)).agg(F.collect_set("term").alias("terms"))
+    told = saved(scored.filter((bits > general) & (F.col("n_both") >= LEAST_SHARE * F.col("n_term"))).select("term", "entity"), "pii-told")
+    heard = words.select("k", F.explode("terms").alias("term")).join(_small(told), "term")
+    return heard.join(held.select("k", "entity"), ["k", "entity"]).groupBy(F.col("k").alias(key)).agg(F.collect_set("term").alias("terms"))
 
 
 def protect(df: DataFrame, text: str = "text") -> DataFrame:

@@ -79,6 +79,15 @@ def test_terms_that_give_an_entity_away(spark):
     assert pii.protect(copies).filter(F.exists("spans", lambda s: s["kind"] == pii.TERM)).count() == 0  # one text alone shows nothing
 
 
+def test_terms_far_from_their_entity(spark):
+    far = " ".join(["filler words that stand between"] * 8)
+    texts = [f"Quillfeather wrote this. {far} {k} jane@example.org" for k in range(3)] + ["jane@example.org is Quillfeather", f"jane@example.org {far} {far} alone"]
+    texts += [f"somebody wrote this. {far} is {k}" for k in range(60)] + [f"{far} k{k}@example.org" for k in range(6)]
+    for r in pii.protect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        marked = {r.text[s.start : s.end] for s in r.spans if s.kind == pii.TERM}
+        assert marked == ({"Quillfeather"} if "Quillfeather" in r.text else set())
+
+
 def check_packing(pieces, ids_of):
     """Every id in one piece, sequences without holes and no padding, but for lengths that are powers of two."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
