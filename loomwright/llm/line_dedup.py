@@ -11,7 +11,7 @@ if a line before it, anywhere in the corpus, matches it; before means: the lesse
   That settles families of many variants of a line in linear time. The sets that this leaves open meet all earlier sets.
 
 Defined results
-- Lines of fewer than LEAST_WORDS different words are never removed: they show nothing. A null text has one empty line.
+- Lines without a word are never removed. A null text has one empty line.
 - Rows with the same doc_id and the same text are one document: neither loses lines to the other, both keep the same. Rows
   with the same doc_id and other texts are told apart by a hash of the text. A null doc_id comes after all others.
 - Very long texts are compared whole. An empty table gives an empty result. Other columns pass through.
@@ -26,7 +26,6 @@ from loomwright.llm.common import let, saved, unused, words_of
 
 #: Least Jaccard similarity of matching lines, as a fraction.
 SIMILAR = (4, 5)
-LEAST_WORDS = 5
 BUCKETS = 1 << 18
 #: Sets before each in a word group that it may meet first.
 LAGS = 1
@@ -44,9 +43,8 @@ def _words(line: Column) -> Column:
 
 
 def eligible(line: Column) -> Column:
-    """LEAST_WORDS different words or more; most lines show that within their first dozen."""
-    first = F.array_distinct(F.filter(F.slice(F.split(line, " ", 13), F.lit(1), F.lit(12)), lambda w: ~w.rlike(r"[\x09-\x0D]|^$")))
-    return (F.size(first) >= LEAST_WORDS) | (F.size(line_words(line)) >= LEAST_WORDS)
+    """One word at least."""
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def _documents(df: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -103,7 +101,7 @@ def line_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     counts = _rarity(documents)
     hashes = lambda x: F.array_distinct(F.transform(_words(x), lambda w: F.xxhash64(w)))
     each = F.transform(F.split("t", "\n", -1), lambda x, k: F.struct(k.alias("line"), hashes(x).alias("w")))
-    lines = documents.select("id", "h", F.inline(F.filter(each, lambda x: F.size(x["w"]) >= LEAST_WORDS)))
+    lines = documents.select("id", "h", F.inline(F.filter(each, lambda x: F.size(x["w"]) > 0)))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "h", "line", F.size("w").alias("n"), _signature(F.col("w")).alias("signature"), _prefix(F.col("w"), counts).alias("prefix"))
     set_ = F.struct(F.xxhash64(F.sort_array("w")).alias("a"), F.aggregate("w", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(h)).alias("b"))
     sets = lines.select(set_.alias("set"), first.alias("first")).groupBy("set.a", "set.b").agg(F.min("first").alias("first")).select("first.*")
@@ -145,6 +143,9 @@ def matched_sets(df: DataFrame, sets: DataFrame, text: str = "text", doc_id: str
         rows = of.select("s", "n", "signature", *more, F.posexplode("prefix").alias("at", "word"))
         return rows.select("word", F.struct("s", "n", "signature", "at").alias("x"), *more)
 
+    p, q = SIMILAR
+    # A smaller set matches its equals alone, which have collapsed: one word more is too much for it.
+    sets = sets.filter((q - p) * F.col("n") >= p)
     # Each set first meets one other: of the earliest and the last before it in its word groups, the one whose signature is nearest.
     group = Window.partitionBy("word").orderBy("x.s")
     near = F.array(F.first("x").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow)), *[F.lag("x", k).over(group) for k in range(1, LAGS + 1)])

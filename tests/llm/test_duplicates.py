@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwright.llm import decontaminate, line_dedup, simhash, suffix_dedup, suffix_order
+import corpus_pipeline
+from loomwright.llm import decontaminate, entry, line_dedup, simhash, suffix_dedup, suffix_order
 
 from . import fixtures
 
@@ -68,6 +69,16 @@ def test_lines_of_repeated_ids_empty_and_clashing_tables(spark):
     assert line_dedup.dedup_lines(fixtures.empty(spark)).count() == 0
 
 
+def test_short_lines_are_removed_too(spark, tmp_path):
+    texts = ["Home\n\nAbout us\none two three four", "Home\n\nus  About us\nfour three two one more", "Home page\n \nAbout them\none two three", "no no no no no no\nAbout\tus\nHome", "no\nHome\none two three four"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed_lines for r in entry.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: "", 1: "0,2,3", 2: "", 3: "1,2", 4: "0,1,2"}
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df, str(tmp_path)).collect()}
+    assert kept == {k: "\n".join(x for i, x in enumerate(t.split("\n")) if str(i) not in got[k].split(",")) for k, t in enumerate(texts)}
+
+
 def brute_print(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
