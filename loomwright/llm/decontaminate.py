@@ -6,7 +6,8 @@ the documents are looked up among those of the benchmark, and each hit is extend
 Items of fewer than SPAN words count where they occur whole; they are looked up by their first words.
 
 Defined results
-- A null or empty text has no words: nothing hit, not contaminated. An item without words, or without an id, is never listed.
+- A null or empty text has no words: nothing hit, not contaminated. An item without words hits nothing. One without an id hits, but is
+  never listed.
 - Repeated rows are judged one by one; items with equal texts are all listed; a repeated item is listed once. An empty
   benchmark hits nothing. Other columns of the documents pass through.
 - The benchmark travels to the executors in blocks of at most BLOCK_BYTES of text, one pass over the documents for each.
@@ -112,7 +113,7 @@ class Words:
 class BenchmarkIndex:
     """Fingerprints of a block of the benchmark, sorted by hash."""
 
-    def __init__(self, ids: list[str], texts: list[str]):
+    def __init__(self, ids: list[str | None], texts: list[str]):
         self.ids = ids
         self.words = Words(*utf8(pa.array(texts, pa.large_string())))
         self.sizes = np.diff(self.words.bounds)
@@ -168,12 +169,16 @@ class BenchmarkIndex:
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[BenchmarkIndex]:
     """The benchmark, a bounded part at a time."""
-    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).dropna()
+    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).dropna(subset="t")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0)).alias("n")).first()["n"]
-    parts = -(-total // block_bytes)
+    parts = max(1, -(-total // block_bytes))
     for k in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).distinct().collect()
-        yield BenchmarkIndex([r["i"] for r in rows], [r["t"] for r in rows])
+        yield _index(items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).distinct())
+
+
+def _index(items: DataFrame) -> BenchmarkIndex:
+    rows = items.collect()
+    return BenchmarkIndex([r["i"] for r in rows], [r["t"] for r in rows])
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -184,9 +189,8 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     out = df.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast(spans), "hit_items": F.array().cast("array<string>")})
     schema, spark = out.schema, df.sparkSession
-    indexes = list(_blocks(benchmark, item_id, item_text, block_bytes)) or [BenchmarkIndex([], [])]
-    for index in indexes:
-        shared = spark.sparkContext.broadcast(index)
+    # map() lets go of each index as soon as it is broadcast, before the next is built.
+    for shared in map(spark.sparkContext.broadcast, _blocks(benchmark, item_id, item_text, block_bytes)):
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -206,7 +210,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
                         else:
                             merged.append([s, e])
                     before[doc] = [{"start": s, "end": e} for s, e in merged]
-                    listed[doc] = sorted({*listed[doc], *(h[2] for h in hits)})
+                    listed[doc] = sorted({*listed[doc], *(h[2] for h in hits if h[2] is not None)})
                 new = {"n_words": pa.array(np.diff(docs.bounds), pa.int64()), "hit_spans": pa.array(before, batch.schema.field("hit_spans").type), "hit_items": pa.array(listed, batch.schema.field("hit_items").type)}
                 yield pa.RecordBatch.from_arrays([new.get(name, batch.column(k)) for k, name in enumerate(batch.schema.names)], schema=batch.schema) if n else batch
 

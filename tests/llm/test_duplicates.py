@@ -201,3 +201,22 @@ def test_contamination(spark):
     assert kept.columns == clash.columns and kept.count() == sum(not brute_hits(r[1], items)[3] for r in rows)
     assert decontaminate.contamination(df, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.contamination(fixtures.empty(spark), bench).count() == 0
+
+
+def test_items_without_an_id_hit_and_are_not_listed(spark, tmp_path):
+    import duckdb
+
+    words = [f"w{k}" for k in range(40)]
+    docs = [(1, " ".join(words[:20])), (2, " ".join(words[20:])), (3, "short item"), (4, None)]
+    items = [(None, " ".join(words[2:18])), (None, "short item"), (7, " ".join(words[19:36])), (8, " ".join(words[2:18]) + " more"), (9, None), (None, None)]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in entry.op10_decontaminate(spark, str(tmp_path)).collect())
+    with duckdb.connect() as con:
+        for name in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        assert got == sorted(con.execute(entry.OP10_SQL).fetchall())
+    assert [r[5] for r in got] == [True, True, True, False]
+    in_blocks = decontaminate.contamination(df, benchmark, block_bytes=100).select("doc_id", "n_hit").collect()
+    assert sorted(tuple(r) for r in in_blocks) == [(r[0], r[2]) for r in got]
