@@ -2,7 +2,7 @@
 
 The page is cut at block-level tags into flat blocks of text. Each block has its number of words, its link density (words inside
 links over words), the same of the block before and after it, and what encloses it (an article; navigation or other matter
-that a page wraps around its text). A decision tree, grown from a small labelled table, tells main text from the rest.
+that a page wraps around its text). Words in class, id or role say nothing of an element that holds the page's chief text. A decision tree, grown from a small labelled table, tells main text from the rest.
 
 Defined results
 - A null or empty page has an empty text. Repeated rows are extracted one by one. Very long pages are read whole. An empty
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +35,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Elements that stand around a page's text, and words in class, id or role that say the same of any element.
 AROUND = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget|contentinfo|complementary|search|alert)(?:$|[\s_-])", re.I)
+#: Elements that a head may hold; any other ends it, as its end tag may be left out.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"}
 #: Elements that end with a parent or with the next of their kind, as browsers close them.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -67,20 +70,45 @@ class Block:
     around: bool
     heading: bool
     listed: bool
+    hints: tuple[int, ...] = ()
+    articles: tuple[int, ...] = ()
+
+
+@dataclass
+class _Article:
+    """An open or closed article or main: the numbers of the hinted elements around it, and whether its own class, id or role has a hint."""
+
+    name: str
+    outer: tuple[int, ...]
+    hinted: bool
+    words: int = 0
 
 
 @dataclass
 class _Reader:
-    """The stack of open elements and the block being gathered."""
+    """The stack of open elements (name, whether it stands around text, number if hinted, number of the article) and the block being gathered."""
 
     blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, bool]] = field(default_factory=list)
+    stack: list[tuple[str, bool, int | None, int | None]] = field(default_factory=list)
     parts: list[tuple[str, bool]] = field(default_factory=list)
+    articles: list[_Article] = field(default_factory=list)
+    n_hints: int = 0
 
     def has(self, names: set[str]) -> bool:
-        return any(name in names for name, _ in self.stack)
+        return any(x[0] in names for x in self.stack)
+
+    def hints(self) -> tuple[int, ...]:
+        return tuple(x[2] for x in self.stack if x[2] is not None)
+
+    def end_head(self) -> None:
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == "head":
+                del self.stack[k:]
+                return
 
     def add(self, raw: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and raw.strip():
+            self.end_head()
         if raw and not self.has(UNSEEN):
             self.parts.append((raw, self.has({"a"})))
 
@@ -89,7 +117,7 @@ class _Reader:
         text = WHITE.sub(" ", entities.unescape("".join(p for p, _ in parts))).strip()
         if text:
             linked = sum(len(entities.unescape(p).split()) for p, a in parts if a)
-            self.blocks.append(Block(text, len(text.split()), linked, self.has({"article", "main"}), any(around for _, around in self.stack), self.has({"h1", "h2", "h3", "h4", "h5", "h6"}), self.has({"li", "dt", "dd"})))
+            self.blocks.append(Block(text, len(text.split()), linked, self.has({"article", "main"}), any(x[1] for x in self.stack), self.has({"h1", "h2", "h3", "h4", "h5", "h6"}), self.has({"li", "dt", "dd"}), self.hints(), tuple(x[3] for x in self.stack if x[3] is not None)))
 
     def open(self, name: str, attributes: str, closed: bool) -> None:
         if name in BLOCK:
@@ -107,8 +135,13 @@ class _Reader:
                     break
                 if self.stack[k][0] in BLOCK and self.stack[k][0] != "p":
                     break
-        hint = name in AROUND or any(HINT.search(a or b or c) for _, a, b, c in ATTRIBUTE.findall(attributes)) and name not in {"html", "body", "article", "main"}
-        self.stack.append((name, bool(hint)))
+        hint, article = any(HINT.search(a or b or c) for _, a, b, c in ATTRIBUTE.findall(attributes)), None
+        if name in {"article", "main"}:
+            article = len(self.articles)
+            self.articles.append(_Article(name, self.hints(), hint))
+        counts = hint and name not in {"html", "body", "article", "main"} | AROUND
+        self.n_hints += counts
+        self.stack.append((name, name in AROUND, self.n_hints if counts else None, article))
 
     def close(self, name: str) -> None:
         if name in BLOCK:
@@ -135,15 +168,39 @@ def blocks(page: str) -> list[Block]:
         name = m[2].lower()
         if m[1]:
             reader.close(name)
-        elif name in RAW and not m[3].endswith("/"):
+            continue
+        if name not in IN_HEAD:
+            reader.end_head()
+        if name in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
         else:
             reader.open(name, m[3], m[3].endswith("/"))
     reader.flush()
+    wrappers = _wrappers(reader)
+    for b in reader.blocks:
+        b.around = b.around or any(h not in wrappers for h in b.hints)
     return reader.blocks
 
 
+def _wrappers(reader: _Reader) -> set[int]:
+    """The hinted elements that hold the page's chief text: its longest main, and its longest article without a hint of its own (with a main, one
+    of over half of its words). On a page without either, the elements with over half of all words."""
+    total, held = 0, Counter()
+    for b in reader.blocks:
+        total += b.words
+        held.update(dict.fromkeys(b.hints, b.words))
+        for k in b.articles:
+            reader.articles[k].words += b.words
+    longest = lambda name: max((a for a in reversed(reader.articles) if a.name == name and not (a.hinted and name == "article")), key=lambda a: a.words, default=None)
+    main, article = longest("main"), longest("article")
+    if main is not None and article is not None and 2 * article.words <= main.words:
+        article = None
+    if main is None and article is None:
+        return {h for h, n in held.items() if 2 * n > total} if not reader.articles else set()
+    return {h for a in (main, article) if a is not None for h in a.outer}
+
+
 def features(found: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block."""
     own = np.array([[b.words, min(1.0, b.linked / max(b.words, 1))] for b in found], float).reshape(-1, 2)

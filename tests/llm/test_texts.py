@@ -35,6 +35,22 @@ def test_pages(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+WRAPPED = [
+    ("<html><head><title>x</title><body><article><p>Text of the article.</p></article>", "Text of the article."),
+    ("<html><head><title>x</title><meta charset=utf-8><article><p>Text of the article.</p></article>", "Text of the article."),
+    ("<head><title>x</title>Plain words that follow a head without its end tag and go on for a while.", "Plain words that follow a head without its end tag and go on for a while."),
+    ("<body><div class='layout with-sidebar'><article><p>Text of the article.</p><div class=ad>Buy now</div></article><div class=sidebar><p>Other things</p></div></div>", "Text of the article."),
+    ("<body><div class=has-banner><main><div id=nav-page><article><h1>T</h1><p>Text of the article.</p></article></div></main></div>", "T\nText of the article."),
+    ("<body><div class=has-banner><article><p>Text of the article that is longer.</p></article></div><div id=comments><article class=comment><p>Nice article, thanks a lot for all of it, really.</p></article></div>", "Text of the article that is longer."),
+    ("<body><div class=with-sidebar><p>" + "words of a page that marks no article " * 8 + "</p><div class=sidebar>Read also this one</div></div>", ("words of a page that marks no article " * 8).strip()),
+]
+
+
+def test_open_heads_and_hinted_wrappers(spark):
+    df = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(WRAPPED)], "page_id long, html string")
+    assert {r.page_id: r.text for r in html_text.extract_text(df).collect()} == {k: t for k, (_, t) in enumerate(WRAPPED)}
+
+
 def test_articles_of_the_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in html_text.extract_text(pages).collect():
