@@ -73,12 +73,20 @@ def symbols(of: DataFrame) -> DataFrame:
     return _to_last_solid(found, of)
 
 
+def _solid(of: DataFrame) -> DataFrame:
+    """(file, n, ahead, behind): for each line the nearest one that is not blank, itself included, from there on and up to there."""
+    solid = F.when(~F.col("line").rlike(BLANK), F.col("n"))
+    by_file = Window.partitionBy("file").orderBy("n")
+    ahead = F.min(solid).over(by_file.rowsBetween(0, Window.unboundedFollowing))
+    return of.select("file", "n", ahead.alias("ahead"), F.max(solid).over(by_file.rowsBetween(Window.unboundedPreceding, 0)).alias("behind"))
+
+
 def _to_last_solid(spans: DataFrame, of: DataFrame) -> DataFrame:
     """spans with blank lines cut off at both ends; spans of blank lines alone go."""
-    solid = of.filter(~F.col("line").rlike(BLANK)).select("file", "n")
+    solid = _solid(of)
     keys = [c for c in spans.columns if c not in ("start", "end")]
-    met = spans.join(solid, "file").filter(F.col("n").between(F.col("start"), F.col("end")))
-    return met.groupBy(*keys, "start", "end").agg(F.min("n").alias("s"), F.max("n").alias("e")).select(*keys, F.col("s").alias("start"), F.col("e").alias("end"))
+    met = spans.join(solid.select("file", F.col("n").alias("start"), "ahead"), ["file", "start"]).join(solid.select("file", F.col("n").alias("end"), "behind"), ["file", "end"])
+    return met.filter(F.col("ahead") <= F.col("behind")).select(*keys, F.col("ahead").alias("start"), F.col("behind").alias("end"))
 
 
 def gaps(of: DataFrame, covered: DataFrame, min_solid: int = MIN_GAP) -> DataFrame:
@@ -117,13 +125,12 @@ def sections(of: DataFrame) -> DataFrame:
     rows = rows.withColumns({"level": level, "title": title, "section": F.count(level).over(by_file)})
     bodies = rows.filter(~F.col("line").rlike(BLANK)).groupBy("file", "section").agg(F.min("n").alias("start"), F.max("n").alias("end"), F.count("*").alias("solid"))
     bodies = bodies.filter((F.col("section") == 0) | (F.col("solid") > 1))
-    heads = rows.filter(F.col("level").isNotNull())
-    path = F.aggregate(
-        F.sort_array(F.collect_list(F.struct("section", "level", "title")).over(Window.partitionBy("file").orderBy("section").rowsBetween(Window.unboundedPreceding, 0))),
-        F.array().cast("array<struct<section:bigint,level:int,title:string>>"),
-        lambda s, x: F.concat(F.filter(s, lambda h: h["level"] < x["level"]), F.array(x)),
-    )
-    heads = heads.select("file", "section", F.array_join(F.transform(path, lambda h: h["title"]), " > ").alias("symbol"))
+    # Above a heading stands, of each lesser level, the last heading, unless one of a still lesser level came after it.
+    last = lambda k: F.last(F.when(F.col("level") == k, F.struct("section", "title")), ignorenulls=True).over(by_file)
+    heads = rows.withColumns({f"h{k}": last(k) for k in range(1, 6)}).filter(F.col("level").isNotNull())
+    after = lambda k: F.col(f"h{k}.section") > F.greatest(F.lit(0), F.lit(0), *[F.coalesce(F.col(f"h{j}.section"), F.lit(0)) for j in range(1, k)])
+    above = F.array(*[F.when((F.col("level") > k) & after(k), F.col(f"h{k}.title")) for k in range(1, 6)])
+    heads = heads.select("file", "section", F.array_join(F.array_append(F.array_compact(above), F.col("title")), " > ").alias("symbol"))
     return bodies.join(heads, ["file", "section"], "left").select("file", "symbol", "start", "end")
 
 
@@ -139,23 +146,35 @@ def windows(start: Column, end: Column, max_lines: int, overlap: int) -> Column:
 def split_oversized(pieces: DataFrame, of: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
     """pieces (file, symbol, kind, start, end) with part and parts: longer ones as windows, those of blank lines alone dropped."""
     cut = pieces.select("file", "symbol", "kind", F.col("start").alias("from"), F.col("end").alias("to"), F.explode(windows(F.col("start"), F.col("end"), max_lines, overlap)).alias("w"))
-    solid = of.filter(~F.col("line").rlike(BLANK)).select("file", "n")
     spans = cut.select("file", "symbol", "kind", "from", "to", F.col("w.s").alias("start"), F.col("w.e").alias("end"))
-    kept = spans.join(solid, (spans["file"] == solid["file"]) & solid["n"].between(spans["start"], spans["end"]), "left_semi")
+    kept = spans.join(_solid(of).select("file", F.col("n").alias("start"), "ahead"), ["file", "start"]).filter(F.col("ahead") <= F.col("end"))
     piece = Window.partitionBy("file", "symbol", "kind", "from", "to")
     return kept.select("file", "symbol", "kind", "start", "end", F.row_number().over(piece.orderBy("start")).alias("part"), F.count("*").over(piece).alias("parts"))
 
 
 def build(spans: DataFrame, files: DataFrame) -> DataFrame:
-    """Chunks of spans: content is exactly the lines, embed_text has a header before them."""
-    met = spans.join(files.select("file", "language", split_lines(F.coalesce("text", F.lit(""))).alias("all")), "file")
-    content = F.array_join(F.slice("all", F.col("start"), F.col("end") - F.col("start") + 1), "\n")
+    """Chunks of spans: content is exactly the lines, embed_text has a header before them. Each file's lines are split once for all its spans."""
+    wanted = spans.groupBy("file").agg(F.collect_list(F.struct("symbol", "kind", "start", "end", "part", "parts")).alias("spans"))
+    met = files.select("file", "language", split_lines(F.coalesce("text", F.lit(""))).alias("all")).join(wanted, "file")
+    content = lambda x: F.array_join(F.slice(F.col("all"), x["start"], x["end"] - x["start"] + 1), "\n")
+    met = met.select("file", "language", F.inline(F.transform("spans", lambda x: F.struct(*[x[c].alias(c) for c in ("symbol", "kind", "start", "end", "part", "parts")], content(x).alias("content")))))
+    # The header is part of what is hashed.
     part = F.when(F.col("parts") > 1, F.format_string("Part: %d/%d", "part", "parts"))
     header = F.concat_ws("\n", F.concat(F.lit("File: "), "file"), F.concat(F.lit("Language: "), "language"), F.concat(F.lit("Symbol: "), F.coalesce("symbol", F.lit("(none)"))), F.concat(F.lit("Kind: "), "kind"), part)
-    out = met.select("file", "language", "symbol", "kind", "start", "end", content.alias("content"), header.alias("header"))
+    out = met.select("file", "language", "symbol", "kind", "start", "end", "content", header.alias("header"))
     return out.withColumn("embed_text", F.concat("header", F.lit("\n---\n"), "content")).withColumn("text_hash", F.sha2("embed_text", 256)).drop("header")
 
 
+def report(made: DataFrame) -> DataFrame:
+    """(language, kind, chunks, files, longest) of chunks."""
+    return made.groupBy("language", "kind").agg(F.count("*").alias("chunks"), F.countDistinct("file").alias("files"), F.max(F.length("content")).cast("long").alias("longest"))
+
+
+def in_order(made: DataFrame) -> DataFrame:
+    """Chunks by file, then start, end and symbol."""
+    return made.orderBy("file", "start", "end", F.coalesce("symbol", F.lit("")))
+
+
 def chunk(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP, min_gap: int = MIN_GAP) -> DataFrame:
     """All chunks of files (file, language, text)."""
     of = lines(files)

@@ -1,4 +1,4 @@
-"""Keyword search: an index of weighted lexemes, BM25 with statistics of the whole corpus, phrases, and filters after scoring.
+"""Keyword search: an index of weighted lexemes, BM25 with statistics of the whole corpus, phrases, cover density, and filters after scoring.
 
 The lexemes of a chunk are those of its symbol, of the symbol split at capitals and of its path (weight A, counted twice), then those
 of its content and of the content split at capitals. Their positions run on from part to part, so that a phrase may
@@ -7,108 +7,168 @@ cross parts. A chunk's length is its number of different lexemes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import camel_split, lexemes
 
 #: Fixed values of the ranking.
 K1, B, PHRASE_BOOST = 1.2, 0.75, 1.5
+#: The weight of a position in the symbol or path, and of one in the content, for cover density.
+WEIGHT_A, WEIGHT_D = 1.0, 0.1
 DIGITS = 6
+#: Rows of question lexemes that are broadcast, at most (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+PARTS = ("documents", "postings", "lexicon", "stats")
+
+
+@dataclass(frozen=True)
+class Index:
+    """documents: repo_id, chunk_id, language, file_path, words (all lexemes in order), n_a (how many of them have weight A) and dl.
+    postings: repo_id, lexeme, chunk_id, n_a, n (occurrences with weight A, and all), dl and length (all words of the chunk).
+    lexicon: repo_id, lexeme, df. stats: repo_id, n and avgdl; chunks without a lexeme count with length 0."""
 
+    documents: DataFrame
+    postings: DataFrame
+    lexicon: DataFrame
+    stats: DataFrame
 
-def index(chunks: DataFrame) -> DataFrame:
-    """repo_id, chunk_id, language, file_path, words (all lexemes in order), n_a (how many of them have weight A) and dl, from chunks with symbol, file_path and content.
 
-    Write it partitioned by repo_id at index time; searches then read no text.
+def index(chunks: DataFrame, path: str | None = None) -> Index:
+    """The index of chunks (repo_id, chunk_id, language, file_path, symbol, content).
+
+    With a path, a folder that driver and executors share, it is written there once: searches then read postings of their repositories alone,
+    sorted by lexeme, and no text.
     """
+
+    def kept(name: str, df: DataFrame, by: tuple[str, ...] = ("repo_id",)) -> DataFrame:
+        if path is None:
+            return df
+        # Ranges of (repository, lexeme): a large repository fills many tasks and files, a small one shares them.
+        df.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("repo_id").parquet(f"{path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    documents = kept("documents", _documents(chunks), ("repo_id", "chunk_id"))
+    at = documents.select("repo_id", "chunk_id", "dl", F.size("words").alias("length"), "n_a", F.posexplode("words").alias("pos", "lexeme"))
+    counted = at.groupBy("repo_id", "chunk_id", "dl", "length", "lexeme").agg(F.count_if(F.col("pos") < F.col("n_a")).alias("n_a"), F.count("*").alias("n"))
+    postings = kept("postings", counted.select("repo_id", "lexeme", "chunk_id", "n_a", "n", "dl", "length"), ("repo_id", "lexeme"))
+    lexicon = kept("lexicon", postings.groupBy("repo_id", "lexeme").agg(F.count("*").alias("df")), ("repo_id", "lexeme"))
+    stats = kept("stats", documents.groupBy("repo_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    return Index(documents, postings, lexicon, stats)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """An index that was written to path."""
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in PARTS])
+
+
+def _documents(chunks: DataFrame) -> DataFrame:
     symbol = F.coalesce("symbol", F.lit(""))
     a = lexemes(F.concat_ws(" ", symbol, camel_split(symbol), "file_path"))
     plain = F.transform(F.array(lexemes(F.col("content"))), lambda w: F.when(F.col("content").rlike("[a-z0-9][A-Z]"), F.concat(w, lexemes(camel_split(F.col("content"))))).otherwise(F.concat(w, w)))
-    rest = F.element_at(plain, 1)
-    out = chunks.select("repo_id", "chunk_id", "language", "file_path", a.alias("a"), rest.alias("rest"))
+    out = chunks.select("repo_id", "chunk_id", "language", "file_path", a.alias("a"), F.element_at(plain, 1).alias("rest"))
     out = out.select("repo_id", "chunk_id", "language", "file_path", F.concat("a", "rest").alias("words"), F.size("a").alias("n_a"))
     return out.withColumn("dl", F.size(F.array_distinct("words")))
 
 
-def corpus_stats(indexed: DataFrame) -> DataFrame:
-    """repo_id, n and avgdl; chunks without a lexeme count with length 0."""
-    return indexed.groupBy("repo_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def question_lexemes(terms: DataFrame) -> DataFrame:
     """(qid, repo_id, lexeme, whole) from questions (qid, repo_id, terms), once each; whole: the lexeme alone is a term."""
     each = F.flatten(F.transform("terms", lambda t: F.concat(F.when(t["whole"].isNotNull(), F.array(F.struct(t["whole"].alias("lexeme"), F.lit(True).alias("whole")))).otherwise(F.array().cast("array<struct<lexeme:string,whole:boolean>>")), F.transform(t["phrase"], lambda w: F.struct(w.alias("lexeme"), F.lit(False).alias("whole"))))))
     return terms.select("qid", "repo_id", F.inline(each)).groupBy("qid", "repo_id", "lexeme").agg(F.max("whole").alias("whole"))
 
 
-def term_frequency(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """repo_id, chunk_id, dl, lexeme and tf (weight A counts twice), for lexemes that some question of the repository has."""
-    words = F.transform("words", lambda w, i: F.struct(w.alias("lexeme"), F.when(i < F.col("n_a"), 2).otherwise(1).alias("w")))
-    rows = indexed.select("repo_id", "chunk_id", "dl", F.inline(words))
-    return rows.join(wanted.select("repo_id", "lexeme").distinct(), ["repo_id", "lexeme"], "left_semi").groupBy("repo_id", "chunk_id", "dl", "lexeme").agg(F.sum("w").alias("tf"))
+def question_phrases(terms: DataFrame) -> DataFrame:
+    """(qid, repo_id, phrase), once each."""
+    return terms.select("qid", "repo_id", F.explode(F.transform("terms", lambda t: t["phrase"])).alias("phrase")).filter(F.size("phrase") > 0).distinct()
+
+
+def _small(asked: DataFrame) -> DataFrame:
+    """asked with a broadcast hint if its size allows."""
+    return F.broadcast(asked) if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else asked
 
 
-def document_frequency(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("repo_id", "lexeme").agg(F.count("*").alias("df"))
+def term_frequency(indexed: Index, wanted: DataFrame) -> DataFrame:
+    """repo_id, chunk_id, dl, lexeme and tf (weight A counts twice), for lexemes that some question of the repository has."""
+    asked = _small(wanted.select("repo_id", "lexeme").distinct())
+    return indexed.postings.join(asked, ["repo_id", "lexeme"], "left_semi").select("repo_id", "chunk_id", "dl", "lexeme", (F.col("n") + F.col("n_a")).alias("tf"))
 
 
-def bm25(indexed: DataFrame, terms: DataFrame) -> DataFrame:
+def bm25(indexed: Index, terms: DataFrame) -> DataFrame:
     """(qid, repo_id, chunk_id, score, whole), unfiltered: the statistics see every chunk of the repository. whole: some term of one word matches."""
-    wanted = question_lexemes(terms)
-    tf = term_frequency(indexed, wanted).withColumn("df", F.count("*").over(Window.partitionBy("repo_id", "lexeme")))
-    scored = tf.join(corpus_stats(indexed), "repo_id")
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    met = scored.select("repo_id", "chunk_id", "lexeme", part.alias("part")).join(wanted, ["repo_id", "lexeme"])
-    return met.groupBy("qid", "repo_id", "chunk_id").agg(F.sum("part").alias("score"), F.max("whole").alias("whole"))
+    weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = question_lexemes(terms).join(indexed.lexicon, ["repo_id", "lexeme"]).join(indexed.stats.withColumnRenamed("n", "n_docs"), "repo_id")
+    met = indexed.postings.join(_small(known.select("qid", "repo_id", "lexeme", "whole", "avgdl", weight.alias("weight"))), ["repo_id", "lexeme"])
+    tf = F.col("n") + F.col("n_a")
+    part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return met.groupBy("qid", "repo_id", "chunk_id").agg(F.sum(part).alias("score"), F.max("whole").alias("whole"))
 
 
-def has_phrase(words: Column, phrase: Column) -> Column:
-    """Whether the words of phrase stand next to each other."""
+def phrase_starts(words: Column, phrase: Column) -> Column:
+    """The places, from 1, at which the words of phrase stand next to each other."""
     n = F.size(phrase)
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.get(words, i - 1) == phrase[0])
-    return (F.size(words) >= n) & (n > 0) & F.exists(starts, lambda i: F.slice(words, i, n) == phrase)
+    return F.filter(starts, lambda i: (n > 0) & (F.size(words) >= n) & (F.slice(words, i, n) == phrase))
+
+
+def phrase_hits(indexed: Index, phrases: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(qid, repo_id, chunk_id, phrase, words, n_a) of chunks that have a phrase of (qid, repo_id, phrase): those with the phrase's first
+    word are found in the postings, and only their words are read. among: (qid, repo_id, chunk_id) to look at alone."""
+    first = _small(phrases.withColumn("lexeme", F.col("phrase")[0]))
+    near = indexed.postings.select("repo_id", "lexeme", "chunk_id").join(first, ["repo_id", "lexeme"]).select("qid", "repo_id", "chunk_id", "phrase")
+    if among is not None:
+        near = near.join(among, ["qid", "repo_id", "chunk_id"], "left_semi")
+    met = near.join(indexed.documents.select("repo_id", "chunk_id", "words", "n_a"), ["repo_id", "chunk_id"])
+    return met.filter(F.size(phrase_starts(F.col("words"), F.col("phrase"))) > 0)
+
+
+def _filtered(scored: DataFrame, indexed: Index, languages: list[str] | None, path_prefix: str) -> DataFrame:
+    """scored less the chunks that the filters remove; scores stay."""
+    if not (path_prefix or languages):
+        return scored
+    held = indexed.documents.filter(F.col("file_path").startswith(path_prefix)) if path_prefix else indexed.documents
+    held = held.filter(F.col("language").isin(languages)) if languages else held
+    return scored.join(held.select("repo_id", "chunk_id"), ["repo_id", "chunk_id"], "left_semi")
 
 
-def phrase_matches(indexed: DataFrame, terms: DataFrame, scored: DataFrame) -> DataFrame:
-    """(qid, chunk_id) of scored chunks, without a term of one word, that have a phrase of the question. Only these read words again."""
-    phrases = F.filter(F.transform("terms", lambda t: t["phrase"]), lambda p: F.size(p) > 0)
-    asked = terms.select("qid", phrases.alias("phrases")).filter(F.size("phrases") > 0)
-    open_ = scored.filter(~F.col("whole")).select("qid", "repo_id", "chunk_id").join(F.broadcast(asked), "qid")
-    met = open_.join(indexed.select("repo_id", "chunk_id", "words"), ["repo_id", "chunk_id"])
-    return met.filter(F.exists("phrases", lambda p: has_phrase(F.col("words"), p))).select("qid", "chunk_id")
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    by = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
 
 
-def search(indexed: DataFrame, terms: DataFrame, k: int = 20, languages: list[str] | None = None, path_prefix: str = "") -> DataFrame:
+def search(indexed: Index, terms: DataFrame, k: int = 20, languages: list[str] | None = None, path_prefix: str = "") -> DataFrame:
     """(qid, rank, chunk_id, score): boosted where any term matches as a whole; the filters remove chunks, they never change a score."""
     scored = bm25(indexed, terms)
-    phrased = phrase_matches(indexed, terms, scored).withColumn("phrased", F.lit(True))
-    if path_prefix or languages:
-        held = indexed.filter(F.col("file_path").startswith(path_prefix)) if path_prefix else indexed
-        held = held.filter(F.col("language").isin(languages)) if languages else held
-        kept = scored.join(held.select("repo_id", "chunk_id"), ["repo_id", "chunk_id"], "left_semi")
-    else:
-        kept = scored
-    boosted = F.col("whole") | F.coalesce("phrased", F.lit(False))
+    boosted = F.col("whole")
+    kept = _filtered(scored, indexed, languages, path_prefix)
+    phrases = question_phrases(terms)
+    if not phrases.isEmpty():
+        open_ = scored.filter(~F.col("whole")).select("qid", "repo_id", "chunk_id")
+        phrased = phrase_hits(indexed, phrases, open_).select("qid", "chunk_id").distinct().withColumn("phrased", F.lit(True))
+        kept = kept.join(phrased, ["qid", "chunk_id"], "left")
+        boosted = boosted | F.coalesce("phrased", F.lit(False))
     score = F.round(F.col("score") * F.when(boosted, PHRASE_BOOST).otherwise(1.0), DIGITS)
-    ranked = kept.join(phrased, ["qid", "chunk_id"], "left").select("qid", "chunk_id", score.alias("score"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")))
-    return ranked.filter(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
+    return _ranked(kept.select("qid", "chunk_id", score.alias("score")), k)
 
 
-def cover_density(indexed: DataFrame, terms: DataFrame, k: int = 20) -> DataFrame:
-    """(qid, rank, chunk_id, score): for chunks with any term, how closely different lexemes of the question follow each other.
+def cover_density(indexed: Index, terms: DataFrame, k: int = 20, languages: list[str] | None = None, path_prefix: str = "") -> DataFrame:
+    """(qid, rank, chunk_id, score): cover density of a question whose terms are alternatives, over 1 + the logarithm of the chunk's words.
 
-    Each step from one question lexeme to the next different one within a chunk adds the reciprocal of its length;
-    the sum is divided by 1 + log of the chunk's length.
+    Every shortest cover counts the number of its positions over the sum of their reciprocal weights. For alternatives a cover is one
+    occurrence of a word that is a term, or of a whole phrase. Terms that share words with a phrase count besides it.
     """
-    wanted = question_lexemes(terms)
-    at = indexed.select("repo_id", "chunk_id", "dl", F.posexplode("words").alias("pos", "lexeme")).join(wanted.drop("whole"), ["repo_id", "lexeme"])
-    before = Window.partitionBy("qid", "chunk_id").orderBy("pos")
-    steps = at.withColumns({"last": F.lag("lexeme").over(before), "gap": F.col("pos") - F.lag("pos").over(before)})
-    gain = F.when(F.col("last") != F.col("lexeme"), 1.0 / F.col("gap")).otherwise(F.lit(0.0))
-    scored = steps.groupBy("qid", "chunk_id", "dl").agg((F.sum(gain) + 0.1).alias("gain"))
-    score = F.round(F.col("gain") / (1 + F.log("dl")), DIGITS)
-    ranked = scored.select("qid", "chunk_id", score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")))
-    return ranked.filter(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
+    whole = question_lexemes(terms).filter("whole").drop("whole")
+    met = indexed.postings.join(_small(whole), ["repo_id", "lexeme"])
+    found = met.select("qid", "repo_id", "chunk_id", "length", (WEIGHT_A * F.col("n_a") + WEIGHT_D * (F.col("n") - F.col("n_a"))).alias("gain"))
+    phrases = question_phrases(terms)
+    if not phrases.isEmpty():
+        n = F.size("phrase")
+        # Of the n words from place i on, those up to n_a have weight A.
+        in_a = lambda i: F.greatest(F.lit(0), F.least(n, F.col("n_a") - i + 1))
+        cover = lambda i: n / (in_a(i) / F.lit(WEIGHT_A) + (n - in_a(i)) / F.lit(WEIGHT_D))
+        gain = F.aggregate(phrase_starts(F.col("words"), F.col("phrase")), F.lit(0.0), lambda s, i: s + cover(i))
+        found = found.unionByName(phrase_hits(indexed, phrases).select("qid", "repo_id", "chunk_id", F.size("words").alias("length"), gain.alias("gain")))
+    total = found.groupBy("qid", "repo_id", "chunk_id", "length").agg(F.sum("gain").alias("gain"))
+    kept = _filtered(total, indexed, languages, path_prefix)
+    return _ranked(kept.select("qid", "chunk_id", F.round(F.col("gain") / F.log(1.0 + F.col("length")), DIGITS).alias("score")), k)

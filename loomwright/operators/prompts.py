@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.answers import bytes_cut, validated
 from loomwright.functions.text import fence
 
+#: Fixed values of the prompt's format: its budget in bytes, the mark of a cut, and what stands before the blocks and the question.
 BUDGET = 24_000
 CUT_MARK = "\n[content truncated]"
+BEFORE_BLOCKS, BEFORE_QUESTION = "Context:\n", "\n\nQuestion: "
 
 
 def block(n: Column, content: Column) -> Column:
@@ -37,7 +42,7 @@ def prompts(questions: DataFrame, ranked: DataFrame, budget: int = BUDGET) -> Da
     kept = within_budget(rows, "size", budget)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), "\n\n")
     blocks = kept.groupBy("qid").agg(text.alias("blocks"), F.count("*").cast("int").alias("n_blocks"))
-    whole = F.concat(F.lit("Context:\n"), "blocks", F.lit("\n\nQuestion: "), "question")
+    whole = F.concat(F.lit(BEFORE_BLOCKS), "blocks", F.lit(BEFORE_QUESTION), "question")
     return questions.join(blocks, "qid").select("qid", whole.alias("prompt"), "n_blocks")
 
 
@@ -51,6 +56,43 @@ def citations(checked: DataFrame, used: DataFrame) -> DataFrame:
     return checked.select("qid", F.posexplode("numbers").alias("place", "n")).join(used, ["qid", "n"])
 
 
+def marker_problems(answers: DataFrame) -> DataFrame:
+    """(qid, uncited, unused) of answers (qid, answer, numbers): numbers that markers name and no citation has, and citations that no marker names.
+
+    Markers may follow each other; one that follows a word, such as an index in code, is none."""
+    chains = F.regexp_extract_all("answer", F.lit(r"(?<![A-Za-z0-9_\]])(?:\[[0-9]{1,9}\])+"), F.lit(0))
+    named = F.transform(F.regexp_extract_all(F.array_join(chains, ""), F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
+    both = answers.select("qid", F.array_sort(F.array_distinct(named)).alias("named"), F.array_sort(F.array_distinct("numbers")).alias("held"))
+    return both.select("qid", F.array_except("named", "held").alias("uncited"), F.array_except("held", "named").alias("unused"))
+
+
+def request_batches(texts: DataFrame, key: str, order: str, tokens: str, batch: int = 64, budget: int = 8_000) -> DataFrame:
+    """texts with batch, from 0 within each key: in order, a text goes into the next batch when its own is full or would exceed the budget of tokens.
+
+    Where a batch ends depends on all before it, so that a task passes over its keys' rows in order and carries the open batch alone."""
+
+    def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, n, used, count = None, 0, 0, 0
+        for part in parts:
+            out = []
+            for k, cost in zip(part[key], part[tokens], strict=True):
+                if k != at:
+                    at, n, used, count = k, 0, 0, 0
+                elif count >= batch or used + cost > budget:
+                    n, used, count = n + 1, 0, 0
+                used, count = used + cost, count + 1
+                out.append(n)
+            yield part.assign(batch=out)
+
+    dealt = texts.filter(F.col(key).isNotNull()).repartition(F.col(key)).sortWithinPartitions(key, order)
+    return dealt.mapInPandas(number, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in texts.schema)}, batch long")
+
+
+def preflight(texts: DataFrame, remaining: int, batch: int = 64, reserve: int = 0) -> DataFrame:
+    """embedding_requests with affordable: whether they and a reserve fit into the remaining requests; asked before any call."""
+    return embedding_requests(texts, batch).withColumn("affordable", F.col("requests") + reserve <= remaining)
+
+
 def embedding_requests(texts: DataFrame, batch: int = 64) -> DataFrame:
     """(texts, distinct, requests) of a column text_hash: what a model would be asked for."""
     return texts.agg(F.count("*").alias("texts"), F.countDistinct("text_hash").alias("distinct")).withColumn("requests", F.ceil(F.col("distinct") / batch))

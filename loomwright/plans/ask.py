@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.functions.answers import question_terms, ranking
+from loomwright.functions.answers import bytes_cut, question_terms, ranking
 from loomwright.functions.text import is_test_path
 from loomwright.operators import fusion, keyword_search, prompts, vector_search
 
@@ -17,6 +18,8 @@ from loomwright.operators import fusion, keyword_search, prompts, vector_search
 TextModel = Callable[[list[str]], list[str]]
 VectorModel = Callable[[list[str]], list[list[float]]]
 MODES = ("vector", "keyword", "hybrid", "hybrid_rerank")
+#: Blocks of a prompt, at most; bytes of a chunk that a reranker sees.
+MOST_TOP, RERANK_BYTES = 50, 2_000
 
 
 @dataclass(frozen=True)
@@ -28,8 +31,10 @@ class Settings:
     budget: int = prompts.BUDGET
     languages: tuple[str, ...] = ()
     path_prefix: str = ""
+    embed_model: str = ""  # of the questions' vectors; chunks with a column embed_model must all have it
 
     def __post_init__(self):
+        object.__setattr__(self, "top", min(max(self.top, 1), MOST_TOP))
         if self.mode not in MODES:
             raise ValueError(f"unknown mode {self.mode}")
         vector_search.check_k(self.pool)
@@ -57,6 +62,40 @@ def check_questions(questions: DataFrame) -> DataFrame:
     return out
 
 
+def readiness(questions: DataFrame, repositories: DataFrame) -> DataFrame:
+    """questions with problem: not_found without a row in repositories (repo_id, status), not_ready unless its status is ready, else null."""
+    known = repositories.groupBy("repo_id").agg(F.max(F.col("status") == "ready").alias("ready"))
+    problem = F.when(F.col("ready").isNull(), "not_found").when(~F.col("ready"), "not_ready")
+    return questions.join(known, "repo_id", "left").withColumn("problem", problem).drop("ready")
+
+
+#: How a failure is reported, by its kind: status and code.
+FAILURES = {"question_invalid": (400, "invalid_request"), "filter_invalid": (400, "invalid_request"), "not_found": (404, "not_found"), "not_ready": (409, "repo_not_ready"), "model_mismatch": (422, "model_mismatch"), "blocked": (422, "answer_blocked"), "rate_limited": (429, "rate_limited"), "cancelled": (499, "cancelled"), "upstream": (502, "upstream_error"), "timeout": (504, "timeout")}
+
+
+def classified(failure: Column) -> Column:
+    """struct(status, code) of a kind of failure; anything unknown is internal, and none is null."""
+    known = F.create_map(*[x for kind, (status, code) in FAILURES.items() for x in (F.lit(kind), F.struct(F.lit(status).alias("status"), F.lit(code).alias("code")))])
+    return F.when(failure.isNotNull(), F.coalesce(F.try_element_at(known, failure), F.struct(F.lit(500).alias("status"), F.lit("internal").alias("code"))))
+
+
+def pending(questions: DataFrame, store: str) -> DataFrame:
+    """The questions that have no answer yet in the Parquet folder store; all of them before it exists."""
+    spark = questions.sparkSession
+    try:
+        answered = spark.read.schema(questions.select("qid").schema).parquet(store)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return questions
+    return questions.join(answered, "qid", "left_anti")
+
+
+def resume(questions: DataFrame, store: str, answer_batch: Callable[[DataFrame], DataFrame]) -> None:
+    """Appends the answers of pending questions to store in one commit; after a failure, a later call goes on with what is missing."""
+    answer_batch(pending(questions, store)).write.mode("append").parquet(store)
+
+
 def ask_model(rows: DataFrame, model: TextModel, prompt: str = "prompt", out: str = "reply") -> DataFrame:
     """rows with the model's reply to each prompt."""
 
@@ -80,8 +119,9 @@ def embed_texts(texts: DataFrame, cache: DataFrame | None, model: VectorModel, t
     return new if cache is None else new.unionByName(cache.join(wanted, "text_hash", "left_semi").select("text_hash", "embedding"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, settings: Settings) -> DataFrame:
-    """(qid, rank, chunk_id) for questions (qid, repo_id, question, embedding), in the mode of the settings without reordering."""
+def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, settings: Settings, indexed: keyword_search.Index | None = None) -> DataFrame:
+    """(qid, rank, chunk_id) for questions (qid, repo_id, question, embedding), each within its repository, in the mode of the settings
+    without reordering. indexed: an index of chunks that was written before."""
     terms = questions.select("qid", "repo_id", question_terms("question").alias("terms"))
     lists = []
     if settings.mode != "keyword":
@@ -90,10 +130,12 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None,
             held = held.filter(F.col("file_path").startswith(settings.path_prefix))
         if settings.languages:
             held = held.filter(F.col("language").isin(*settings.languages))
-        rows = vectors.join(held.select(F.col("chunk_id").alias("id")), "id", "left_semi")
-        lists.append(vector_search.nearest(questions.select("qid", "embedding"), rows, settings.pool).select("qid", "rank", F.col("id").alias("chunk_id")))
+        if settings.embed_model and "embed_model" in chunks.columns:
+            vector_search.one_model(chunks.join(questions.select("repo_id"), "repo_id", "left_semi"), settings.embed_model)
+        rows = vectors.select("id", "embedding").join(held.select(F.col("chunk_id").alias("id"), "repo_id"), "id")
+        lists.append(vector_search.nearest(questions.select("qid", "repo_id", "embedding"), rows, settings.pool, scope="repo_id").select("qid", "rank", F.col("id").alias("chunk_id")))
     if settings.mode != "vector":
-        lists.append(keyword_search.search(keyword_search.index(chunks), terms, settings.pool, list(settings.languages), settings.path_prefix).select("qid", "rank", "chunk_id"))
+        lists.append(keyword_search.search(indexed or keyword_search.index(chunks), terms, settings.pool, list(settings.languages), settings.path_prefix).select("qid", "rank", "chunk_id"))
     if len(lists) == 1:
         return lists[0]
     fused = fusion.fuse(*lists, pool=settings.pool, top=2 * settings.pool)
@@ -110,7 +152,7 @@ def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, m
     ranked = retrieve(questions, chunks, vectors, settings)
     held = chunks.select("chunk_id", F.col("file_path").alias("file"), "start", "end", "symbol", "kind", "language", "content")
     if settings.mode == "hybrid_rerank" and reranker is not None:
-        listed = ranked.filter(F.col("rank") <= settings.depth).join(held, "chunk_id").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "content"))).alias("all"))
+        listed = ranked.filter(F.col("rank") <= settings.depth).join(held, "chunk_id").withColumn("content", bytes_cut(F.col("content"), F.lit(RERANK_BYTES))).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "content"))).alias("all"))
         asked = listed.select("qid", F.array_join(F.transform("all", lambda x: F.concat(F.format_string("[%d] ", x["rank"]), x["content"])), "\n").alias("prompt"), F.size("all").alias("n"))
         replies = ask_model(asked, reranker).select("qid", ranking("reply", "n").alias("ranking")).filter("ranking IS NOT NULL")
         ranked = fusion.rerank(ranked, replies, settings.depth, settings.top)

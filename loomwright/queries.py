@@ -6,6 +6,7 @@ questions, embeddings are vectors, events are job events or requests, conversati
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import answers, text, vectors
 from loomwright.operators import chunks, fusion, keyword_search, metrics, prompts, vector_search
+from loomwright.plans import ask
 from loomwright.sources import tables
 from loomwright.sources.tables import table
 from loomwright.streaming import jobs
@@ -44,6 +46,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("qid", "repo_id", "text", answers.question_terms("text").alias("terms"))
 
 
+_INDEXES: dict[tuple[str, str], keyword_search.Index] = {}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> keyword_search.Index:
+    """The keyword index of documents, written to the shared folder once a session and read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = keyword_search.index(documents(spark, sf_dir), f"{tables.shared_dir(spark)}/keyword-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 # Vector search ------------------------------------------------------------------------------------------------------
 
 NEAREST_SQL = """
@@ -78,11 +91,28 @@ def vector_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").cast("long").alias("dimension"), vectors.is_usable(F.col("embedding"), 64).alias("usable"))
 
 
-@query("SELECT vec_id, true AS same FROM embeddings")
+@query(
+    """
+SELECT qid, CAST(rank AS INTEGER) AS rank, id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM (
+    SELECT q.vec_id AS qid, r.vec_id AS id, round(list_cosine_distance(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) + 0.0 AS distance
+    FROM embeddings q JOIN embeddings r ON q.label = r.label WHERE q.vec_id % 20 = 0))
+WHERE rank <= 10
+"""
+)
+def vector_nearest_in_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question meets the vectors of its own corpus alone; labels stand for corpora."""
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    asked = rows.filter("id % 20 = 0").select(F.col("id").alias("qid"), "embedding", "label")
+    return vector_search.nearest(asked, rows, 10, scope="label")
+
+
+@query("SELECT vec_id, len(embedding)::BIGINT AS dimension, round(embedding[1]::DOUBLE, 7) AS first, round(embedding[-1]::DOUBLE, 7) AS last, round(list_aggregate(embedding::DOUBLE[], 'max'), 7) AS greatest, true AS same FROM embeddings")
 def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors come back from their literal as they were."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", (vectors.from_literal(vectors.to_literal(F.col("embedding"))) == F.col("embedding")).alias("same"))
+    """Vectors read back from their literals: where they begin and end, their greatest number, and whether they are as they were."""
+    e = table(spark, sf_dir, "embeddings").withColumn("read", vectors.from_literal(vectors.to_literal(F.col("embedding"))))
+    at = lambda k: F.round(F.element_at("read", k).cast("double"), 7)
+    return e.select("vec_id", F.size("read").cast("long").alias("dimension"), at(1).alias("first"), at(-1).alias("last"), F.round(F.array_max("read").cast("double"), 7).alias("greatest"), (F.col("read") == F.col("embedding")).alias("same"))
 
 
 # Keyword search -----------------------------------------------------------------------------------------------------
@@ -110,46 +140,51 @@ BM25_SQL = f"WITH {INDEX_SQL} SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_i
 
 @query(f"WITH {INDEX_SQL} SELECT repo_id, n::BIGINT AS n, round(avgdl, 6) AS avgdl FROM st")
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = keyword_search.corpus_stats(keyword_search.index(documents(spark, sf_dir)))
+    stats = keyword_index(spark, sf_dir).stats
     return stats.select("repo_id", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {INDEX_SQL} SELECT repo_id, lexeme, df::BIGINT AS df, total::BIGINT AS total FROM df JOIN (SELECT repo_id, lexeme, sum(tf) AS total FROM tf GROUP BY ALL) USING (repo_id, lexeme)")
 def lexeme_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = keyword_search.term_frequency(keyword_search.index(documents(spark, sf_dir)), keyword_search.question_lexemes(questions(spark, sf_dir)))
+    tf = keyword_search.term_frequency(keyword_index(spark, sf_dir), keyword_search.question_lexemes(questions(spark, sf_dir)))
     return tf.groupBy("repo_id", "lexeme").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
 @query(BM25_SQL)
 def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword_search.search(keyword_search.index(documents(spark, sf_dir)), questions(spark, sf_dir))
+    return keyword_search.search(keyword_index(spark, sf_dir), questions(spark, sf_dir))
 
 
 @query(f"WITH {INDEX_SQL} SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM english WHERE rank <= 20")
 def keyword_bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language filter removes chunks and leaves scores alone."""
-    return keyword_search.search(keyword_search.index(documents(spark, sf_dir)), questions(spark, sf_dir), languages=["en"])
+    return keyword_search.search(keyword_index(spark, sf_dir), questions(spark, sf_dir), languages=["en"])
 
 
-@query()
+@query(
+    f"""WITH {INDEX_SQL}, occ AS (SELECT repo_id, chunk_id, unnest(a) AS lexeme, 1.0::DOUBLE AS w FROM ix UNION ALL SELECT repo_id, chunk_id, unnest(rest), 0.1 FROM ix),
+cd AS (SELECT qid, chunk_id, round(sum(w) / ln(1 + any_value(len(a) + len(rest))), 6) AS score FROM occ JOIN q USING (repo_id, lexeme) JOIN ix USING (repo_id, chunk_id) GROUP BY ALL)
+SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM cd) WHERE rank <= 20"""
+)
 def keyword_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword_search.cover_density(keyword_search.index(documents(spark, sf_dir)), questions(spark, sf_dir))
+    return keyword_search.cover_density(keyword_index(spark, sf_dir), questions(spark, sf_dir))
 
 
 @query(
     r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS w FROM documents),
-p AS (SELECT DISTINCT w[1] AS a, w[2] AS b FROM (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark WHERE item_id % 20 = 0)),
-two AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d))
-SELECT a || ' ' || b AS phrase, count(DISTINCT doc_id) AS n FROM two SEMI JOIN p USING (a, b) GROUP BY a, b
+p AS (SELECT item_id, w AS p, w[1] AS lexeme, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS w FROM benchmark) WHERE len(w) > 0),
+x AS (SELECT doc_id, w, i, w[i] AS lexeme FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d))
+SELECT item_id, count(DISTINCT doc_id) AS n FROM x JOIN p USING (lexeme) WHERE w[i : i + n - 1] = p GROUP BY item_id
 """
 )
 def phrase_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents have the first two words of some questions next to each other."""
+    """How many documents have the words of each question next to each other. Documents with a question's first word are looked at."""
     rows = table(spark, sf_dir, "documents").select("doc_id", text.lexemes(F.col("text")).alias("w"))
-    first = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 1, 2).alias("p")).distinct()
-    met = rows.join(F.broadcast(first), keyword_search.has_phrase(F.col("w"), F.col("p")))
-    return met.groupBy(F.array_join("p", " ").alias("phrase")).agg(F.countDistinct("doc_id").alias("n"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", text.lexemes(F.col("text")).alias("p")).filter(F.size("p") > 0)
+    first = rows.select("doc_id", F.explode(F.array_distinct("w")).alias("lexeme")).join(asked.select("item_id", F.col("p")[0].alias("lexeme")), "lexeme")
+    met = first.select("doc_id", "item_id").join(rows, "doc_id").join(asked, "item_id").filter(F.size(keyword_search.phrase_starts(F.col("w"), F.col("p"))) > 0)
+    return met.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n"))
 
 
 # Fusion and reordering ----------------------------------------------------------------------------------------------
@@ -208,31 +243,37 @@ def places_in_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a question's repository that share its first word at least twice are relevant."""
+    """Documents of a question's repository that share its first word at least twice are relevant, on four lines of each, every fifth as context alone."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), F.element_at(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 1).alias("w"))
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", text.lexemes(F.col("text")).alias("words"))
-    met = docs.join(F.broadcast(asked), "source").filter(F.size(F.filter("words", lambda x: x == F.col("w"))) >= 2)
-    return met.select("qid", F.col("doc_id").alias("label"), F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("start"), F.lit(10).alias("end"), F.lit(2).alias("grade"))
+    met = docs.join(asked, "source").filter(F.size(F.filter("words", lambda x: x == F.col("w"))) >= 2)
+    start = (F.col("doc_id") % 12 + 1).cast("int")
+    return met.select("qid", F.col("doc_id").alias("label"), F.col("doc_id").cast("string").alias("file"), start.alias("start"), (start + 3).alias("end"), F.when(F.col("doc_id") % 5 == 0, 1).otherwise(2).alias("grade"))
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """A retrieved list with a span of five lines for each chunk."""
+    start = (F.col("chunk_id") % 3 + 5).cast("int")
+    return found.select("qid", "rank", F.col("chunk_id").cast("string").alias("file"), start.alias("start"), (start + 4).alias("end"))
 
 
 def _run(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 2 == 0, "dev").otherwise("test").alias("split"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("repo"))
-    ranked = found.select("qid", "rank", F.col("chunk_id").cast("string").alias("file"), F.lit(5).alias("start"), F.lit(15).alias("end"))
     labels = _labels(spark, sf_dir)
-    return metrics.scores(asked, metrics.hits(ranked, labels), labels)
+    return metrics.scores(asked, metrics.hits(_spans(found), labels), labels)
 
 
 SCORES_SQL = rf"""
 WITH {INDEX_SQL},
 ask AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS repo, CASE WHEN item_id % 2 = 0 THEN 'dev' ELSE 'test' END AS split, regexp_extract_all(lower(text), '[a-z0-9]+')[1] AS w FROM benchmark),
-lab AS (SELECT DISTINCT qid, doc_id FROM ask JOIN documents ON source = repo WHERE len(list_filter(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+'), lambda x: x = w)) >= 2),
-want AS (SELECT qid, count(*) AS wanted FROM lab GROUP BY qid)
+lab AS (SELECT DISTINCT qid, doc_id, doc_id % 12 + 1 AS s, doc_id % 12 + 4 AS e, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 2 END AS grade FROM ask JOIN documents ON source = repo WHERE len(list_filter(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+'), lambda x: x = w)) >= 2),
+want AS (SELECT qid, count(*) AS wanted FROM lab WHERE grade = 2 GROUP BY qid)
 """
 
 
 def _scores_sql(name: str, ranked: str) -> str:
     return f"""
-{name}_hit AS (SELECT qid, min(rank) AS first, count(*) FILTER (rank <= 8) AS covered FROM {ranked} JOIN lab ON {ranked}.qid = lab.qid AND chunk_id = doc_id WHERE rank <= 20 GROUP BY {ranked}.qid),
+{name}_hit AS (SELECT qid, min(rank) AS first, count(*) FILTER (rank <= 8) AS covered FROM {ranked} JOIN lab ON {ranked}.qid = lab.qid AND chunk_id = doc_id AND grade = 2 AND s <= chunk_id % 3 + 9 AND chunk_id % 3 + 5 <= e WHERE rank <= 20 GROUP BY {ranked}.qid),
 {name} AS (SELECT ask.qid, split, repo, coalesce(first, 0) AS first, {", ".join(f"(coalesce(first, 0) BETWEEN 1 AND {k})::DOUBLE AS recall_{k}" for k in metrics.RECALL_AT)},
   CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 / first END AS reciprocal, coalesce(covered / wanted, 0.0) AS coverage FROM ask LEFT JOIN {name}_hit h ON ask.qid = h.qid LEFT JOIN want ON ask.qid = want.qid)"""
 
@@ -276,6 +317,76 @@ def run_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.same_lists(keyword_bm25(spark, sf_dir), keyword_bm25_filtered(spark, sf_dir))
 
 
+@query(
+    SCORES_SQL
+    + """ SELECT r.qid, CAST(r.rank AS INTEGER) AS rank, coalesce(max(grade), 0)::INTEGER AS grade FROM ranked r
+LEFT JOIN lab ON r.qid = lab.qid AND chunk_id = doc_id AND s <= chunk_id % 3 + 9 AND chunk_id % 3 + 5 <= e WHERE r.rank <= 20 GROUP BY r.qid, r.rank"""
+)
+def best_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best grade that each retrieved span reaches."""
+    ranked = _spans(keyword_bm25(spark, sf_dir))
+    return metrics.best_grades(ranked, metrics.hits(ranked, _labels(spark, sf_dir)))
+
+
+@query(RUNS_SQL + f" SELECT 'all' AS dimension, 'all' AS value, count(*) AS n, {', '.join(f'round(avg({m}), 6) AS {m}' for m in MEANS)} FROM run WHERE split = 'dev' AND qid % 8 <> 6")
+def evaluation_answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over the answerable questions of the development split; every eighth question stands for one without an answer."""
+    asked = _run(spark, sf_dir, keyword_bm25(spark, sf_dir)).withColumn("kind", F.when(F.col("qid") % 8 == 6, "unanswerable").otherwise("where"))
+    out = metrics.summary(metrics.answerable(metrics.of_split(asked, "dev")), [])
+    return out.select("dimension", "value", "n", *[F.round(m, 6).alias(m) for m in MEANS])
+
+
+@query(
+    RUNS_SQL
+    + f""", b AS (SELECT split, repo, {", ".join(f"run.{m} AS {m}, base.{m} AS base_{m}" for m in MEANS)} FROM run JOIN base USING (qid, split, repo) WHERE qid % 3 <> 0)
+SELECT CASE WHEN grouping(split) = 0 THEN 'split' ELSE 'all' END AS dimension, coalesce(split, 'all') AS value, count(*) AS n,
+{", ".join(f"round(CASE WHEN abs(avg({m}) - avg(base_{m})) < 0.0005 THEN 0.0 ELSE avg({m}) - avg(base_{m}) END, 6) + 0.0 AS {m}" for m in MEANS)} FROM b GROUP BY GROUPING SETS ((), (split))"""
+)
+def evaluation_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of the means of two runs over the questions that both scored; the second lacks every third."""
+    run, base = _run(spark, sf_dir, keyword_bm25(spark, sf_dir)), _run(spark, sf_dir, keyword_bm25_filtered(spark, sf_dir)).filter("qid % 3 <> 0")
+    out = metrics.paired(run, base, ["split"])
+    return out.select("dimension", "value", "n", *[(F.round(m, 6) + 0.0).alias(m) for m in MEANS])
+
+
+@query(
+    RUNS_SQL
+    + """, p AS (SELECT run.qid, run.first <> base.first AS changed, run.recall_8 = 1 AS passed, base.recall_3 = 1 AS base_passed FROM run JOIN base ON run.qid = base.qid)
+SELECT qid, why FROM (SELECT qid, CASE WHEN changed THEN 'changed' WHEN NOT passed OR NOT base_passed THEN 'failed' ELSE 'spot check' END AS why FROM p)
+QUALIFY why <> 'spot check' OR row_number() OVER (PARTITION BY why ORDER BY qid) <= 3"""
+)
+def pairs_to_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that a reader looks at: changed ones, failed ones, and three that neither changed nor failed."""
+    run, base = _run(spark, sf_dir, keyword_bm25(spark, sf_dir)), _run(spark, sf_dir, keyword_bm25_filtered(spark, sf_dir))
+    both = run.select("qid", F.col("first").alias("now"), (F.col("recall_8") == 1).alias("passed")).join(base.select("qid", F.col("first").alias("then"), (F.col("recall_3") == 1).alias("base_passed")), "qid")
+    return metrics.to_review(both.select("qid", (F.col("now") != F.col("then")).alias("changed"), "passed", "base_passed"), 3)
+
+
+@query(
+    """
+SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS dimension, coalesce(lang, source, 'all') AS value, count(*) FILTER (quality = 1) AS passed, count(*) AS asked
+FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((), (lang), (source))
+"""
+)
+def pass_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good labels stand for answers that pass."""
+    met = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    return metrics.pass_counts(met.select("lang", "source", (F.col("quality") == 1).alias("passed")), ["lang", "source"])
+
+
+@query(
+    """
+WITH c AS (SELECT event_type = 'view' AS cached, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'timeout' WHEN event_id % 3 = 1 THEN 'unparseable' ELSE 'error' END END AS fallback FROM events)
+SELECT CASE WHEN cached THEN 'cache hits' ELSE 'calls' END AS counter, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'fallback: ' || fallback, count(*) FROM c WHERE fallback IS NOT NULL GROUP BY 1
+"""
+)
+def fallback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls of a reranker: views come from the cache, errors fall back for one of three reasons."""
+    reason = F.element_at(F.array(F.lit("timeout"), F.lit("unparseable"), F.lit("error")), (F.col("event_id") % 3 + 1).cast("int"))
+    calls = table(spark, sf_dir, "events").select((F.col("event_type") == "view").alias("cached"), F.when(F.col("event_type") == "error", reason).alias("fallback"))
+    return metrics.fallback_counts(calls)
+
+
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, max(value) AS p100, round(median(value), 6) AS middle FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -340,28 +451,44 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size(text.split_lines(F.col("t"))).cast("long").alias("n_lines"), text.line_count(F.col("t")).cast("long").alias("counted"))
 
 
-@query("SELECT lang, count(*) AS n, count(*) FILTER (length(text) > 2000) AS long, max(length(text))::BIGINT AS longest, count(*) FILTER (coalesce(text, '') = '') AS empty FROM documents GROUP BY lang")
+@query(
+    f"""WITH {LINES_SQL}, solid AS (SELECT file, n FROM l WHERE regexp_matches(line, '[^ \t-\r]')), p AS (SELECT file, min(n) AS first, max(n) AS last FROM solid GROUP BY file),
+w AS (SELECT file, first, last, unnest(range(0, greatest(ceil((last - first + 1 - 5) / 4.0), 0)::BIGINT + 1)) AS i FROM p),
+c AS (SELECT file, first + i * 4 AS s, least(last, first + i * 4 + 4) AS e FROM w),
+k AS (SELECT c.file, array_to_string(a[s : e], chr(10)) AS content FROM c JOIN g ON c.file = g.file WHERE EXISTS (SELECT 1 FROM solid WHERE solid.file = c.file AND n BETWEEN s AND e))
+SELECT lang AS language, 'window' AS kind, count(*) AS chunks, count(DISTINCT file) AS files, max(length(content))::BIGINT AS longest FROM k JOIN documents ON doc_id = file GROUP BY lang"""
+)
 def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.length("text") > 2000).alias("long"), F.max(F.length("text")).cast("long").alias("longest"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("empty"))
+    """Chunks of at most five lines, counted by language and kind, with the longest."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("lang").alias("language"), "text")
+    return chunks.report(chunks.chunk(files, 5, 1))
 
 
 # Addresses, paths and files -----------------------------------------------------------------------------------------
 
 
+#: Pages give addresses of every kind; the same words in either SQL.
+ADDRESS = """CASE page_id % 12 WHEN 0 THEN url WHEN 1 THEN concat('https://github.com/owner', page_id, '/repo.git') WHEN 2 THEN concat(' HTTPS://GitHub.com/a-b/c_', page_id, '/ ')
+WHEN 3 THEN concat('https://github.com/-x/', page_id) WHEN 4 THEN concat('https://github.com/a/b/', page_id) WHEN 5 THEN concat('http://github.com/a/', page_id) WHEN 6 THEN 'https://github.com/a/..'
+WHEN 7 THEN concat('https://github.com/a/b?x=', page_id) WHEN 8 THEN ' ' WHEN 9 THEN concat('https://github.com/a/', repeat('b', 200)) WHEN 10 THEN concat('https://github.com/a/-', page_id) ELSE concat('https://', page_id, '.com/a/b') END"""
+
+
 @query(
-    r"""
-WITH p AS (SELECT page_id, trim(coalesce(url, ''), e' \t\n\x0B\f\r') AS s FROM pages),
-h AS (SELECT *, split_part(substr(s, 9), '/', 1) AS host FROM p),
-x AS (SELECT *, regexp_replace(regexp_replace(substr(s, 9 + length(host)), '/$', ''), '\.git$', '') AS path FROM h)
-SELECT page_id, CASE WHEN s = '' THEN 'empty' WHEN length(s) > 200 THEN 'too long'
-  WHEN NOT regexp_full_match(s, '[\x21-\x7E]+') OR regexp_matches(s, '[%\\?#]') THEN 'contains a disallowed character'
-  WHEN lower(substr(s, 1, 8)) <> 'https://' THEN 'scheme must be https' WHEN lower(host) <> 'github.com' THEN 'host must be github.com'
-  WHEN NOT regexp_full_match(path, '/[^/]*/[^/]*') THEN 'path must be /<owner>/<repo>' END AS reason FROM x
+    rf"""
+WITH p AS (SELECT page_id, trim(coalesce({ADDRESS}, ''), e' \t\n\x0B\f\r') AS s FROM pages),
+h AS (SELECT *, lower(split_part(substr(s, 9), '/', 1)) AS host FROM p),
+x AS (SELECT *, string_split(regexp_replace(regexp_replace(substr(s, 9 + length(host)), '/$', ''), '\.git$', ''), '/') AS part FROM h),
+r AS (SELECT *, CASE WHEN s = '' THEN 'no address' WHEN length(s) > 200 THEN 'over 200 characters'
+  WHEN NOT regexp_full_match(s, '[\x21-\x7E]+') OR regexp_matches(s, '[%\\?#]') THEN 'a character that addresses of repositories do not have'
+  WHEN NOT starts_with(lower(s), 'https://') THEN 'not an https address' WHEN host <> 'github.com' THEN 'another host' WHEN len(part) <> 3 OR part[1] <> '' THEN 'not the form owner/name'
+  WHEN NOT regexp_full_match(part[2], '[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?') OR length(part[2]) > 39 THEN 'owner breaks the host''s rule'
+  WHEN NOT regexp_full_match(part[3], '[A-Za-z0-9._][A-Za-z0-9._-]*') OR length(part[3]) > 100 OR part[3] IN ('.', '..') THEN 'name breaks the host''s rule' END AS reason FROM x)
+SELECT page_id, reason, CASE WHEN reason IS NULL THEN 'https://github.com/' || part[2] || '/' || part[3] END AS url FROM r
 """
 )
 def repository_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.repository_url(F.col("url"))["reason"].alias("reason"))
+    found = table(spark, sf_dir, "pages").select("page_id", text.repository_url(F.expr(ADDRESS)).alias("x"))
+    return found.select("page_id", "x.reason", "x.url")
 
 
 @query(
@@ -375,19 +502,63 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", path.alias("p")).select("page_id", F.col("p").startswith("en/").alias("english"), text.is_test_path(F.col("p")).alias("test"))
 
 
+#: Documents as files of every kind; the same words in either SQL.
+FILE_PATH = "concat(CASE doc_id % 9 WHEN 0 THEN 'vendor/' WHEN 1 THEN 'a/node_modules/' ELSE 'src/' END, doc_id, CASE doc_id % 7 WHEN 0 THEN '.rs' WHEN 1 THEN '.min.js' WHEN 2 THEN '/go.sum' WHEN 3 THEN '.PY' ELSE '.md' END)"
+FILE_TEXT = "CASE WHEN doc_id % 11 = 0 THEN concat('// DO NOT EDIT', text) WHEN doc_id % 13 = 0 THEN concat(text, chr(0)) ELSE text END"
+
+
 @query(
-    """
-SELECT CASE WHEN octet_length(encode(text)) > 4096 THEN 'too_large' WHEN contains(array_to_string(string_split(text, chr(10))[1:5], chr(10)), 'DO NOT EDIT') THEN 'generated' ELSE 'kept' END AS reason, count(*) AS n
-FROM documents GROUP BY 1
+    f"""
+WITH f AS (SELECT {FILE_PATH} AS path, {FILE_TEXT} AS t FROM documents)
+SELECT CASE WHEN regexp_matches(path, '^vendor/|/node_modules/') THEN 'ignored_dir' WHEN ends_with(path, '/go.sum') THEN 'lockfile' WHEN ends_with(path, '.min.js') THEN 'generated' WHEN ends_with(path, '.rs') THEN 'unsupported'
+  WHEN octet_length(encode(t)) > 4096 THEN 'too_large' WHEN contains(substr(t, 1, 8192), chr(0)) THEN 'binary' WHEN regexp_matches(array_to_string(string_split(t, chr(10))[1:5], chr(10)), 'Code generated|DO NOT EDIT|@generated') THEN 'generated' ELSE 'kept' END AS reason, count(*) AS n
+FROM f GROUP BY 1
 """
 )
 def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as Markdown files, of which those over 4 KB are left out."""
-    d = table(spark, sf_dir, "documents")
-    reason = text.skip_reason(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))), F.octet_length("text"), F.substring(F.col("text"), 1, 8192), 4096)
+    """documents as source files, of which those over 4 KB are left out."""
+    d = table(spark, sf_dir, "documents").select(F.expr(FILE_PATH).alias("path"), F.expr(FILE_TEXT).alias("t"))
+    reason = text.skip_reason(F.col("path"), F.octet_length("t"), F.substring(F.col("t"), 1, 8192), 4096)
     return d.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query(
+    """
+WITH r AS (SELECT DISTINCT source AS repo_id, right(source, 1) IN ('1', '3', '5') AS waits FROM documents)
+SELECT item_id AS qid, CASE WHEN repo_id IS NULL THEN 'not_found' WHEN waits THEN 'not_ready' END AS problem, CASE WHEN repo_id IS NULL THEN 404 WHEN waits THEN 409 END AS status, CASE WHEN repo_id IS NULL THEN 'not_found' WHEN waits THEN 'repo_not_ready' END AS code
+FROM benchmark LEFT JOIN r ON repo_id = 'src' || (item_id % 25)
+"""
+)
+def question_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which questions go to a repository that is absent or not ready, and how that is reported."""
+    repositories = table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id"), F.when(F.col("source").rlike("[135]$"), "indexing").otherwise("ready").alias("status"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), F.col("item_id") % 25).alias("repo_id"))
+    judged = ask.readiness(asked, repositories).withColumn("said", ask.classified(F.col("problem")))
+    return judged.select("qid", "problem", "said.status", "said.code")
+
+
+@query(
+    """
+WITH i AS (SELECT s_suppkey, lower('O/' || s_name) AS key, CASE WHEN s_suppkey % 4 = 0 THEN 'failed' ELSE 'ready' END AS status, substr(md5(s_name), 1, CASE WHEN s_suppkey % 5 = 0 THEN 9 ELSE 12 END) AS now FROM supplier WHERE s_suppkey % 3 <> 0),
+p AS (SELECT 'o/' || s_name AS name, substr(md5(s_name), 1, 12) AS c FROM supplier), m AS (SELECT * FROM p LEFT JOIN i ON key = lower(name))
+SELECT name, 'not indexed' AS problem FROM m WHERE key IS NULL UNION ALL SELECT name, 'not ready: ' || status FROM m WHERE status <> 'ready' UNION ALL SELECT name, 'indexed at ' || substr(now, 1, 7) || ', pinned at ' || substr(c, 1, 7) FROM m WHERE now <> c
+"""
+)
+def pinned_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers stand for repositories: a third is not indexed, some failed, some are indexed at another commit."""
+    s = table(spark, sf_dir, "supplier").withColumn("commit", F.substring(F.md5("s_name"), 1, 12))
+    at = F.when(F.col("s_suppkey") % 5 == 0, F.substring("commit", 1, 9)).otherwise(F.col("commit"))
+    indexed = s.filter("s_suppkey % 3 <> 0").select(F.lit("O").alias("owner"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 4 == 0, "failed").otherwise("ready").alias("status"), at.alias("commit"))
+    return tables.pin_problems(s.select(F.concat(F.lit("o/"), "s_name").alias("name"), "commit"), indexed)
+
+
+@query("SELECT c_custkey AS repo_id, o_orderkey AS job_id, o_orderstatus AS job_status FROM customer LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) ON o_custkey = c_custkey")
+def repository_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as repositories, orders as their jobs."""
+    jobs_ = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("repo_id"), F.col("o_orderstatus").alias("status"))
+    return tables.listed(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo_id")), jobs_)
+
+
 # Caches and the registry --------------------------------------------------------------------------------------------
 
 
@@ -487,6 +658,21 @@ def job_claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.claim_order(_jobs(spark, sf_dir)).select("turn", "key")
 
 
+@query("SELECT user_id AS key, arg_max(substr(repeat(props, 100), 1, 500), (ts, event_id)) FILTER (event_type = 'error') AS message FROM events GROUP BY user_id")
+def job_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last failure of each job, its message cut."""
+    kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("event_type")]
+    e = table(spark, sf_dir, "events").withColumns({"kind": kind, "said": F.repeat("props", F.lit(100))})
+    return jobs.job_states(e, "user_id", "ts", "event_id", "kind", "value", "said").select(F.col("user_id").alias("key"), "message")
+
+
+@query(STATES_SQL + " SELECT key, key AS repo_id, c_mktsegment AS owner, c_name AS name, attempts::BIGINT AS attempts FROM s JOIN customer ON c_custkey = key WHERE status = 'running'")
+def claimed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running jobs with the repository of each; customers stand for repositories."""
+    repositories = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo_id"), F.col("c_mktsegment").alias("owner"), F.col("c_name").alias("name"))
+    return jobs.claimed(_jobs(spark, sf_dir).withColumn("repo_id", F.col("key")), repositories).withColumn("attempts", F.col("attempts").cast("long"))
+
+
 @query(
     STATES_SQL
     + """, n AS (SELECT max(ts) AS now FROM events)
@@ -529,12 +715,50 @@ def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("conv_id").agg(F.count("*").alias("n_blocks"), F.max("turn").alias("last_turn"))
 
 
-@query("SELECT conv_id, turn, text AS checked, 0 AS invalid, starts_with(lower(trim(text)), 'not enough evidence in the retrieved code.') AS refused FROM conversations WHERE role = 'assistant' AND NOT regexp_matches(text, '\\[[0-9]')")
+@query(
+    """
+WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, text || CASE WHEN turn >= 1 THEN ' [1] see x[2] [' || turn || '] `[3]`.' ELSE ' see x[2] `[3]`.' END AS checked, CASE WHEN turn >= 1 THEN 2 ELSE 4 END AS invalid,
+  CASE WHEN turn >= 1 THEN list_distinct_in_order ELSE '' END AS numbers, starts_with(lower(trim(text)), 'not enough evidence in the retrieved code.') AS refused
+FROM (SELECT *, CASE WHEN turn = 1 THEN '1' ELSE '1,' || turn END AS list_distinct_in_order FROM c)
+"""
+)
 def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns checked against the blocks before them; none of the given ones has a marker."""
-    c = table(spark, sf_dir, "conversations").filter("role = 'assistant'").filter(~F.col("text").rlike(r"\[[0-9]"))
-    out = prompts.cite(c.select("conv_id", "turn", F.col("text").alias("answer"), F.col("turn").cast("int").alias("n_blocks")))
-    return out.select("conv_id", "turn", F.col("text").alias("checked"), "invalid", "refused")
+    """Assistant turns, each with markers added, checked against as many blocks as there are turns before: good and bad markers, an index, and one in code."""
+    c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    marked = F.concat("text", F.lit(" [1][9] see x[2] ["), "turn", F.lit("] [70-2] `[3]`."))
+    out = prompts.cite(c.select("conv_id", "turn", marked.alias("answer"), F.col("turn").cast("int").alias("n_blocks")))
+    return out.select("conv_id", "turn", F.col("text").alias("checked"), "invalid", F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"), "refused")
+
+
+@query("SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct([3, turn]), lambda x: x NOT IN (1, 2, 5))), ',') AS uncited, array_to_string(list_filter([1, 2, 5], lambda x: x NOT IN (3, turn)), ',') AS unused FROM conversations")
+def citation_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers [3] and [turn] of each text against the citations 1, 2 and 5; an index x[8] is no marker."""
+    c = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("qid"), F.concat("text", F.lit(" [3]["), "turn", F.lit("] x[8]")).alias("answer"), F.array(F.lit(2), F.lit(1), F.lit(5)).alias("numbers"))
+    joined = lambda name: F.array_join(F.col(name).cast("array<string>"), ",").alias(name)
+    return prompts.marker_problems(c).select("qid.conv_id", "qid.turn", joined("uncited"), joined("unused"))
+
+
+@query(
+    """
+WITH RECURSIVE d AS (SELECT source, doc_id, greatest(1, ceil(length(text) / 2.0))::BIGINT AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+b AS (SELECT source, doc_id, r, cost AS used, 1::BIGINT AS n, 0::BIGINT AS batch FROM d WHERE r = 1
+  UNION ALL SELECT d.source, d.doc_id, d.r, CASE WHEN b.n >= 8 OR b.used + d.cost > 4000 THEN d.cost ELSE b.used + d.cost END, CASE WHEN b.n >= 8 OR b.used + d.cost > 4000 THEN 1 ELSE b.n + 1 END,
+    CASE WHEN b.n >= 8 OR b.used + d.cost > 4000 THEN b.batch + 1 ELSE b.batch END FROM b JOIN d ON d.source = b.source AND d.r = b.r + 1)
+SELECT source, doc_id, batch FROM b
+"""
+)
+def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of each source in requests of at most 8 texts and 4,000 tokens."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", text.token_estimate(F.col("text")).cast("long").alias("cost"))
+    return prompts.request_batches(d, "source", "doc_id", "cost", 8, 4000).select("source", "doc_id", "batch")
+
+
+@query("SELECT count(*) AS texts, count(DISTINCT sha256(text)) AS \"distinct\", ceil(count(DISTINCT sha256(text)) / 64.0)::BIGINT AS requests, ceil(count(DISTINCT sha256(text)) / 64.0) + 5 <= 100 AS affordable FROM documents")
+def budget_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all texts can be embedded with 100 requests left, of which 5 are kept."""
+    out = prompts.preflight(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_hash")), 100, reserve=5)
+    return out.withColumn("requests", F.col("requests").cast("long"))
 
 
 @query("SELECT doc_id, greatest(3, 1 + coalesce(list_aggregate(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x)), 'max'), 0))::BIGINT AS fence, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS short FROM documents")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import IGNORED_DIRS, language_of, line_count, skip_reason
@@ -63,8 +63,9 @@ def scan(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_kb: int
     head = F.substring(F.coalesce("text", F.lit("")), 1, HEAD)
     reason = F.when(F.col("kind") != "file", F.col("kind")).otherwise(skip_reason(F.col("path"), F.col("size"), head, most))
     rows = rows.withColumn("skip_reason", reason)
-    place = F.row_number().over(Window.partitionBy(F.col("skip_reason").isNull()).orderBy("place"))
-    capped = F.when(F.col("skip_reason").isNull() & (place > max_files), "over_file_cap").otherwise(F.col("skip_reason"))
+    # The place of the last file within the cap, from places alone: texts are neither sorted nor numbered.
+    within = rows.filter("skip_reason IS NULL").select("place").orderBy("place").limit(max_files).agg(F.max("place")).scalar()
+    capped = F.when(F.col("skip_reason").isNull() & (F.col("place") > within), "over_file_cap").otherwise(F.col("skip_reason"))
     rows = rows.withColumn("skip_reason", capped)
     kept = F.col("skip_reason").isNull()
     return rows.select("path", language_of(F.col("path")).alias("language"), "size", F.when(kept, line_count(F.col("text"))).alias("lines"), F.when(kept, F.col("text")).alias("text"), "skip_reason")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one for a local master where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomwright-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
 def cached(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(found, missing): wanted with what the cache has, and the distinct keys that it lacks."""
     return wanted.join(cache, keys), wanted.select(*keys).distinct().join(cache, keys, "left_anti")
@@ -44,6 +56,39 @@ def latest(left: DataFrame, right: DataFrame, key: str, *order: Column) -> DataF
     return left.join(last_write(right, [key], *order), key, "left")
 
 
+def listed(repositories: DataFrame, jobs: DataFrame) -> DataFrame:
+    """repositories (repo_id, ...), the newest id first, each with the status of its latest job (job_id, repo_id, status)."""
+    last = last_write(jobs, ["repo_id"], F.desc("job_id")).select("repo_id", "job_id", F.col("status").alias("job_status"))
+    return repositories.join(last, "repo_id", "left").orderBy(F.desc("repo_id"))
+
+
+def pin_problems(pins: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(name, problem) of pins (name: owner/name, commit) against indexed repositories (owner, name, status, commit), whatever the case."""
+    have = indexed.select(F.lower(F.concat_ws("/", "owner", "name")).alias("key"), "status", F.col("commit").alias("at"))
+    met = pins.select("name", "commit", F.lower("name").alias("key")).join(have, "key", "left")
+    other = ~F.col("at").eqNullSafe(F.col("commit"))
+    short = lambda c: F.coalesce(F.substring(c, 1, 7), F.lit("nothing"))
+    said = F.array(
+        F.when(F.col("status").isNull(), "not indexed"),
+        F.when(F.col("status") != "ready", F.concat(F.lit("not ready: "), "status")),
+        F.when(F.col("status").isNotNull() & other, F.concat(F.lit("indexed at "), short("at"), F.lit(", pinned at "), short("commit"))),
+    )
+    return met.select("name", F.explode(F.array_compact(said)).alias("problem"))
+
+
+def label_problems(labels: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, problem) of labels (id, file, start, end, symbol) against lines (file, n, line): the file is there, the lines are in it, and one of them has the symbol."""
+    sizes = lines.groupBy("file").agg(F.max("n").alias("size"))
+    near = labels.join(sizes, "file", "left")
+    spot = F.concat_ws(":", "file", "start", "end")
+    absent = near.filter("size IS NULL").select("id", F.concat(F.lit("no such file: "), spot).alias("problem"))
+    outside = near.filter((F.col("start") < 1) | (F.col("end") < F.col("start")) | (F.col("end") > F.col("size"))).select("id", F.concat(F.lit("lines outside the file: "), spot).alias("problem"))
+    named = labels.filter("symbol IS NOT NULL").withColumn("n", F.explode(F.when((F.col("start") >= 1) & (F.col("end") >= F.col("start")), F.sequence("start", "end"))))
+    seen = named.join(lines, ["file", "n"]).groupBy("id", "file", "start", "end", "symbol").agg(F.max(F.contains("line", F.substring_index("symbol", ".", -1))).alias("seen"))
+    unseen = seen.filter("NOT seen").select("id", F.concat(F.lit("symbol not in the lines: "), spot).alias("problem"))
+    return absent.unionByName(outside).unionByName(unseen)
+
+
 class VersionedTable:
     """A table whose new version becomes visible at once: the data first, then one row that points to it."""
 

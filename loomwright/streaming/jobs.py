@@ -16,8 +16,9 @@ def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def job_states(events: DataFrame, key: str, ts: str, order: str, kind: str, value: str) -> DataFrame:
-    """(key, status, attempts, progress, first_ts, last_ts) of each job after all its events.
+def job_states(events: DataFrame, key: str, ts: str, order: str, kind: str, value: str, message: str | None = None) -> DataFrame:
+    """(key, status, attempts, progress, first_ts, last_ts) of each job after all its events, and with a column of messages the last
+    failure's, cut to MESSAGE_CHARS.
 
     Events of kind "queued", "claimed", "progress", "failed", "released" or "succeeded"; progress keeps the last value that was told.
     A release takes back an attempt.
@@ -26,20 +27,32 @@ def job_states(events: DataFrame, key: str, ts: str, order: str, kind: str, valu
     status = F.create_map(*[F.lit(x) for pair in after.items() for x in pair])[F.col(kind)]
     last = lambda c: F.max_by(c, F.struct(ts, order))
     told = F.when(F.col(kind) == "progress", F.col(value))
+    said = [] if message is None else [F.max_by(F.substring(F.col(message), 1, MESSAGE_CHARS), F.when(F.col(kind) == "failed", F.struct(ts, order))).alias("message")]
     return events.groupBy(key).agg(
         last(status).alias("status"),
         F.greatest(F.sum(F.when(F.col(kind) == "claimed", 1).when(F.col(kind) == "released", -1).otherwise(0)), F.lit(0)).alias("attempts"),
         F.max_by(told, F.when(told.isNotNull(), F.struct(ts, order))).alias("progress"),
         F.min(ts).alias("first_ts"),
         F.max(ts).alias("last_ts"),
+        *said,
     )
 
 
 def claim_order(jobs: DataFrame, status: str = "queued") -> DataFrame:
-    """Queued jobs by the order in which workers claim them: the oldest first, then the lower id."""
-    queued = jobs.filter(F.col("status") == status)
-    bounds = queued.select("key", "first_ts").orderBy("first_ts", "key")
-    return bounds.select(F.row_number().over(Window.orderBy("first_ts", "key")).alias("turn"), "key", "first_ts")
+    """Queued jobs by the order in which workers claim them: the oldest first, then the lower id.
+
+    Jobs are numbered within ranges of (first_ts, key); a range begins where the ones before it end, by a running sum over the ranges alone."""
+    queued = jobs.filter(F.col("status") == status).select("key", "first_ts")
+    ranged = queued.repartitionByRange("first_ts", "key").withColumn("range", F.spark_partition_id())
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("first_ts", "key"))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    return ranged.withColumn("inside", inside).join(F.broadcast(offsets), "range").select((F.col("before") + F.col("inside")).cast("int").alias("turn"), "key", "first_ts")
+
+
+def claimed(jobs: DataFrame, repositories: DataFrame) -> DataFrame:
+    """Running jobs (key, repo_id, attempts) with owner and name of their repositories (repo_id, owner, name)."""
+    return jobs.filter(F.col("status") == "running").join(repositories, "repo_id").select("key", "repo_id", "owner", "name", "attempts")
 
 
 def claim_next(jobs: DataFrame) -> DataFrame:

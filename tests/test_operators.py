@@ -92,7 +92,7 @@ def test_bm25_boost_and_filter(spark):
     assert keyword_search.search(indexed, asked(spark, "the of")).count() == 0
     assert keyword_search.search(indexed, asked(spark, "rows"), path_prefix="s_c/").count() == 0
     assert {r.chunk_id for r in keyword_search.cover_density(indexed, asked(spark, "save rows")).collect()} == {1, 2}
-    assert keyword_search.corpus_stats(indexed).first()["n"] == len(CORPUS)
+    assert indexed.stats.first()["n"] == len(CORPUS)
 
 
 def test_fusion(spark):
