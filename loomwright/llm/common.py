@@ -39,13 +39,24 @@ def unused(name: str, taken: list[str]) -> str:
     return name
 
 
+def refuse(df: DataFrame, *names: str) -> None:
+    """Raises if df has a column of one of the names, which an operator is about to add (column names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    for name in names:
+        if name.lower() in taken:
+            raise ValueError(f"the input already has a column {name}")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set on the context; a temporary one only for a local
+    master without either, as in tests."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="loomwright-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -63,6 +74,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key with more rows than one in so many is met by broadcast: there are fewer such keys than this.
+HOT_KEYS = 10_000
+
+
+def spread_join(rows: DataFrame, total: int, named: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined on key with named (one row for each key; count: its rows). Keys with so many of the total rows that a task would feel it are
+    broadcast, less than HOT_KEYS of them at any size; the rest is shuffled."""
+    most = max(1_000, total // HOT_KEYS)
+    hot = F.broadcast(named.filter(F.col(count) > most))
+    rest = rows.join(hot.select(key), key, "left_anti").join(named.filter(F.col(count) <= most), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column as one array, and its n+1 offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
