@@ -2,11 +2,13 @@
 
 The page is cut at block-level tags into flat blocks of text. Each block has its number of words, its link density (words inside
 links over words), the same of the block before and after it, and what encloses it (an article; navigation or other matter
-that a page wraps around its text). Words in class, id or role say nothing of an element that holds the page's chief text. A decision tree, grown from a small labelled table, tells main text from the rest.
+that a page wraps around its text). Words in class, id or role say nothing of an element that holds the page's chief text. A decision tree, grown from
+the blocks of a few labelled pages, tells main text from the rest.
 
 Defined results
 - A null or empty page has an empty text. Repeated rows are extracted one by one. Very long pages are read whole. An empty
-  table gives an empty result. Unclosed tags, comments and quotes end with the page. Other columns pass through.
+  table gives an empty result. Unclosed tags, comments and quotes end with the page. Other columns pass through;
+  one with the name of the output column (whatever the case) is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.common import refuse
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WHITE = re.compile(r"[\s ]+")
@@ -42,27 +46,57 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 
 FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "around", "heading", "listed"]
 
-#: A small labelled table of blocks: the features above, then 1 for main text.
+#: Labelled pages: [+40] stands for 40 words of main text, [-3] for 3 words of anything else; a after the number: all inside a link;
+#: /2: two of them. Some layouts name what stands around the text, in others sizes and links alone tell.
 LABELLED = [
-    # paragraphs of an article: long, short, one word, with a link, first, last
-    (80, 0.0, 9, 0.0, 60, 0.0, 1, 0, 0, 0, 1), (35, 0.0, 80, 0.0, 4, 0.0, 1, 0, 0, 0, 1), (4, 0.0, 35, 0.0, 50, 0.0, 1, 0, 0, 0, 1),
-    (1, 0.0, 35, 0.0, 90, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 0, 0, 1), (60, 0.1, 50, 0.0, 40, 0.0, 1, 0, 0, 0, 1),
-    (3, 1.0, 50, 0.0, 70, 0.0, 1, 0, 0, 0, 1), (40, 0.0, 60, 0.0, 9, 0.1, 1, 0, 0, 0, 1), (120, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (2, 0.0, 1, 1.0, 30, 0.0, 1, 0, 0, 0, 1),
-    # headings and lists of an article
-    (9, 0.0, 12, 0.0, 80, 0.0, 1, 0, 1, 0, 1), (2, 0.0, 70, 0.0, 40, 0.0, 1, 0, 1, 0, 1), (12, 0.0, 30, 0.0, 11, 0.0, 1, 0, 0, 1, 1), (3, 0.0, 4, 0.0, 5, 0.0, 1, 0, 0, 1, 1), (5, 0.4, 40, 0.0, 6, 0.0, 1, 0, 0, 1, 1),
-    # menus, headers, footers, sidebars, notices, adverts, forms and comments, outside an article and inside one
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 0), (1, 1.0, 1, 1.0, 9, 0.0, 0, 1, 0, 1, 0), (2, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0, 0), (9, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0, 0),
-    (10, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (12, 0.2, 2, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (6, 0.0, 8, 0.0, 9, 0.0, 0, 1, 1, 0, 0), (45, 0.0, 40, 0.0, 30, 0.0, 0, 1, 0, 0, 0), (70, 0.0, 80, 0.0, 60, 0.0, 0, 1, 0, 0, 0),
-    (25, 0.0, 60, 0.0, 50, 0.0, 1, 1, 0, 0, 0), (3, 1.0, 60, 0.0, 50, 0.0, 1, 1, 0, 0, 0), (40, 0.0, 50, 0.0, 0, 0.0, 1, 1, 0, 1, 0), (8, 0.0, 90, 0.0, 12, 0.0, 1, 1, 1, 0, 0), (1, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0, 0, 0),
-    # pages that mark no article: running text against scattered bits
-    (60, 0.0, 8, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (18, 0.1, 40, 0.0, 35, 0.1, 0, 0, 0, 0, 1), (8, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 0, 1), (25, 0.0, 30, 0.0, 28, 0.0, 0, 0, 0, 1, 1),
-    (14, 0.0, 70, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (6, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (12, 0.0, 12, 0.0, 14, 0.0, 0, 0, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (5, 0.9, 4, 0.8, 6, 0.9, 0, 0, 0, 1, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 2, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (12, 0.8, 9, 0.7, 14, 0.9, 0, 0, 0, 0, 0), (2, 0.5, 3, 0.9, 2, 0.6, 0, 0, 0, 1, 0), (3, 1.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 3, 0.9, 0, 0.0, 0, 0, 0, 0, 0), (1, 0.0, 1, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
+    # an article with marked surroundings, a sidebar and comments inside it
+    "<header><p>[-2a]<p>[-5]</header><nav><ul><li>[-1a]<li>[-1a]<li>[-2a]</ul></nav><article><h1>[+8]</h1><p>[+70]<p>[+35/3]<p>[+1]<aside><p>[-24]<p>[-3a]</aside><h2>[+2]</h2><p>[+4]<ul><li>[+12]<li>[+3]<li>[+5/2]</ul><p>[+120]<section class=comments><h3>[-1]</h3><p>[-45]<p>[-8]</section></article><footer><p>[-9]<p>[-12/3]</footer>",
+    "<div class=cookie-notice>[-25/2]</div><div class=menu><div>[-1a]</div><div>[-1a]</div></div><main><h1>[+5]</h1><div>[+50]</div><div>[+1]</div><div>[+1]</div><div>[+80]</div><div class=advert><p>[-40]<p>[-2a]</div><div>[+30]</div><form><p>[-6]<p>[-3]</form></main><div class=sidebar><h3>[-2]</h3><p>[-60]</div>",
+    "<nav>[-2a]</nav><article><p>[+1]<p>[+3a]<p>[+18]</article><aside><p>[-70]<p>[-80]</aside>",
+    "<div class=banner><p>[-30]</div><article><h2>[+3]</h2><blockquote>[+22]</blockquote><pre>[+9]</pre><p>[+2]</article><div class=related><ul><li>[-6a]<li>[-8a]</ul></div><div class=newsletter><p>[-14]</div>",
+    # articles of short lines, lists of links and single words; pages whose surroundings are long texts
+    "<nav>[-1a] [-1a]</nav><article><h1>[+4]</h1><p>[+1]<p>[+1]<p>[+2]<p>[+1]<p>[+6]<p>[+1]</article><footer>[-3]</footer>",
+    "<article><p>[+2a]<p>[+1a]<p>[+5/4]<p>[+40]<p>[+3a]<p>[+1]</article><div class=sharing><p>[-2a]<p>[-1a]</div>",
+    "<main><h2>[+2]</h2><ul><li>[+4a]<li>[+6a]<li>[+2]<li>[+1]</ul><p>[+9/8]<p>[+2]</main><aside><p>[-50]<p>[-4]<p>[-35/2]</aside>",
+    "<article><p>[+5]<p>[+2]<p>[+7]<p>[+3]<p>[+1a]<p>[+2]</article><section class=comments><p>[-60]<p>[-2]<p>[-33]<p>[-1]</section>",
+    "<header><h1>[-3]</h1><p>[-18]</header><article><h1>[+6]</h1><p>[+2]<p>[+55]<p>[+1]<p>[+1a]</article><form><p>[-9]<p>[-30]</form>",
+    # names that tell nothing
+    "<div class=a1><div>[-1a]</div><div>[-1a]</div><div>[-2a]</div></div><div class=b2><h1>[+7]</h1><div>[+64]</div><div>[+45/2]</div><div>[+8]</div><div>[+51]</div></div><div class=c3><div>[-5a]</div><div>[-6a]</div><div>[-4a]</div></div><div>[-6]</div>",
+    "<div>[-3a]</div><div>[-2a]</div><div>[-4/3]</div><div>[+28]</div><div>[+33]</div><div>[+19/2]</div><div>[+40]</div><div>[-3a]</div><div>[-4]</div><div>[-2a]</div>",
+    "<table><tr><td>[-2a]<td>[-1a]<td>[-3a]</tr></table><p>[+60]<p>[+14]<p>[+36]<p>[+25]<table><tr><td>[-1a]<td>[-2]<td>[-1a]</tr></table>",
+    "<ul><li>[-1a]<li>[-3a]<li>[-2a]</ul><h2>[+4]</h2><p>[+90]<ul><li>[+25]<li>[+30]<li>[+28]</ul><p>[+55]<ul><li>[-5a]<li>[-6/5]<li>[-2a]</ul><p>[-3]",
+    "<div>[-12/10]</div><div>[-9/7]</div><div>[-14/12]</div><h3>[+6]</h3><div>[+47]</div><div>[+22/3]</div><div>[+72]</div><div>[-5/4]</div><div>[-2/1]</div><div>[-3a]</div><div>[-4]</div>",
+    "<p>[+20]", "<p>[+12]<p>[+12]<p>[+14]", "<p>[+5]<p>[+45]<p>[+6]<p>[+60]<p>[+3]<p>[+40]",
+    "<div>[-2]</div><div>[-2a]</div><div>[-3]</div><div>[-1a]</div><div>[+44]</div><div>[+16]</div><div>[+38]</div><div>[-1]</div><div>[-2a]</div><div>[-1]</div>",
+    "<h1>[+5]</h1><p>[+30]<p>[+2]<p>[+41]<h2>[+3]</h2><p>[+26]<h4>[-2]</h4><p>[-4a]<p>[-5a]<h4>[-1]</h4><p>[-2a]",
 ]
+BLANKS = re.compile(r"\[([+-])(\d+)(a|/\d+)?\]")
+
+
+def labelled_page(outline: str) -> str:
+    """A page of LABELLED with words for its blanks; main text begins with +, the rest with -."""
+
+    def words(m: re.Match) -> str:
+        n = int(m[2])
+        linked = n if m[3] == "a" else int((m[3] or "/0")[1:])
+        of = [f"w{k}" for k in range(n)]
+        of[0] = m[1] + of[0]
+        return " ".join(of[: n - linked]) + (f" <a href=x>{' '.join(of[n - linked :])}</a>" if linked else "")
+
+    return BLANKS.sub(words, outline)
+
+
+def learned_tree(outlines: list[str]) -> tuple:
+    """The decision tree grown from the blocks of labelled pages."""
+    found = [blocks(labelled_page(x)) for x in outlines]
+    labels = [b.text.startswith("+") for page in found for b in page]
+    return grow(np.vstack([features(page) for page in found]), np.array(labels, float))
 
 
 @dataclass
 class Block:
+    """hint and article: the innermost hinted element, and article or main, around the block, by number."""
+
     text: str
     words: int
     linked: int
@@ -70,54 +104,69 @@ class Block:
     around: bool
     heading: bool
     listed: bool
-    hints: tuple[int, ...] = ()
-    articles: tuple[int, ...] = ()
+    hint: int | None = None
+    article: int | None = None
 
 
 @dataclass
 class _Article:
-    """An open or closed article or main: the numbers of the hinted elements around it, and whether its own class, id or role has a hint."""
+    """An article or main: the innermost hinted element and article around it, and whether its own class, id or role has a hint."""
 
     name: str
-    outer: tuple[int, ...]
+    hint: int | None
+    article: int | None
     hinted: bool
     words: int = 0
 
 
+#: What an open element makes of the text inside it.
+ROLES = {**dict.fromkeys(UNSEEN, "unseen"), "a": "link", **dict.fromkeys(("article", "main"), "article"), **dict.fromkeys(AROUND, "around"), **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "heading"), **dict.fromkeys(("li", "dt", "dd"), "listed")}
+
+
 @dataclass
 class _Reader:
-    """The stack of open elements (name, whether it stands around text, number if hinted, number of the article) and the block being gathered."""
+    """The stack of open elements (name, innermost hint, innermost article), how many of each name and role are open, and the block being gathered."""
 
     blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, bool, int | None, int | None]] = field(default_factory=list)
+    stack: list[tuple[str, int | None, int | None]] = field(default_factory=list)
+    names: Counter = field(default_factory=Counter)
+    roles: Counter = field(default_factory=Counter)
     parts: list[tuple[str, bool]] = field(default_factory=list)
     articles: list[_Article] = field(default_factory=list)
-    n_hints: int = 0
+    parents: list[int | None] = field(default_factory=list)  # of each hinted element, the one around it
+
+    def push(self, name: str, hint: int | None, article: int | None) -> None:
+        self.stack.append((name, hint, article))
+        self.names[name] += 1
+        self.roles[ROLES.get(name)] += 1
 
-    def has(self, names: set[str]) -> bool:
-        return any(x[0] in names for x in self.stack)
+    def cut(self, depth: int) -> None:
+        """Closes all elements but the first depth."""
+        while len(self.stack) > depth:
+            name = self.stack.pop()[0]
+            self.names[name] -= 1
+            self.roles[ROLES.get(name)] -= 1
 
-    def hints(self) -> tuple[int, ...]:
-        return tuple(x[2] for x in self.stack if x[2] is not None)
+    def inner(self) -> tuple[int | None, int | None]:
+        return self.stack[-1][1:] if self.stack else (None, None)
 
     def end_head(self) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == "head":
-                del self.stack[k:]
-                return
+        if self.names["head"]:
+            self.cut(max(k for k, x in enumerate(self.stack) if x[0] == "head"))
 
     def add(self, raw: str) -> None:
         if self.stack and self.stack[-1][0] == "head" and raw.strip():
             self.end_head()
-        if raw and not self.has(UNSEEN):
-            self.parts.append((raw, self.has({"a"})))
+        if raw and not self.roles["unseen"]:
+            self.parts.append((raw, self.roles["link"] > 0))
 
     def flush(self) -> None:
         parts, self.parts = self.parts, []
         text = WHITE.sub(" ", entities.unescape("".join(p for p, _ in parts))).strip()
         if text:
             linked = sum(len(entities.unescape(p).split()) for p, a in parts if a)
-            self.blocks.append(Block(text, len(text.split()), linked, self.has({"article", "main"}), any(x[1] for x in self.stack), self.has({"h1", "h2", "h3", "h4", "h5", "h6"}), self.has({"li", "dt", "dd"}), self.hints(), tuple(x[3] for x in self.stack if x[3] is not None)))
+            open_ = [self.roles[x] > 0 for x in ("article", "around", "heading", "listed")]
+            self.blocks.append(Block(text, len(text.split()), linked, *open_, *self.inner()))
 
     def open(self, name: str, attributes: str, closed: bool) -> None:
         if name in BLOCK:
@@ -131,24 +180,28 @@ class _Reader:
             # An open p ends where a block begins; other items end at the next of their kind in the same parent.
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k][0] in ends:
-                    del self.stack[k:]
+                    self.cut(k)
                     break
                 if self.stack[k][0] in BLOCK and self.stack[k][0] != "p":
                     break
-        hint, article = any(HINT.search(a or b or c) for _, a, b, c in ATTRIBUTE.findall(attributes)), None
+        hinted = any(HINT.search(a or b or c) for _, a, b, c in ATTRIBUTE.findall(attributes))
+        hint, article = self.inner()
         if name in {"article", "main"}:
-            article = len(self.articles)
-            self.articles.append(_Article(name, self.hints(), hint))
-        counts = hint and name not in {"html", "body", "article", "main"} | AROUND
-        self.n_hints += counts
-        self.stack.append((name, name in AROUND, self.n_hints if counts else None, article))
+            self.articles.append(_Article(name, hint, article, hinted))
+            article = len(self.articles) - 1
+        if hinted and name not in {"html", "body", "article", "main"} | AROUND:
+            self.parents.append(hint)
+            hint = len(self.parents) - 1
+        self.push(name, hint, article)
 
     def close(self, name: str) -> None:
         if name in BLOCK:
             self.flush()
+        if not self.names[name]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == name:
-                del self.stack[k:]
+                self.cut(k)
                 return
             if name not in BLOCK and self.stack[k][0] in BLOCK - {"p"}:
                 return
@@ -178,27 +231,44 @@ def blocks(page: str) -> list[Block]:
             reader.open(name, m[3], m[3].endswith("/"))
     reader.flush()
     wrappers = _wrappers(reader)
+    # Whether an element or one around it has a hint and wraps no chief text; elements come after those around them.
+    around: list[bool] = []
+    for k, parent in enumerate(reader.parents):
+        around.append(k not in wrappers or (parent is not None and around[parent]))
     for b in reader.blocks:
-        b.around = b.around or any(h not in wrappers for h in b.hints)
+        b.around = b.around or (b.hint is not None and around[b.hint])
     return reader.blocks
 
 
 def _wrappers(reader: _Reader) -> set[int]:
     """The hinted elements that hold the page's chief text: its longest main, and its longest article without a hint of its own (with a main, one
     of over half of its words). On a page without either, the elements with over half of all words."""
-    total, held = 0, Counter()
+    held = [0] * len(reader.parents)
     for b in reader.blocks:
-        total += b.words
-        held.update(dict.fromkeys(b.hints, b.words))
-        for k in b.articles:
-            reader.articles[k].words += b.words
+        if b.hint is not None:
+            held[b.hint] += b.words
+        if b.article is not None:
+            reader.articles[b.article].words += b.words
+    for k in range(len(held) - 1, -1, -1):
+        if reader.parents[k] is not None:
+            held[reader.parents[k]] += held[k]
+    for a in reversed(reader.articles):
+        if a.article is not None:
+            reader.articles[a.article].words += a.words
     longest = lambda name: max((a for a in reversed(reader.articles) if a.name == name and not (a.hinted and name == "article")), key=lambda a: a.words, default=None)
     main, article = longest("main"), longest("article")
     if main is not None and article is not None and 2 * article.words <= main.words:
         article = None
     if main is None and article is None:
-        return {h for h, n in held.items() if 2 * n > total} if not reader.articles else set()
-    return {h for a in (main, article) if a is not None for h in a.outer}
+        total = sum(b.words for b in reader.blocks)
+        return {k for k, n in enumerate(held) if 2 * n > total} if not reader.articles else set()
+    found = set()
+    for a in (main, article):
+        k = a.hint if a is not None else None
+        while k is not None and k not in found:
+            found.add(k)
+            k = reader.parents[k]
+    return found
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -242,10 +312,10 @@ def main_text(page: str, tree: tuple) -> str:
     return "\n".join(b.text for b, row in zip(found, features(found), strict=True) if classify(tree, row))
 
 
-def extract_text(df: DataFrame, html: str = "html", out: str = "text", labelled: list[tuple] | None = None) -> DataFrame:
-    """df with the main text of each page. labelled: blocks as in LABELLED, from which the tree is grown."""
-    table = np.array(LABELLED if labelled is None else labelled, float)
-    tree = grow(table[:, :-1], table[:, -1])
+def extract_text(df: DataFrame, html: str = "html", out: str = "text", labelled: list[str] | None = None) -> DataFrame:
+    """df with the main text of each page. labelled: pages as in LABELLED, from whose blocks the tree is grown."""
+    refuse(df, out)
+    tree = learned_tree(LABELLED if labelled is None else labelled)
 
     @F.pandas_udf("string")
     def extract(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
