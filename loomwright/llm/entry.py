@@ -61,14 +61,14 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "n_bytes", suffix_dedup.removed_bytes(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", suffix_dedup.removed_bytes(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("spans") > 0).alias("has_repeats"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("spans", pii.of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
     base = pii.spans_text(F.filter("spans", pii.of_kind(*pii.KINDS)))
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"), (F.size("spans") > 0).alias("has_private"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

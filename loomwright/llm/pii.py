@@ -1,5 +1,7 @@
 """Personal data: patterns find the protected entities; corpus co-occurrence finds the terms that give them away.
 
+Entities are addresses, numbers of cards and telephones, and secrets: values set to a name whose own characters hold much information.
+
 A term is a word without the punctuation around it. For each term of a document with an entity, however far from it, whole documents
 are counted: those with the term, with the entity, with both. The term discloses the entity if its pointwise mutual information with
 it exceeds the information of the entity's generalisation (its kind), and the entity is likelier than not where the term is.
@@ -9,12 +11,15 @@ every document that holds the entity, and ``sanitise`` replaces entities and ter
 Defined results
 - A null or empty text has no spans. Repeated rows are judged one by one and count as documents. Equal texts are one text.
 - Spans count code points, ends exclusive. Spans of one kind never overlap; those of different kinds may. A term inside an
-  entity's span is not marked. An empty table gives an empty result. Other columns, whatever their names, pass through.
+  entity's span is not marked. An empty table gives an empty result. Very long texts are read whole. Other columns pass through; one
+  with the name of an output column (whatever the case) is an error.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,15 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import SPACE, pieces, saved, unused, utf8
+from loomwright.llm.common import SPACE, pieces, refuse, saved, unused, utf8
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
+SECRET, TERM = "secret", "term"
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+#: What is set to a name, such as token = "...": letters and digits mixed, of SECRET_BITS of information at least.
+SETTING = re.compile(r"""[:=][\x20\t]{0,3}["']?(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])([A-Za-z0-9][A-Za-z0-9+/_-]{15,})""")
+NAMED = re.compile(r"""[A-Za-z0-9_]["']?[\x20\t]{0,3}\Z""")
+SECRET_BITS = 48
 WORDS = re.compile(rf"[^{SPACE}]+")
 #: Stripped from both ends of a word.
 PUNCTUATION = ".,;:!?\"'()[]{}|#*$%&<>"
@@ -56,7 +65,7 @@ def _octets(address: str) -> bool:
 
 
 def entities(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the patterns' matches that hold, by kind as in KINDS, then by start."""
+    """(kind, start, end) of the patterns' matches that hold, by kind as in KINDS, secrets last, then by start."""
     found = [("email", *m.span()) for m in EMAIL.finditer(text)] if "@" in text else []
     if not DIGIT.search(text):
         return found
@@ -69,19 +78,23 @@ def entities(text: str) -> list[tuple[str, int, int]]:
                 found.append(("card", *m.span()))
     if "+" in text:
         found += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(DIGIT.findall(m[0])) <= 15]
+    if "=" in text or ":" in text:
+        found += [(SECRET, *m.span(1)) for m in SETTING.finditer(text) if NAMED.search(text[max(0, m.start() - 5) : m.start()]) and information(m[1]) >= SECRET_BITS]
     return found
 
 
+def information(text: str) -> float:
+    """Bits in text, by the frequencies of its own characters."""
+    n = len(text)
+    return sum(-c * math.log2(c / n) for c in Counter(text).values())
+
+
 def _hash(x: str) -> int:
     """As Spark's xxhash64 of the string."""
     n = xxhash.xxh64_intdigest(x.encode(), 42)
     return n - (1 << 64) if n >> 63 else n
 
 
-def _value(kind: str, text: str) -> str:
-    return f"{kind}:{text.lower() if kind in ('email', 'ip') else ''.join(DIGIT.findall(text))}"
-
-
 def _terms(text: str) -> list[tuple[str, int, int]]:
     out = []
     for m in WORDS.finditer(text):
@@ -128,7 +141,7 @@ def disclosing_terms(found: DataFrame, corpus: DataFrame, text: str, spans: str,
     Counts over the rows with entities bound those over all documents from below. Pairs that fail by them already are left out early.
     """
     value = F.substring(F.col(text), (F.col("s.start") + 1).cast("int"), (F.col("s.end") - F.col("s.start")).cast("int"))
-    value = F.when(F.col("s.kind").isin("email", "ip"), F.lower(value)).otherwise(F.regexp_replace(value, "[^0-9]", ""))
+    value = F.when(F.col("s.kind").isin("email", "ip"), F.lower(value)).when(F.col("s.kind") == SECRET, value).otherwise(F.regexp_replace(value, "[^0-9]", ""))
     spelt = found.select(F.explode(spans).alias("s"), F.col(key).alias("k"), text)
     per_entity = saved(spelt.select("k", F.col("s.kind").alias("kind"), F.xxhash64(F.concat_ws(":", F.col("s.kind"), value)).alias("entity"), F.xxhash64(text).alias("whole")).distinct(), "pii-entities")
     with_kind = per_entity.select("k", "kind").distinct().groupBy("kind").agg(F.count("*").alias("n_kind"))
@@ -154,8 +167,7 @@ def disclosing_terms(found: DataFrame, corpus: DataFrame, text: str, spans: str,
 
 def protect(df: DataFrame, text: str = "text") -> DataFrame:
     """df with spans: the entities, by kind and start, then the disclosing terms by start."""
-    if "spans" in df.columns:
-        raise ValueError("the input already has a column spans")
+    refuse(df, "spans")
     key, held, terms = (unused(x, df.columns) for x in ("_key", "_held", "_terms"))
     narrow = df.withColumn(held, F.coalesce(F.col(text), F.lit("")))
     table = find_entities(narrow, held, "spans").withColumn(held, F.when(F.size("spans") > 0, F.col(held)))
