@@ -10,7 +10,9 @@ Defined results
   never listed.
 - Repeated rows are judged one by one; items with equal texts are all listed; a repeated item is listed once. An empty
   benchmark hits nothing. Other columns of the documents pass through.
-- The benchmark travels to the executors in blocks of at most BLOCK_BYTES of text, one pass over the documents for each.
+- A benchmark of up to BLOCK_BYTES travels to the executors whole; fingerprints of a larger one are joined with those of the documents, which
+  gives the same result.
+- Very long texts are read whole. A column with the name of an output column (whatever the case) is an error.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import pieces, unused, utf8
+from loomwright.llm.common import pieces, refuse, saved, unused, utf8
 
 SPAN, K = 13, 5
-#: Bytes of benchmark text in one broadcast.
+#: Bytes of benchmark text that are broadcast, at most.
 BLOCK_BYTES = 32_000_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -111,7 +114,7 @@ class Words:
 
 
 class BenchmarkIndex:
-    """Fingerprints of a block of the benchmark, sorted by hash."""
+    """Fingerprints of benchmark items, sorted by hash."""
 
     def __init__(self, ids: list[str | None], texts: list[str]):
         self.ids = ids
@@ -167,55 +170,110 @@ class BenchmarkIndex:
         return found
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[BenchmarkIndex]:
-    """The benchmark, a bounded part at a time."""
-    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).dropna(subset="t")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-total // block_bytes))
-    for k in range(parts):
-        yield _index(items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).distinct())
+def _merged(ranges: list[tuple[int, int]]) -> list[dict]:
+    out: list[dict] = []
+    for s, e in sorted(ranges):
+        if out and s <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], e)
+        else:
+            out.append({"start": s, "end": e})
+    return out
 
 
-def _index(items: DataFrame) -> BenchmarkIndex:
-    rows = items.collect()
-    return BenchmarkIndex([r["i"] for r in rows], [r["t"] for r in rows])
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """df with n_words (long), hit_spans (array of word ranges, merged) and hit_items (item ids, sorted as strings)."""
-    for name in ("n_words", "hit_spans", "hit_items"):
-        if name in df.columns:
-            raise ValueError(f"the input already has a column {name}")
-    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    out = df.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast(spans), "hit_items": F.array().cast("array<string>")})
-    schema, spark = out.schema, df.sparkSession
-    # map() lets go of each index as soon as it is broadcast, before the next is built.
-    for shared in map(spark.sparkContext.broadcast, _blocks(benchmark, item_id, item_text, block_bytes)):
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in pieces(batches, text):
-                docs = Words(*utf8(batch.column(text)))
-                n = batch.num_rows
-                before, listed = batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist()
-                more: dict[int, list] = {}
-                for doc, i, e, item in index.hits(docs):
-                    more.setdefault(doc, []).append((i, e, index.ids[item]))
-                for doc, hits in more.items():
-                    ranges = sorted([(s["start"], s["end"]) for s in before[doc]] + [h[:2] for h in hits])
-                    merged = [list(ranges[0])]
-                    for s, e in ranges[1:]:
-                        if s <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], e)
-                        else:
-                            merged.append([s, e])
-                    before[doc] = [{"start": s, "end": e} for s, e in merged]
-                    listed[doc] = sorted({*listed[doc], *(h[2] for h in hits if h[2] is not None)})
-                new = {"n_words": pa.array(np.diff(docs.bounds), pa.int64()), "hit_spans": pa.array(before, batch.schema.field("hit_spans").type), "hit_items": pa.array(listed, batch.schema.field("hit_items").type)}
-                yield pa.RecordBatch.from_arrays([new.get(name, batch.column(k)) for k, name in enumerate(batch.schema.names)], schema=batch.schema) if n else batch
-
-        out = out.mapInArrow(scan, schema)
-    return out
+    refuse(df, "n_words", "hit_spans", "hit_items", "n_hit", "contaminated")
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).dropna(subset="t").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0)).alias("n")).first()["n"]
+    if total > block_bytes:
+        return _joined(df, items, text)
+    rows = items.collect()
+    shared = df.sparkSession.sparkContext.broadcast(BenchmarkIndex([r["i"] for r in rows], [r["t"] for r in rows]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in pieces(batches, text):
+            docs = Words(*utf8(batch.column(text)))
+            ranges: list[list] = [[] for _ in range(batch.num_rows)]
+            found: list[set] = [set() for _ in range(batch.num_rows)]
+            for doc, i, e, item in index.hits(docs):
+                ranges[doc].append((i, e))
+                if index.ids[item] is not None:
+                    found[doc].add(index.ids[item])
+            new = [pa.array(np.diff(docs.bounds), pa.int64()), pa.array(list(map(_merged, ranges)), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(list(map(sorted, found)), pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "n_words", "hit_spans", "hit_items"])
+
+    return df.mapInArrow(scan, T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("hit_items", T.ArrayType(T.StringType()))]))
+
+
+def _prints(rows: DataFrame, key: str, sizes: list[int], items: bool) -> DataFrame:
+    """(key, size, gram), once each: the kept K-grams (size 0); of items of fewer than SPAN words the whole, by their size; of documents all grams of these sizes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "t"):
+            words = Words(*utf8(batch.column("t")))
+            n = np.diff(words.bounds)
+            of, size, gram = [], [], []
+
+            def add(at: np.ndarray, k: int, grams: np.ndarray) -> None:
+                of.append(np.searchsorted(words.bounds, at, "right") - 1)
+                size.append(np.full(len(at), k))
+                gram.append(grams)
+
+            add(words.winnowed()[0], 0, words.winnowed()[1])
+            for k in sizes:
+                grams = words.grams(k)
+                at = words.bounds[:-1][n == k] if items else np.arange(len(grams))
+                owner = np.searchsorted(words.bounds, at, "right") - 1
+                at = at[at + k <= words.bounds[owner + 1]]
+                add(at, k, grams[at])
+            table = pd.DataFrame({"row": np.concatenate(of), "size": np.concatenate(size), "gram": np.concatenate(gram).view(np.int64)}).drop_duplicates()
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(table["row"])), pa.array(table["size"], pa.int32()), pa.array(table["gram"], pa.int64())], names=[key, "size", "gram"])
+
+    return rows.select(key, "t").mapInArrow(scan, f"{key} long, size int, gram long")
+
+
+def _joined(df: DataFrame, items: DataFrame, text: str) -> DataFrame:
+    """find_contamination by a join of fingerprints: documents and items that share one are then compared, an item at a time."""
+    doc, n_words, spans, ids = "_doc", "n_words", "hit_spans", "hit_items"
+    doc = unused(doc, df.columns)
+    docs = saved(df.withColumn(doc, F.monotonically_increasing_id()), "decontaminate-documents")
+    texts = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    tests = saved(items.groupBy("t").agg(F.collect_set("i").alias("ids")).withColumn("item", F.monotonically_increasing_id()), "decontaminate-items")
+    short = range(1, SPAN)
+    of_items = saved(_prints(tests, "item", list(short), items=True), "decontaminate-fingerprints")
+    sizes = sorted(r["size"] for r in of_items.select("size").distinct().collect() if r["size"])  # less than SPAN of them
+    pairs = _prints(texts, "doc", sizes, items=False).join(of_items, ["size", "gram"]).select("doc", "item").distinct()
+    # Each document comes before the items to compare it with; a task holds one document and one item.
+    asked = pairs.join(tests, "item").select("doc", F.lit(1).alias("place"), "t", "ids")
+    first = texts.join(pairs.select("doc").distinct(), "doc", "left_semi").select("doc", F.lit(0).alias("place"), "t", F.lit(None).cast("array<string>").alias("ids"))
+    both = first.unionByName(asked).repartition("doc").sortWithinPartitions("doc", "place")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = None
+        for batch in batches:
+            of, ranges, listed = [], [], []
+            for key, place, t, names in zip(*(batch.column(c).to_pylist() for c in ("doc", "place", "t", "ids")), strict=True):
+                if not place:
+                    words = Words(*utf8(pa.array([t], pa.large_string())))
+                elif hits := BenchmarkIndex([""], [t]).hits(words):
+                    of.append(key)
+                    ranges.append(_merged([h[1:3] for h in hits]))
+                    listed.append(names)
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(listed, pa.list_(pa.string()))], names=["doc", "spans", "ids"])
+
+    hit = both.mapInArrow(compare, T.StructType([T.StructField("doc", T.LongType()), T.StructField("spans", SPANS), T.StructField("ids", T.ArrayType(T.StringType()))]))
+    last = lambda a: F.element_at(a, -1)
+    grown = lambda a, x: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], x["end"]).alias("end"))))
+    fold = lambda a, x: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["end"] >= x["start"]), grown(a, x)).otherwise(F.concat(a, F.array(x)))
+    found = hit.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("l"))
+    found = found.select(F.col("doc").alias(doc), F.aggregate("s", F.array().cast(SPANS), fold).alias("s"), "l")
+    words = F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).cast("long")
+    out = docs.join(found, doc, "left")
+    return out.select(*df.columns, words.alias(n_words), F.coalesce("s", F.array().cast(SPANS)).alias(spans), F.coalesce("l", F.array().cast("array<string>")).alias(ids))
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -227,7 +285,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", **opt
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of df that are not contaminated, with the columns of df."""
-    names = {c: unused(f"_in_{c}", df.columns) for c in ("n_words", "hit_spans", "hit_items", "n_hit", "contaminated") if c in df.columns}
+    names = {c: unused(f"_in_{c}", df.columns) for c in df.columns if c.lower() in ("n_words", "hit_spans", "hit_items", "n_hit", "contaminated")}
     back = {v: k for k, v in names.items()}
     judged = contamination(df.withColumnsRenamed(names), benchmark, names.get(text, text), **options)
     return judged.filter(~F.col("contaminated")).select(*[F.col(names.get(c, c)).alias(back.get(c, c)) for c in df.columns])
