@@ -8,6 +8,7 @@ fingerprints as all pairs would, since any two that meet on a variant are within
 Defined results
 - Null and empty texts have fingerprint zero and link like any other. Equal texts have equal fingerprints, so copies
   collapse before any comparison. A null id never names a component unless all its ids are null (then it is null).
+- Very long texts are read whole. Columns pass through with_fingerprints and keep_first; the former refuses a clash with the one it adds.
 - Repeated rows are rows of the same component; the deduplication keeps exactly one row of each component: the least id,
   nulls last, then the row that comes first in the table read. An empty table gives an empty result.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import checkpointed, pieces, saved, unused, utf8
+from loomwright.llm.common import checkpointed, pieces, refuse, saved, spread_join, unused, utf8
 
 #: Words in a shingle, and the seed of its XXH64.
 SHINGLE, SEED = 3, 42
@@ -50,8 +51,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def with_fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
     """df with the fingerprint as a signed 64-bit number."""
-    if name in df.columns:
-        raise ValueError(f"the input already has a column {name}")
+    refuse(df, name)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
@@ -83,10 +83,12 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, which halve distances however long a chain is; each round is checkpointed.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = _mark(edges)
     while True:
-        size = _mark(edges)
-        edges = checkpointed(_star(_star(edges, large=True), large=False))
-        if _mark(edges) == size:
+        before = mark
+        edges = checkpointed(_star(_star(edges, mark[0], large=True), mark[0], large=False))
+        mark = _mark(edges)
+        if mark == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
@@ -94,13 +96,13 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's neighbours to the least of them: those greater than the node (large), or those not greater (small)."""
+def _star(edges: DataFrame, n: int, large: bool) -> DataFrame:
+    """Links each node's neighbours to the least of them: those greater than the node (large), or those not greater (small). n: edges, about."""
     both = edges.select("u", "v")
     if large:
         both = both.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = both.join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    met = spread_join(both, 2 * n, least, "u", "n")
     if large:
         out = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -111,12 +113,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each of df: id, fingerprint (number) and component, the least id that a chain of links reaches."""
     rows = checkpointed(with_fingerprints(df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")), "_t", "f").select("_id", "f"))
-    prints = checkpointed(rows.groupBy("f").agg(F.min("_id").alias("first")))
+    prints = checkpointed(rows.groupBy("f").agg(F.min("_id").alias("first"), F.count("*").alias("n")))
+    size = prints.agg(F.count("*").alias("prints"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     roots = components(links(prints.select("f")))
-    rooted = prints.join(roots, prints["f"] == roots["node"], "left").select("f", "first", F.coalesce("root", "f").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(least, "root").select("f", "component")
-    return rows.join(named, "f").select(F.col("_id").alias(doc_id), F.col("f").alias("fingerprint"), "component")
+    rooted = prints.join(roots, prints["f"] == roots["node"], "left").select("f", "first", "n", F.coalesce("root", "f").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("m"))
+    named = checkpointed(spread_join(rooted, size["prints"], least, "root", "m").select("f", "n", "component"))
+    return spread_join(rows, size["rows"], named, "f", "n").select(F.col("_id").alias(doc_id), F.col("f").alias("fingerprint"), "component")
 
 
 def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
