@@ -14,11 +14,14 @@ Defined results
 - Lines without a word are never removed. A null text has one empty line.
 - Rows with the same doc_id and the same text are one document: neither loses lines to the other, both keep the same. Rows
   with the same doc_id and other texts are told apart by a hash of the text. A null doc_id comes after all others.
-- Very long texts are compared whole. An empty table gives an empty result. Other columns pass through.
+- Very long texts are compared whole. An empty table gives an empty result. Other columns pass through dedup_lines, whatever their names;
+  line_report has columns of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +30,6 @@ from loomwright.llm.common import let, saved, unused, words_of
 #: Least Jaccard similarity of matching lines, as a fraction.
 SIMILAR = (4, 5)
 BUCKETS = 1 << 18
-#: Sets before each in a word group that it may meet first.
-LAGS = 1
 #: Candidate lines whose places are broadcast, at most (about 60 bytes each); beyond that their texts are joined by a shuffle.
 BROADCAST_LINES = 500_000
 
@@ -53,70 +54,77 @@ def _documents(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     return df.select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("h"), t.alias("t"))
 
 
-def _rarity(documents: DataFrame) -> bytes:
-    """Counts of all words, folded into BUCKETS counters: a byte for each, rising with the logarithm. Its size is fixed."""
-    words = F.split(F.replace("t", F.lit("\n"), F.lit(" ")), " ")
-    buckets = documents.select(F.explode(F.transform(words, lambda w: _bucket(F.xxhash64(w)))).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+def _rarity(documents: DataFrame) -> Column:
+    """Counts of all words, folded into BUCKETS counters: a byte for each, rising with the logarithm. Its size is fixed.
+
+    The array is a scalar subquery, so that no plan spells it out."""
+    words = documents.select(F.explode(F.split(F.replace("t", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    buckets = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
     every = documents.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
-    step = F.least(F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0)))), F.lit(126)) + 1
+    step = F.least(F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0)))), F.lit(126)).cast("byte")
     counts = every.join(buckets, "b", "left").select(F.struct("b", step.alias("c")).alias("x"))
-    return counts.agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.char(x["c"])), "").alias("c")).first()["c"].encode()
+    return counts.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["c"]).alias("c")).scalar()
 
 
 def _bucket(hash_: Column) -> Column:
-    """A counter for the low bits of a word's hash; the signature takes the next ones, and the upper half names the word."""
+    """A counter for the low bits of a word's hash."""
     return hash_.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _prefix(words: Column, counts: bytes) -> Column:
-    """Of the hashes of a set's words, the rarest, as their upper halves, of which a matching set must have one: all but SIMILAR of them, and one more."""
+def _ordered(words: Column, counts: Column) -> Column:
+    """The set of the words, from rare to frequent: for each its rarity in the upper byte, and 56 bits of its hash."""
+    rarity = lambda h: F.get(counts, _bucket(h)).cast("long")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.array_distinct(F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))))
+
+
+def _prefix(ordered: Column) -> Column:
+    """The rarest words of a set, by 32 bits, of which a matching set must have one: all but SIMILAR of them, and one more."""
     p, q = SIMILAR
-    rarity = lambda h: F.ascii(F.substring(F.lit(counts), _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
-    ordered = F.sort_array(F.transform(words, lambda h: F.shiftleft(rarity(h), 32).bitwiseOR(F.shiftrightunsigned(h, 32))))
-    size = F.size(words)
+    size = F.size(ordered)
     return F.transform(F.slice(ordered, F.lit(1), size - F.ceil(size * p / q).cast("int") + 1), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"))
 
 
-def _signature(words: Column) -> Column:
+def _signature(ordered: Column) -> tuple[Column, Column]:
     """128 bits, each flipped by the words that fall on it: two sets differ in as many words at least as their signatures in bits."""
 
-    def half(k: int) -> Column:
-        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int"))
-        mine = lambda h: F.shiftrightunsigned(h, 26).bitwiseAND(F.lit(1)) == k
-        return F.aggregate(words, F.lit(0).cast("long"), lambda s, h: F.when(mine(h), s.bitwiseXOR(bit(h))).otherwise(s))
-
-    return F.struct(half(0).alias("a"), half(1).alias("b"))
+    def half(mine: Callable[[Column], Column]) -> Column:
+        # A shift takes the last six bits of its distance alone.
+        bit = lambda x: F.call_function("shiftleft", mine(F.shiftrightunsigned(x, 46).bitwiseAND(F.lit(1))), F.shiftrightunsigned(x, 40).cast("int"))
+        return F.aggregate(ordered, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
 
-
-def _differences(a: Column, b: Column) -> Column:
-    return F.bit_count(a["a"].bitwiseXOR(b["a"])) + F.bit_count(a["b"].bitwiseXOR(b["b"]))
+    return half(lambda b: b), half(lambda b: b.bitwiseXOR(F.lit(1)))
 
 
 def line_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The distinct sets of the eligible lines, where each occurs first: s (rising from first to last), id, h, line, n, signature, prefix.
+    """The distinct sets of the eligible lines, where each occurs first: s (rising from first to last), id, h, line, n, bits_a and bits_b (the signature), prefix.
 
-    64-bit hashes stand for the words; two of them name a set, one of its ordered words and one of them all.
+    Hashes stand for the words; two 64-bit hashes of all its words in order name a set.
     """
     documents = _documents(df, text, doc_id)
-    counts = _rarity(documents)
-    hashes = lambda x: F.array_distinct(F.transform(_words(x), lambda w: F.xxhash64(w)))
-    each = F.transform(F.split("t", "\n", -1), lambda x, k: F.struct(k.alias("line"), hashes(x).alias("w")))
+    documents = documents.withColumn("counts", _rarity(documents))
+    counts = F.col("counts")
+    each = F.transform(F.split("t", "\n", -1), lambda x, k: F.struct(k.alias("line"), _ordered(_words(x), counts).alias("w")))
     lines = documents.select("id", "h", F.inline(F.filter(each, lambda x: F.size(x["w"]) > 0)))
-    first = F.struct(F.col("id").isNull().alias("none"), "id", "h", "line", F.size("w").alias("n"), _signature(F.col("w")).alias("signature"), _prefix(F.col("w"), counts).alias("prefix"))
-    set_ = F.struct(F.xxhash64(F.sort_array("w")).alias("a"), F.aggregate("w", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(h)).alias("b"))
-    sets = lines.select(set_.alias("set"), first.alias("first")).groupBy("set.a", "set.b").agg(F.min("first").alias("first")).select("first.*")
-    sets = sets.orderBy("none", "id", "h", "line").select(F.monotonically_increasing_id().alias("s"), "id", "h", "line", "n", "signature", "prefix")
+    a, b = _signature(F.col("w"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "h", "line", F.size("w").alias("n"), a.alias("bits_a"), b.alias("bits_b"), _prefix(F.col("w")).alias("prefix"))
+    sets = lines.select(F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), "w").alias("b"), first.alias("first")).groupBy("a", "b").agg(F.min("first").alias("first")).select("first.*")
+    sets = sets.orderBy("none", "id", "h", "line").select(F.monotonically_increasing_id().alias("s"), "id", "h", "line", "n", "bits_a", "bits_b", "prefix")
     return saved(sets, "lines")
 
 
-def _may_match(a: Column, b: Column) -> Column:
-    """Of two sets at a shared word (structs of s, n, signature and at): length filter; positional filter, the words after it must still
-    allow the overlap; and no more differences in the signatures than the sets may have."""
+def _may_match(a: str, b: str) -> Column:
+    """Of two sets at a shared word (what stands before the names n, bits_a, bits_b and at of their columns): length filter; positional filter, the words after it
+    must still allow the overlap; and no more differences in the signatures than the sets may have."""
     p, q = SIMILAR
-    both = a["n"] + b["n"]
-    length = q * F.least(a["n"], b["n"]) >= p * F.greatest(a["n"], b["n"])
-    place = (p + q) * F.least(a["n"] - a["at"], b["n"] - b["at"]) >= p * both
-    return length & place & ((p + q) * _differences(a["signature"], b["signature"]) <= (q - p) * both)
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    length = q * F.least(n, m) >= p * F.greatest(n, m)
+    place = (p + q) * F.least(n - F.col(f"{a}at"), m - F.col(f"{b}at")) >= p * (n + m)
+    return length & place & ((p + q) * _differences(a, b) <= (q - p) * (n + m))
+
+
+def _differences(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}bits_a").bitwiseXOR(F.col(f"{b}bits_a"))) + F.bit_count(F.col(f"{a}bits_b").bitwiseXOR(F.col(f"{b}bits_b")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -139,26 +147,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, text: str, doc_i
 def matched_sets(df: DataFrame, sets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """s of each set that an earlier set matches."""
 
+    fields = ("s", "n", "bits_a", "bits_b", "at")
+
     def by_word(of: DataFrame, *more: str) -> DataFrame:
-        rows = of.select("s", "n", "signature", *more, F.posexplode("prefix").alias("at", "word"))
-        return rows.select("word", F.struct("s", "n", "signature", "at").alias("x"), *more)
+        return of.select("s", "n", "bits_a", "bits_b", *more, F.posexplode("prefix").alias("at", "word"))
 
     p, q = SIMILAR
     # A smaller set matches its equals alone, which have collapsed: one word more is too much for it.
     sets = sets.filter((q - p) * F.col("n") >= p)
     # Each set first meets one other: of the earliest and the last before it in its word groups, the one whose signature is nearest.
-    group = Window.partitionBy("word").orderBy("x.s")
-    near = F.array(F.first("x").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow)), *[F.lag("x", k).over(group) for k in range(1, LAGS + 1)])
-    met = by_word(sets).withColumn("near", near).select("x", F.explode("near").alias("e")).filter((F.col("x.s") > F.col("e.s")) & _may_match(F.col("x"), F.col("e")))
-    nearest = met.groupBy(F.col("x.s").alias("a")).agg(F.min_by("e.s", _differences(F.col("x.signature"), F.col("e.signature"))).alias("b"))
+    group = Window.partitionBy("word").orderBy("s")
+    earliest = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = by_word(sets).select(*fields, *[F.first(c).over(earliest).alias(f"first_{c}") for c in fields], *[F.lag(c).over(group).alias(f"last_{c}") for c in fields])
+    near = [F.when((F.col("s") > F.col(f"{e}s")) & _may_match("", e), F.struct(_differences("", e).alias("d"), F.col(f"{e}s").alias("b"))) for e in ("last_", "first_")]
+    met = met.select(F.col("s").alias("a"), F.least(*near).alias("near")).filter(F.col("near").isNotNull())
+    nearest = met.groupBy("a").agg(F.min("near").alias("near")).select("a", "near.b")
     settled = saved(_verified(nearest, sets, df, text, doc_id), "settled")
     flagged = sets.join(settled.withColumn("open", F.lit(0)), "s", "left").withColumn("open", F.coalesce("open", F.lit(1)))
     words = by_word(flagged, "open")
-    left, right = words.alias("l"), words.alias("r")
+    left, right = (words.select("word", *[F.col(c).alias(f"{side}{c}") for c in (*fields, "open")]) for side in ("l_", "r_"))
     # Open sets alone look for matches. The test takes both sides, so that one shuffle of the words serves for both.
-    open_ = F.col("l.open") * F.col("r.x.n") > F.col("r.open")
-    pairs = left.join(right, (F.col("l.word") == F.col("r.word")) & (F.col("r.x.s") < F.col("l.x.s")) & open_ & _may_match(F.col("l.x"), F.col("r.x")))
-    return settled.union(_verified(pairs.select(F.col("l.x.s").alias("a"), F.col("r.x.s").alias("b")), sets, df, text, doc_id))
+    open_ = F.col("l_open") * F.col("r_n") > F.col("r_open")
+    pairs = left.join(right, "word").filter((F.col("r_s") < F.col("l_s")) & open_ & _may_match("l_", "r_"))
+    return settled.union(_verified(pairs.select(F.col("l_s").alias("a"), F.col("r_s").alias("b")), sets, df, text, doc_id))
 
 
 def kept_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

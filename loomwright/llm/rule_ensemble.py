@@ -7,7 +7,8 @@ compiled into one column expression, so that scoring runs without Python.
 Defined results
 - A null text scores as an empty one. Repeated rows are scored one by one. A document whose labels disagree counts by their mean; null
   labels count for nothing. Without labels every score is 0.5; with labels of one class alone, it is that class's share.
-- An empty table gives an empty result. Columns of df pass through; a clash with an output column is an error.
+- An empty table gives an empty result. Very long texts are scored whole. Columns of df pass through; one with the name of an output column
+  (whatever the case) is an error.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import checkpointed, let, unused, words_of
+from loomwright.llm.common import checkpointed, let, refuse, unused, words_of
 from loomwright.llm.quality_rules import lines_with_words, repeat_words, symbols
 
 #: Labelled documents that the trees and weights are learned from, at most: those whose ids hash lowest.
@@ -128,9 +129,7 @@ def _logit(p: float) -> float:
 
 def score_quality(df: DataFrame, ensemble: RuleEnsemble, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with score and predicted."""
-    for name in ("score", "predicted"):
-        if name in df.columns:
-            raise ValueError(f"the input already has a column {name}")
+    refuse(df, "score", "predicted")
     t, w = unused("_t", df.columns), unused("_w", df.columns)
     kept = {c: unused(f"_in_{c}", df.columns) for c in df.columns}  # statistics may have the names of df's columns
     wide = df.select(*[F.col(c).alias(kept[c]) for c in df.columns], F.coalesce(F.col(text), F.lit("")).alias(t)).withColumn(w, words_of(F.col(t)))

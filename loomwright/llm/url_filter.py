@@ -2,8 +2,8 @@
 
 Defined results
 - A null url, or one without ``://``, has an empty host and path; no rule fits an empty host.
-- Repeated rows are judged one by one. An empty table gives an empty result. Other columns, whatever their names,
-  pass through untouched when the output columns get names that are not taken.
+- Repeated rows are judged one by one. An empty table gives an empty result. Very long urls are judged whole. Other columns pass through;
+  one with the name of an output column (whatever the case), or of _match, is an error.
 - Two equal rules with different verdicts: block wins. Of rules that fit the same url, the longest text (host and path)
   wins; between equally long ones the longer host.
 """
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import ascii_lower
+from loomwright.llm.common import ascii_lower, refuse
 
 #: Characters of rule text that a broadcast trie may hold; more rules than that are joined instead.
 TRIE_CHARS = 32_000_000
@@ -84,6 +84,7 @@ def judge_urls(df: DataFrame, rules: list[Rule] | DataFrame, url: str = "url", d
     rules: a list, or a DataFrame (verdict, host, path). Up to trie_chars characters of rules travel to the executors as
     a trie; a larger table is joined on the hosts and path starts of each url, which gives the same result.
     """
+    refuse(df, "host", "path", "rule", "verdict", "_match")
     host, path = url_parts(F.col(url))
     df = df.withColumns({"host": host, "path": path})
     if isinstance(rules, DataFrame):

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -153,10 +154,11 @@ def brute_bytes(rows, span):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("span", "gram", "bound"), [(400, 64, None), (30, 8, None), (30, 8, 0)])
-def test_repeated_bytes(spark, monkeypatch, span, gram, bound):
-    if bound is not None:
-        monkeypatch.setattr(suffix_dedup, "BROADCAST_ANCHORS", bound)
+@pytest.mark.parametrize(("span", "gram", "bound", "hot", "shard"), [(400, 64, None, None, None), (30, 8, None, None, 100), (30, 8, 0, 2, 500), (30, 8, None, 1, 0)])
+def test_repeated_bytes(spark, monkeypatch, span, gram, bound, hot, shard):
+    for name, value in (("BROADCAST_ANCHORS", bound), ("HOT_CONTEXTS", hot), ("SHARD_BYTES", shard)):
+        if value is not None:
+            monkeypatch.setattr(suffix_dedup, name, value)
     rows = [*fixtures.rows(), (500, "z" * 900, "en", "s0", 1), (501, "ab" * 500 + "z" * 50, "en", "s0", 1)]
     df = fixtures.documents(spark, rows).withColumns({"_g": F.lit(1), "anchor": F.lit(2)})
     out = suffix_dedup.remove_repeats(df, span=span, gram=gram)
@@ -164,6 +166,23 @@ def test_repeated_bytes(spark, monkeypatch, span, gram, bound):
     assert Counter(tuple(r) for r in got.collect()) == brute_bytes(rows, span)
 
 
+def test_a_partition_of_many_shards_keeps_its_memory():
+    """A partition of eight times the shard size and more is sorted a shard at a time, with the peak of a single shard."""
+    import tracemalloc
+
+    rng, peaks = random.Random(6), []
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for n in (40, 640):
+        rows = [bytes(rng.choices(b"abcdefgh", k=700)) for _ in range(n)]
+        table = pa.table({"anchor": pa.array([k // 4 for k in range(n)], pa.int64()), "a": pa.array(range(n), pa.int64()), "b": pa.array(range(n), pa.int64()), "n": pa.array([1] * n, pa.int64()), "bytes": pa.array([rows[k // 2] + bytes([k % 2]) for k in range(n)], pa.binary())})
+        tracemalloc.start()
+        found = sum(b.num_rows for shard in suffix_dedup.shards(iter(table.to_batches(max_chunksize=16)), 25_000) for b in suffix_dedup._sorted_shard(shard, 400, kind))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found == n
+    assert peaks[1] < 2 * peaks[0]
+
+
 def test_repeated_bytes_of_an_empty_table(spark):
     assert suffix_dedup.remove_repeats(fixtures.empty(spark)).count() == 0
 

@@ -1,5 +1,7 @@
 """Quality rules, URL rules and the rule ensemble."""
 
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -42,6 +44,61 @@ def test_cascade_keeps_the_same_rows_in_any_order(spark):
         assert df.filter(quality_rules.passes(text, w, rules)).count() == len(want)
 
 
+def test_the_cascade_order_weighs_rejections_against_costs():
+    # The second rule rejects as much as the first at a tenth of the cost, and leaves the first one row; the third rejects nothing.
+    rows = [(True, True, False)] * 8 + [(True, False, False)] + [(False, False, False)] * 3
+    assert quality_rules.cascade_order([1.0, 0.1, 0.01], rows) == [1, 0, 2]
+    assert quality_rules.cascade_order([0.1, 1.0, 0.01], rows) == [0, 2, 1]
+    # What an earlier rule already rejects counts no more: alone, the second rule would come before the third.
+    rows = [(True, True, False)] * 5 + [(False, False, True)] * 3
+    assert quality_rules.cascade_order([0.1, 0.12, 0.1], rows) == [0, 2, 1]
+    assert quality_rules.cascade_order([], []) == [] and quality_rules.cascade_order([2.0, 1.0], []) == [1, 0]
+
+
+def test_the_sample_is_bounded_and_taken_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "SAMPLE_CHARS", 100)
+    seen = []
+    rule = quality_rules.QualityRule("all", lambda t, w: F.length(t) > 50)
+    monkeypatch.setattr(quality_rules, "cascade_order", lambda costs, rejected: seen.append(rejected) or list(range(len(costs))))
+    df = spark.createDataFrame([("x" * k,) for k in range(200)], "text string")
+    quality_rules.plan_cascade(df.orderBy("text"), [rule], sample_rows=40)
+    quality_rules.plan_cascade(df.orderBy(F.desc("text")), [rule], sample_rows=40)
+    assert len(seen[0]) == 40 and sorted(seen[0]) == sorted(seen[1]) and {r[0] for r in seen[0]} == {True, False}
+
+
+def test_compiled_rules_score_as_a_walk_through_them(spark):
+    """Every rule's conditions checked by hand on the statistics, weights added up, and the logistic function of the sum."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "Bb", "c.", "word", "#", "longerword!"]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    labels = df.filter("doc_id < 50").select("doc_id", (F.length("text") % 2).cast("int").alias("quality"))
+    ensemble = rule_ensemble.learn(df, labels)
+    assert ensemble.rules
+    t = F.coalesce(F.col("text"), F.lit(""))
+    held = df.withColumns(rule_ensemble.statistics(t, quality_rules.words_of(F.col("text"))))
+    holds = {"<=": lambda x, y: x <= y, ">": lambda x, y: x > y}
+    want = {}
+    for r in held.collect():
+        margin = ensemble.bias + sum(rule.weight for rule in ensemble.rules if all(holds[sign](r[name], value) for name, sign, value in rule.conditions))
+        want[r.doc_id] = 1 / (1 + math.exp(-margin))
+    for r in rule_ensemble.score_quality(df, ensemble).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-9 and r.predicted == (want[r.doc_id] >= rule_ensemble.THRESHOLD)
+
+
+def test_paths_of_a_printed_tree():
+    printed = """Tree 0 (weight 1.0):
+    If (feature 0 <= 1.5)
+     If (feature 1 > 2.0)
+      Predict: 0.0
+     Else (feature 1 <= 2.0)
+      Predict: 1.0
+    Else (feature 0 > 1.5)
+     Predict: 1.0
+"""
+    a, b, c = ("x", "<=", 1.5), ("y", ">", 2.0), ("y", "<=", 2.0)
+    assert rule_ensemble.tree_paths(printed, ["x", "y"]) == [(a,), tuple(sorted((a, b))), tuple(sorted((a, c))), (("x", ">", 1.5),)]
+
+
 def test_quality_of_empty_and_clashing_tables(spark):
     assert quality_rules.keep_quality(fixtures.empty(spark)).count() == 0
     clash = fixtures.documents(spark).withColumns({"_t": F.lit(1), "_w": F.lit(2), "_seen": F.lit(3)})
