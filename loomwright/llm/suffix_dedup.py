@@ -7,11 +7,13 @@ A byte goes if a string of SPAN bytes that covers it starts anywhere else too, i
 - Around each anchor that repeats, the neighbouring strings with that anchor are cut out as one context, so that equal strings
   are in contexts of equal anchors. Contexts that are equal as a whole are repeated as a whole and collapse.
 - The different contexts are dealt to shards by their anchors. A shard sorts all its suffixes by induction and compares neighbours
-  in that order over SPAN bytes.
+  in that order over SPAN bytes. Shards are kept small, so that they are sorted in memory.
+- An anchor with very many different contexts would fill a shard by itself. Their strings are named by 128-bit hashes and counted instead.
 
 Defined results
 - A null or empty text has no bytes. Repeated rows are documents of their own, and remove each other's long strings. Matches never
-  cross documents. An empty table gives an empty result. Other columns pass through.
+  cross documents. An empty table gives an empty result. Very long texts are read whole. Other columns pass through; one with the name of
+  an output column (whatever the case) is an error.
 """
 
 from __future__ import annotations
@@ -25,17 +27,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import pieces, saved, unused, utf8
+from loomwright.llm.common import pieces, refuse, saved, spread_join, unused, utf8
 from loomwright.llm.suffix_order import suffix_order
 
 SPAN, GRAM = 400, 64
 #: Anchors that are broadcast, at most (8 bytes each); beyond that they reach their documents by a join.
 BROADCAST_ANCHORS = 2_000_000
+#: Different contexts beyond which an anchor is hot; bytes of contexts that a shard sorts at a time, about.
+HOT_CONTEXTS, SHARD_BYTES = 2_000, 8 << 20
 #: Windows compared at a time.
 BLOCK = 1 << 14
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_OTHER, _OTHER_INVERSE = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 RANGES = "array<struct<start:long,end:long>>"
 
 
@@ -49,14 +54,14 @@ def _sliding(x: np.ndarray, width: int, ufunc: np.ufunc) -> np.ndarray:
     return ufunc(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, gram: int, base: np.uint64 = _BASE, inverse: np.uint64 = _INVERSE) -> np.ndarray:
     with np.errstate(over="ignore"):
         n = len(data)
-        powers = np.cumprod(np.full(n, _BASE, np.uint64))
+        powers = np.cumprod(np.full(n, base, np.uint64))
         sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)
         part = sums[gram - 1 :].copy()
         part[1:] -= sums[: n - gram]
-        x = part * np.cumprod(np.full(n - gram + 1, _INVERSE, np.uint64))
+        x = part * np.cumprod(np.full(n - gram + 1, inverse, np.uint64))
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return (x ^ (x >> np.uint64(29))) | np.uint64(1)
 
@@ -109,7 +114,7 @@ def contexts(documents: DataFrame, repeated: DataFrame, span: int, gram: int) ->
     """(id, g, h, anchor, a, b, starts, bytes): the different contexts of repeated anchors in each document, by two hashes of their bytes, and where they start."""
     n = repeated.count()
     if n <= BROADCAST_ANCHORS:
-        live = documents.sparkSession.sparkContext.broadcast(np.sort(np.array([r["anchor"] for r in repeated.collect()], np.int64)))
+        live = documents.sparkSession.sparkContext.broadcast(np.sort(repeated.toArrow().column("anchor").to_numpy()))
         rows = documents.withColumn("live", F.lit(None).cast("array<long>"))
     else:
         live = None
@@ -175,36 +180,91 @@ def _runs(covered: np.ndarray) -> list[dict]:
 
 
 def sort_shards(found: DataFrame, span: int) -> DataFrame:
-    """(anchor, a, b, ranges): what is repeated of each different context, as ranges of its bytes."""
+    """(anchor, a, b, ranges): what is repeated of each different context, as ranges of its bytes.
+
+    A task takes its anchors in order, as many whole ones to a shard as SHARD_BYTES hold, or one alone: one with more than HOT_CONTEXTS different
+    contexts goes to hot_ranges.
+    """
     distinct = found.groupBy("anchor", "a", "b").agg(F.sum(F.size("starts")).alias("n"), F.first("bytes").alias("bytes"))
+    crowded = found.select("anchor", "a", "b").distinct().groupBy("anchor").agg(F.count("*").alias("different")).filter(F.col("different") > HOT_CONTEXTS)
+    hot = saved(crowded.select("anchor"), "hot-anchors")
+    n_hot = hot.count()
+    if n_hot:
+        named = F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot
+        return _sorted_shards(distinct.join(named, "anchor", "left_anti"), span).unionByName(hot_ranges(distinct.join(named, "anchor", "left_semi"), span))
+    return _sorted_shards(distinct, span)
+
+
+def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Rows in order of their anchors as tables of whole anchors, of about limit bytes each."""
+    kept, held = [], 0
+    for batch in pieces(batches, "bytes", max(1, limit // 4)):
+        if not batch.num_rows:
+            continue
+        anchor = batch.column("anchor").to_numpy()
+        if kept and held > limit:
+            # The shard ends where the anchor changes.
+            open_ = kept[-1].column("anchor")[-1].as_py()
+            k = int(np.searchsorted(anchor != open_, True)) if anchor[0] == open_ else 0
+            if k < len(anchor):
+                yield pa.Table.from_batches([*kept, batch.slice(0, k)])
+                kept, held, batch = [], 0, batch.slice(k)
+        kept.append(batch)
+        held += int(utf8(batch.column("bytes"))[1][-1])
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _sorted_shards(distinct: DataFrame, span: int) -> DataFrame:
+    kind, limit = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), SHARD_BYTES
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        whole = table.column("n").to_numpy() > 1
-        anchor = table.column("anchor").to_numpy()
-        _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
-        chosen = np.flatnonzero((size[group] > 1))  # others have no context to be compared with
-        ranges: list = [None] * table.num_rows
-        if len(chosen) and not whole[chosen].all():
-            data, bounds = utf8(table.column("bytes").take(pa.array(chosen)))
-            again = repeated_windows(data, bounds[1:], span)
-            for k, a, b in zip(chosen.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                starts = np.flatnonzero(again[a:b])
-                if len(starts) and not whole[k]:
-                    covered = np.zeros(b - a + 1, np.int64)
-                    np.add.at(covered, starts, 1)
-                    np.add.at(covered, starts + span, -1)
-                    ranges[k] = _runs(np.cumsum(covered)[:-1] > 0)
-        for k in np.flatnonzero(whole).tolist():
-            ranges[k] = [{"start": 0, "end": len(table.column("bytes")[k].as_py())}]
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        kept = pa.array([k for k, r in enumerate(ranges) if r], pa.int64())
-        out = pa.table({c: table.column(c).take(kept) for c in ("anchor", "a", "b")} | {"ranges": pa.array([r for r in ranges if r], kind)})
-        yield from out.combine_chunks().to_batches()
-
-    return distinct.repartition("anchor").mapInArrow(sort, f"anchor long, a long, b long, ranges {RANGES}")
+        for table in shards(batches, limit):
+            yield from _sorted_shard(table, span, kind)
+
+    dealt = distinct.repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(sort, f"anchor long, a long, b long, ranges {RANGES}")
+
+
+def _sorted_shard(table: pa.Table, span: int, kind: pa.DataType) -> list[pa.RecordBatch]:
+    whole = table.column("n").to_numpy() > 1
+    anchor = table.column("anchor").to_numpy()
+    _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
+    chosen = np.flatnonzero((size[group] > 1))  # others have no context to be compared with
+    ranges: list = [None] * table.num_rows
+    if len(chosen) and not whole[chosen].all():
+        data, bounds = utf8(table.column("bytes").take(pa.array(chosen)))
+        again = repeated_windows(data, bounds[1:], span)
+        for k, a, b in zip(chosen.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            starts = np.flatnonzero(again[a:b])
+            if len(starts) and not whole[k]:
+                covered = np.zeros(b - a + 1, np.int64)
+                np.add.at(covered, starts, 1)
+                np.add.at(covered, starts + span, -1)
+                ranges[k] = _runs(np.cumsum(covered)[:-1] > 0)
+    for k in np.flatnonzero(whole).tolist():
+        ranges[k] = [{"start": 0, "end": len(table.column("bytes")[k].as_py())}]
+    kept = pa.array([k for k, r in enumerate(ranges) if r], pa.int64())
+    out = pa.table({c: table.column(c).take(kept) for c in ("anchor", "a", "b")} | {"ranges": pa.array([r for r in ranges if r], kind)})
+    return out.combine_chunks().to_batches()
+
+
+def hot_ranges(distinct: DataFrame, span: int) -> DataFrame:
+    """(anchor, a, b, ranges) for contexts of hot anchors: the windows whose 128-bit hashes occur twice or more; equal ones are counted before they
+    are shuffled."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "bytes"):
+            found = [(gram_hashes(x, span), gram_hashes(x, span, _OTHER, _OTHER_INVERSE)) for x in _texts(batch, "bytes")]
+            of, at = np.repeat(np.arange(len(found)), [len(x) for x, _ in found]), np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x, _ in found]])
+            wa, wb = (np.concatenate([np.zeros(0, np.uint64), *[x[k] for x in found]]).view(np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(of)) for c in ("anchor", "a", "b", "n")), pa.array(wa), pa.array(wb), pa.array(at)], names=["anchor", "a", "b", "n", "wa", "wb", "at"])
+
+    windows = distinct.mapInArrow(name, "anchor long, a long, b long, n long, wa long, wb long, at long").withColumn("w", F.struct("wa", "wb"))
+    counted = windows.groupBy("w").agg(F.sum("n").alias("times"), F.count("*").alias("rows")).filter(F.col("times") > 1)
+    total = counted.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+    again = spread_join(windows.select("anchor", "a", "b", "w", "at"), total, counted.select("w", "rows"), "w", "rows")
+    return again.groupBy("anchor", "a", "b").agg(F.transform(F.collect_list("at"), lambda k: F.struct(k.alias("start"), (k + span).alias("end"))).alias("ranges"))
 
 
 def find_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -220,9 +280,7 @@ def find_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", span
 
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """df with spans (removed byte ranges, merged), kept (binary: the bytes that stay) and n_bytes."""
-    for name in ("spans", "kept", "n_bytes"):
-        if name in df.columns:
-            raise ValueError(f"the input already has a column {name}")
+    refuse(df, "spans", "kept", "n_bytes")
     g, h, i, k, l, ranges = (unused(x, df.columns) for x in ("_g", "_h", "_i", "_k", "_l", "_ranges"))
     t = F.coalesce(F.col(text), F.lit(""))
     rows = df.withColumns({g: F.xxhash64(t), h: F.xxhash64(F.lit(1), t)})
