@@ -40,7 +40,10 @@ def line_words(line: Column) -> Column:
 
 def _words(line: Column) -> Column:
     """Lines whose words are parted by single spaces, as most are, take the faster way."""
-    return F.when(line.rlike(r"[\x09-\x0D]|  |^ | $|^$"), words_of(line)).otherwise(F.split(line, " "))
+    odd = line.startswith(" ") | line.endswith(" ") | (line == "")
+    for mark in ("  ", "\t", "\x0b", "\f", "\r", "\n"):
+        odd = odd | F.contains(line, F.lit(mark))
+    return F.when(odd, words_of(line)).otherwise(F.split(line, " "))
 
 
 def eligible(line: Column) -> Column:
@@ -59,23 +62,22 @@ def _rarity(documents: DataFrame) -> Column:
 
     The array is a scalar subquery, so that no plan spells it out."""
     words = documents.select(F.explode(F.split(F.replace("t", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    buckets = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
+    buckets = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
     every = documents.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     step = F.least(F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0)))), F.lit(126)).cast("byte")
     counts = every.join(buckets, "b", "left").select(F.struct("b", step.alias("c")).alias("x"))
     return counts.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["c"]).alias("c")).scalar()
 
 
-def _bucket(hash_: Column) -> Column:
-    """A counter for the low bits of a word's hash."""
-    return hash_.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _bucket(word: Column) -> Column:
+    """A word's counter."""
+    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def _ordered(words: Column, counts: Column) -> Column:
     """The set of the words, from rare to frequent: for each its rarity in the upper byte, and 56 bits of its hash."""
-    rarity = lambda h: F.get(counts, _bucket(h)).cast("long")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.array_distinct(F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))))
+    rarity = lambda w: F.coalesce(F.get(counts, _bucket(w)).cast("long"), F.lit(0).cast("long"))
+    return F.array_distinct(F.sort_array(F.transform(words, lambda w: F.shiftleft(rarity(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8)))))
 
 
 def _prefix(ordered: Column) -> Column:
@@ -102,10 +104,9 @@ def line_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     Hashes stand for the words; two 64-bit hashes of all its words in order name a set.
     """
     documents = _documents(df, text, doc_id)
-    documents = documents.withColumn("counts", _rarity(documents))
-    counts = F.col("counts")
-    each = F.transform(F.split("t", "\n", -1), lambda x, k: F.struct(k.alias("line"), _ordered(_words(x), counts).alias("w")))
-    lines = documents.select("id", "h", F.inline(F.filter(each, lambda x: F.size(x["w"]) > 0)))
+    # Lines become rows before their words are looked at, so that sorting and hashing sets is compiled code.
+    lines = documents.select("id", "h", F.posexplode(F.split("t", "\n", -1)).alias("line", "l")).filter(eligible(F.col("l")))
+    lines = lines.withColumn("counts", _rarity(documents)).select("id", "h", "line", _ordered(_words(F.col("l")), F.col("counts")).alias("w"))
     a, b = _signature(F.col("w"))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "h", "line", F.size("w").alias("n"), a.alias("bits_a"), b.alias("bits_b"), _prefix(F.col("w")).alias("prefix"))
     sets = lines.select(F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), "w").alias("b"), first.alias("first")).groupBy("a", "b").agg(F.min("first").alias("first")).select("first.*")
