@@ -39,6 +39,21 @@ def test_nearest_is_exact_with_ties_and_blocks(spark, monkeypatch):
     assert vector_search.nearest(asked.limit(0), rows, 3).count() == 0
 
 
+def test_nearest_stays_within_its_corpus(spark):
+    """Equal vectors in two corpora; zero vectors, vectors that are not finite and others of another size are never found."""
+    rows = [(k, "a", [float(k == j) for j in range(5)]) for k in range(5)] + [(10 + k, "b", [float(k == j) for j in range(5)]) for k in range(5)]
+    rows += [(20, "a", [0.0] * 5), (21, "a", [float("nan")] * 5), (22, "a", [1.0]), (23, None, [1.0] * 5), (24, "a", None)]
+    held = spark.createDataFrame(rows, "id long, repo string, embedding array<float>")
+    asked_ = spark.createDataFrame([(1, "a", [1.0, 0.0, 0.0, 0.0, 0.0]), (2, "b", [0.0, 1.0, 0.0, 0.0, 0.0]), (3, "c", [1.0] * 5), (4, None, [1.0] * 5), (5, "a", [0.0] * 5)], "qid long, repo string, embedding array<float>")
+    got = defaultdict(list)
+    for r in vector_search.nearest(asked_, held.repartition(3), 50, scope="repo").orderBy("qid", "rank").collect():
+        assert not math.isnan(r.distance)
+        got[r.qid].append(r.id)
+    assert got == {1: [0, 1, 2, 3, 4], 2: [11, 10, 12, 13, 14]}
+    everywhere = vector_search.nearest(asked_.filter("qid = 1"), held, 50).collect()
+    assert {r.id for r in everywhere} == {*range(5), *range(10, 15), 23}
+
+
 CORPUS = [
     (1, "src/load.py", "python", "loadRows", "def loadRows(path): return rows of path"),
     (2, "src/save.py", "python", None, "def save_rows(rows): write the rows"),
@@ -95,6 +110,28 @@ def test_bm25_boost_and_filter(spark):
     assert indexed.stats.first()["n"] == len(CORPUS)
 
 
+def test_a_written_index_answers_as_one_in_memory(spark, tmp_path):
+    made, written = keyword_search.index(corpus(spark)), keyword_search.index(corpus(spark), f"{tmp_path}/index")
+    questions = asked(spark, "loadRows please", "the save_rows", "write 'rows write'")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for ix in (written, keyword_search.open_index(spark, f"{tmp_path}/index")):
+        assert rows(keyword_search.search(ix, questions)) == rows(keyword_search.search(made, questions))
+        assert rows(keyword_search.cover_density(ix, questions)) == rows(keyword_search.cover_density(made, questions))
+    read = {f.split("/index/")[1].split("/")[0] for f in keyword_search.search(written, asked(spark, "rows please")).inputFiles()}
+    assert read == {"postings", "lexicon", "stats"}
+
+
+def test_cover_density_of_words_and_phrases(spark):
+    docs = spark.createDataFrame([("r", 1, "a", "python", "near", "alpha beta gamma"), ("r", 2, "b", "python", None, "beta alpha")], "repo_id string, chunk_id long, file_path string, language string, symbol string, content string")
+    indexed = keyword_search.index(docs)
+    # Words are the symbol twice, the path, and the content twice.
+    size = {1: 2 + 1 + 6, 2: 1 + 4}
+    got = {r.chunk_id: r.score for r in keyword_search.cover_density(indexed, asked(spark, "alpha near")).collect()}
+    assert got == {1: round((2 * 0.1 + 2 * 1.0) / math.log(1 + size[1]), 6), 2: round(2 * 0.1 / math.log(1 + size[2]), 6)}
+    got = {r.chunk_id: r.score for r in keyword_search.cover_density(indexed, asked(spark, "'alpha beta'")).collect()}
+    assert got == {1: round(2 * (2 / 20) / math.log(1 + size[1]), 6), 2: round(1 * (2 / 20) / math.log(1 + size[2]), 6)}
+
+
 def test_fusion(spark):
     make = lambda rows: spark.createDataFrame([(1, k + 1, c) for k, c in enumerate(rows)], "qid long, rank int, chunk_id long")
     a, b = [5, 3, 9, 1], [3, 7, 5]
@@ -135,6 +172,27 @@ def test_measures(spark):
     assert metrics.same_lists(lists, other).first()["differs_at"] == 2 and metrics.same_lists(lists, lists).first()["same"]
 
 
+def test_grades_splits_and_reviews(spark):
+    labels = spark.createDataFrame([("q", 1, "f", 1, 10, 1), ("q", 2, "f", 8, 12, 2)], "qid string, label long, file string, start int, end int, grade int")
+    spans = [(1, "f", 1, 9, 2), (2, "f", 1, 5, 1), (3, "f", 12, 30, 2), (4, "f", 13, 30, 0), (5, "F", 1, 9, 0)]
+    ranked = spark.createDataFrame([("q", *x[:4]) for x in spans], "qid string, rank int, file string, start int, end int")
+    assert {r.rank: r.grade for r in metrics.best_grades(ranked, metrics.hits(ranked, labels)).collect()} == {x[0]: x[4] for x in spans}
+    questions = spark.createDataFrame([(1, "dev", "where"), (2, "test", "where"), (3, "dev", "unanswerable")], "qid long, split string, kind string")
+    ids = lambda df: {r.qid for r in df.collect()}
+    assert ids(metrics.of_split(questions, "dev")) == {1, 3} and ids(metrics.answerable(questions)) == {1, 2} and ids(metrics.of_split(questions, "all", final=True)) == {1, 2, 3}
+    for split, final in (("test", False), ("all", False), ("x", True)):
+        with pytest.raises(ValueError):
+            metrics.of_split(questions, split, final)
+    pairs = spark.createDataFrame([(k, k == 3, k != 5, k != 6) for k in range(9)], "qid long, changed boolean, passed boolean, base_passed boolean")
+    assert {r.qid: r.why for r in metrics.to_review(pairs, 2).collect()} == {3: "changed", 5: "failed", 6: "failed", 0: "spot check", 1: "spot check"}
+    run = spark.createDataFrame([(1, 1.0), (2, 0.0), (3, 1.0)], "qid long, r double")
+    for name in ("recall_1", "recall_3", "recall_5", "recall_8", "reciprocal", "coverage"):
+        run = run.withColumn(name, F.col("r"))
+    base = run.filter("qid <> 3").withColumns({c: F.lit(0.5003) for c in ("recall_1", "reciprocal")})
+    got = metrics.paired(run.withColumn("split", F.lit("dev")), base.withColumn("split", F.lit("dev")), ["split"]).filter("dimension = 'all'").first()
+    assert got.n == 2 and got.recall_1 == 0.0 and got.recall_3 == 0.0
+
+
 PYTHON = """import os
 
 LIMIT = 3
@@ -258,6 +316,17 @@ def test_scan_of_a_tree(spark, tmp_path):
     assert sum(r["count"] for r in files.by_language(capped).collect()) == 1
 
 
+def test_repositories_and_labels(spark):
+    pins = spark.createDataFrame([("O/One", "abcdef123"), ("o/two", "abcdef123"), ("o/three", "abcdef123"), ("o/four", "abcdef123")], "name string, commit string")
+    have = spark.createDataFrame([("o", "one", "ready", "abcdef123"), ("o", "two", "failed", None), ("o", "Three", "ready", "0123456789")], "owner string, name string, status string, commit string")
+    assert sorted(tuple(r) for r in tables.pin_problems(pins, have).collect()) == [("o/four", "not indexed"), ("o/three", "indexed at 0123456, pinned at abcdef1"), ("o/two", "indexed at nothing, pinned at abcdef1"), ("o/two", "not ready: failed")]
+    lines = spark.createDataFrame([("f", 1, "def load():"), ("f", 2, "  pass")], "file string, n int, line string")
+    labels = spark.createDataFrame([("a", "f", 1, 2, "X.load"), ("b", "f", 2, 2, "load"), ("c", "g", 1, 1, None), ("d", "f", 2, 3, None), ("e", "f", 2, 1, "load")], "id string, file string, start int, end int, symbol string")
+    assert sorted((r.id, r.problem.split(":")[0]) for r in tables.label_problems(labels, lines).collect()) == [("b", "symbol not in the lines"), ("c", "no such file"), ("d", "lines outside the file"), ("e", "lines outside the file")]
+    repositories, jobs_ = spark.createDataFrame([(1,), (2,)], "repo_id long"), spark.createDataFrame([(5, 1, "failed"), (6, 1, "queued")], "job_id long, repo_id long, status string")
+    assert [(r.repo_id, r.job_status) for r in tables.listed(repositories, jobs_).collect()] == [(2, None), (1, "queued")]
+
+
 def test_tables(spark, tmp_path):
     store = tables.VersionedTable(spark, str(tmp_path))
     assert store.current() is None
@@ -341,7 +410,7 @@ def test_prompts(spark):
     assert [r.file for r in cited.orderBy("place").collect()] == ["y", "x"]
 
 
-def test_a_question_from_end_to_end(spark):
+def test_a_question_from_end_to_end(spark, tmp_path):
     held = corpus(spark).withColumns({"start": F.lit(1), "end": F.lit(9), "kind": F.lit("function")})
     vectors = spark.createDataFrame([(k, [float(k == j) for j in range(1, 6)]) for k in range(1, 6)], "id long, embedding array<float>")
     questions = spark.createDataFrame([(7, "r", "where is loadRows", [1.0, 0.0, 0.0, 0.0, 0.2])], "qid long, repo_id string, question string, embedding array<float>")
@@ -351,6 +420,28 @@ def test_a_question_from_end_to_end(spark):
         assert (got.answer, got.numbers, got.invalid, got.grounded) == ("It loads [1]. Also.", [1], 1, True)
     ranked = ask.retrieve(questions, held, vectors, ask.Settings(mode="hybrid")).orderBy("rank").collect()
     assert ranked[0].chunk_id == 1
+    # The same vectors in another repository never reach the question.
+    other = held.withColumns({"repo_id": F.lit("s"), "chunk_id": F.col("chunk_id") + 100})
+    both = vectors.unionByName(vectors.withColumn("id", F.col("id") + 100))
+    for mode in ("vector", "hybrid"):
+        found = ask.retrieve(questions, held.unionByName(other), both, ask.Settings(mode=mode)).collect()
+        assert found and all(r.chunk_id < 100 for r in found)
+    with pytest.raises(ValueError):
+        ask.retrieve(questions, held.withColumn("embed_model", F.lit("old")), vectors, ask.Settings(mode="vector", embed_model="new"))
+    assert ask.Settings(top=999).top == 50 and ask.Settings(top=0).top == 1
+    seen = []
+    ask.answer(questions, held.withColumn("content", F.repeat("content", F.lit(1000))), vectors, model, lambda p: seen.extend(p) or ['{"ranking": [1]}' for _ in p], ask.Settings(mode="hybrid_rerank")).collect()
+    known = spark.createDataFrame([("r", "ready"), ("s", "indexing")], "repo_id string, status string")
+    asked_ = spark.createDataFrame([(1, "r"), (2, "s"), (3, "t")], "qid long, repo_id string")
+    judged = ask.readiness(asked_, known).select("qid", "problem", ask.classified(F.col("problem")).alias("said")).collect()
+    assert {r.qid: (r.problem, r.said and r.said.status) for r in judged} == {1: (None, None), 2: ("not_ready", 409), 3: ("not_found", 404)}
+    assert spark.range(1).select(ask.classified(F.lit("boom")).alias("x")).first().x.code == "internal"
+    store = f"{tmp_path}/answers"
+    more = spark.createDataFrame([(k,) for k in range(4)], "qid long")
+    ask.resume(more.filter("qid < 2"), store, lambda df: df.withColumn("answer", F.lit("a")))
+    assert {r.qid for r in ask.pending(more, store).collect()} == {2, 3}
+    ask.resume(more, store, lambda df: df.withColumn("answer", F.lit("b")))
+    assert sorted((r.qid, r.answer) for r in spark.read.parquet(store).collect()) == [(0, "a"), (1, "a"), (2, "b"), (3, "b")]
     with pytest.raises(ValueError):
         ask.check_questions(questions.withColumn("question", F.lit(" ")))
     for bad in ({"languages": ("cobol",)}, {"path_prefix": "/a"}, {"path_prefix": "a/../b"}, {"path_prefix": "x" * 201}, {"mode": "x"}, {"languages": ("go",) * 11}):
