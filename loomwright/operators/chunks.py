@@ -34,8 +34,20 @@ STARTS = [
         )
     ],
 ]
+#: Lines that begin a member at the margin of a class body: language, pattern (its group: the name).
+_MODIFIERS = r"(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract)\s+)*"
+MEMBERS = [("python", r"^\s+(?:async\s+)?def\s+(\w+)")] + [
+    (language, rf"^\s+{_MODIFIERS}\*?\s*(?!(?:if|for|while|switch|catch|return)\b)(#?[\w$]+)\s*{rest}")
+    for language in ("javascript", "typescript")
+    for rest in (r"(?:<[^>]*>)?\([^=;]*\)[^;=]*[{;]", r"(?::[^=]+)?=\s*(?:async\s+)?(?:function\b|\([^)]*\)[^=]*=>|\w+\s*=>)")
+]
 #: Lines that belong to the symbol right below them: comments and decorators.
-ATTACHED = r"^\s*(?:#|//|/\*|\*|@)"
+ATTACHED = r"^\s*(?://|/\*|\*|@)"
+
+
+def attached() -> Column:
+    """Whether line is one of these; # begins a comment in Python alone."""
+    return F.col("line").rlike(ATTACHED) | ((F.col("language") == "python") & F.col("line").rlike(r"^\s*#"))
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -61,8 +73,7 @@ def symbols(of: DataFrame) -> DataFrame:
     margin = F.when(~F.col("line").rlike(BLANK) & ~F.col("line").rlike(r"^\s"), F.col("n"))
     closing = F.when(F.col("line").rlike(r"^[)}\]]"), F.col("n"))
     solid = F.when(~F.col("line").rlike(BLANK), F.col("n"))
-    attached = F.col("line").rlike(ATTACHED) & ~F.col("line").rlike(r"^\s")
-    rows = of.withColumns({"named": named, "attached": attached, "opens": opens, "solid": solid})
+    rows = of.withColumns({"named": named, "attached": attached() & ~F.col("line").rlike(r"^\s"), "opens": opens, "solid": solid})
     # The run of attached lines that ends just above each line.
     rows = rows.withColumn("bare", F.max(F.when(~F.col("attached"), F.col("n"))).over(by_file.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumns({"next_margin": F.min(margin).over(after), "closing": F.min(closing).over(after), "last": F.max("solid").over(Window.partitionBy("file"))})
@@ -73,6 +84,35 @@ def symbols(of: DataFrame) -> DataFrame:
     return _to_last_solid(found, of)
 
 
+def class_members(of: DataFrame, found: DataFrame, max_lines: int) -> DataFrame:
+    """found with each class of over max_lines lines cut up, if it has members: what stands before the first, then each member.
+
+    Members stand at the least margin inside their class, with the comments and decorators right above them, and end where the next line at
+    that margin or a lesser one begins; a closing bracket at that margin still belongs to them.
+    """
+    long_ = found.filter((F.col("kind") == "class") & (F.col("end") - F.col("start") + 1 > max_lines))
+    owner = long_.select("file", F.col("symbol").alias("owner"), F.col("start").alias("from"), F.col("end").alias("to"))
+    inside = of.join(owner, "file").filter(F.col("n").between(F.col("from"), F.col("to")))
+    whole = Window.partitionBy("file", "from")
+    by_line = whole.orderBy("n")
+    indent = F.when(~F.col("line").rlike(BLANK), F.length(F.regexp_extract("line", r"^(\s*)", 1)))
+    name = F.coalesce(*[F.when((F.col("language") == language) & F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 1)) for language, pattern in MEMBERS])
+    rows = inside.withColumns({"indent": indent, "name": name})
+    rows = rows.withColumn("margin", F.min(F.when((F.col("indent") > 0) & (F.col("n") > F.col("from")), F.col("indent"))).over(whole))
+    joined = attached() & (F.col("indent") == F.col("margin"))
+    bound = (F.col("indent") < F.col("margin")) | ((F.col("indent") == F.col("margin")) & ~F.col("line").rlike(r"^\s*[)}\]]"))
+    rows = rows.withColumns({
+        "above": F.max(F.when(~F.coalesce(joined, F.lit(False)), F.col("n"))).over(by_line.rowsBetween(Window.unboundedPreceding, -1)),
+        "below": F.min(F.when(bound, F.col("n"))).over(by_line.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    spans = rows.filter(F.col("name").isNotNull() & (F.col("indent") == F.col("margin")) & F.col("above").isNotNull())
+    spans = spans.select("file", "language", "from", "owner", F.concat_ws(".", "owner", "name").alias("symbol"), F.lit("method").alias("kind"), (F.col("above") + 1).alias("start"), (F.coalesce("below", F.col("to") + 1) - 1).alias("end"))
+    heads = spans.groupBy("file", "language", "from", "owner").agg((F.min("start") - 1).alias("end"))
+    heads = heads.select("file", "language", F.col("owner").alias("symbol"), F.lit("class").alias("kind"), F.col("from").alias("start"), "end")
+    cut = _to_last_solid(spans.select(*heads.columns).unionByName(heads), of)
+    return found.join(heads.select("file", "start"), ["file", "start"], "left_anti").unionByName(cut.select(*found.columns))
+
+
 def _solid(of: DataFrame) -> DataFrame:
     """(file, n, ahead, behind): for each line the nearest one that is not blank, itself included, from there on and up to there."""
     solid = F.when(~F.col("line").rlike(BLANK), F.col("n"))
@@ -179,7 +219,7 @@ def chunk(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP,
     """All chunks of files (file, language, text)."""
     of = lines(files)
     code = of.filter(F.col("language") != "markdown")
-    found = _apart(symbols(code))
+    found = class_members(code, _apart(symbols(code)), max_lines)
     rest = gaps(code, found, min_gap).select("file", F.lit(None).cast("string").alias("symbol"), F.lit("window").alias("kind"), "start", "end")
     text = sections(of.filter(F.col("language") == "markdown")).select("file", "symbol", F.lit("doc").alias("kind"), "start", "end")
     pieces = found.select("file", "symbol", "kind", "start", "end").unionByName(rest).unionByName(text)

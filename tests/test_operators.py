@@ -283,6 +283,15 @@ def test_chunks_of_code(spark):
     assert made(spark, "a.ts", "typescript", TS) == [("Widget", "class", 3, 6), ("twice", "function", 8, 8), ("Shape", "interface", 10, 12), ("plain", "function", 13, 13), ("exports.helper", "function", 14, 14)]
 
 
+def test_long_classes_are_cut_into_their_members(spark):
+    source = "class Ship(Base):\n    \"\"\"Doc.\"\"\"\n    size = 1\n\n    @wrap\n    def sail(self):\n        def inner():\n            return 1\n        return inner()\n\n    async def stop(\n        self,\n    ):\n        return 2\n    speed = 3\n\n    # says\n    # more\n    def name(self):\n        return 4\n\n\ndef after():\n    pass\n"
+    assert made(spark, "a.py", "python", source, max_lines=6, overlap=1, min_gap=9) == [("Ship", "class", 1, 3), ("Ship.sail", "method", 5, 9), ("Ship.stop", "method", 11, 14), ("Ship.name", "method", 17, 20), ("after", "function", 23, 24)]
+    assert made(spark, "a.py", "python", source)[0] == ("Ship", "class", 1, 20)
+    source = "export class Box {\n  #a = 1;\n  constructor() {\n    this.b = 2;\n  }\n\n  // gives\n  static make(n: number): Box { return new Box(); }\n  get value() { return 1; }\n  go = async (x) => {\n    if (x) { y(); }\n  };\n  plain = 3;\n}\n"
+    assert made(spark, "b.ts", "typescript", source, max_lines=6, overlap=1, min_gap=9) == [("Box", "class", 1, 2), ("Box.constructor", "method", 3, 5), ("Box.make", "method", 7, 8), ("Box.value", "method", 9, 9), ("Box.go", "method", 10, 12)]
+    assert made(spark, "c.py", "python", "class Data:\n" + "    x = 1\n" * 9, max_lines=5, overlap=0)[0] == ("Data", "class", 1, 5)
+
+
 def test_chunks_of_text_and_windows(spark):
     assert made(spark, "a.md", "markdown", MARKDOWN) == [(None, "doc", 1, 1), ("Title", "doc", 3, 4), ("Title > Empty > Child link", "doc", 8, 13), ("Title > Next", "doc", 14, 15)]
     assert made(spark, "c.py", "python", "A = 1\nB = 2\n") == [(None, "window", 1, 2)]
