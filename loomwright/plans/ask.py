@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.functions.answers import bytes_cut, question_terms, ranking
+from loomwright.functions.answers import bytes_cut, question_terms, ranking, rerank_key
 from loomwright.functions.text import is_test_path
 from loomwright.operators import fusion, keyword_search, prompts, vector_search
 
@@ -96,6 +96,38 @@ def resume(questions: DataFrame, store: str, answer_batch: Callable[[DataFrame],
     answer_batch(pending(questions, store)).write.mode("append").parquet(store)
 
 
+def rankings(listed: DataFrame, cache: DataFrame | None, reranker: str, model: TextModel) -> tuple[DataFrame, DataFrame]:
+    """(qid, ranking) for lists (qid, question, ids, texts, prompt), and the rows that the cache (cache_key, ranking) should get.
+
+    A key stands for the reranker, the question and the candidates in their order; a model sees only what the cache lacks, each key once, and
+    replies without a ranking are neither used nor kept."""
+    keyed = listed.withColumn("cache_key", rerank_key(F.lit(reranker), F.col("question"), F.col("ids"), F.col("texts")))
+    missing = keyed if cache is None else keyed.join(cache, "cache_key", "left_anti")
+    asked = ask_model(missing.dropDuplicates(["cache_key"]).select("cache_key", "prompt", F.size("ids").alias("n")), model)
+    new = asked.select("cache_key", ranking("reply", "n").alias("ranking")).filter("ranking IS NOT NULL")
+    known = new if cache is None else new.unionByName(cache.select("cache_key", "ranking"))
+    return keyed.select("qid", "cache_key").join(known, "cache_key").select("qid", "ranking"), new
+
+
+def embed_stream(texts: DataFrame, cache: str, model: VectorModel, checkpoint: str) -> None:
+    """Embeds what a stream of texts has now, a batch at a time: each batch's new vectors are in the Parquet folder cache before the next begins,
+    so that a failure loses one batch at most."""
+
+    def one(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        try:
+            known = spark.read.schema("text_hash string, embedding array<float>").parquet(cache)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            known = None
+        wanted = batch.select(F.sha2("text", 256).alias("text_hash"), "text").dropDuplicates(["text_hash"])
+        new = wanted if known is None else wanted.join(known, "text_hash", "left_anti")
+        embed_texts(new, None, model).write.mode("append").parquet(cache)
+
+    texts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def ask_model(rows: DataFrame, model: TextModel, prompt: str = "prompt", out: str = "reply") -> DataFrame:
     """rows with the model's reply to each prompt."""
 

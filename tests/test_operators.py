@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomwright.functions.answers import question_terms
 from loomwright.operators import chunks, fusion, keyword_search, metrics, prompts, vector_search
 from loomwright.plans import ask
+from loomwright.plans import report as report_
 from loomwright.sources import files, tables
 from loomwright.streaming import jobs
 
@@ -193,6 +194,31 @@ def test_grades_splits_and_reviews(spark):
     assert got.n == 2 and got.recall_1 == 0.0 and got.recall_3 == 0.0
 
 
+def test_runs_and_reports(spark, tmp_path):
+    rows = [(k, "dev" if k % 2 else "test", k % 3, *[float(k % 3 > 0)] * 4, 0.5 * (k % 3 > 0), 0.25) for k in range(6)]
+    run = spark.createDataFrame(rows, "qid long, split string, first int, recall_1 double, recall_3 double, recall_5 double, recall_8 double, reciprocal double, coverage double")
+    report_.write_run(run, f"{tmp_path}/run")
+    back = report_.read_run(spark, f"{tmp_path}/run", ["split"])
+    assert sorted(tuple(r) for r in back.select(*run.columns).collect()) == sorted((str(r[0]), *r[1:]) for r in rows)
+    got = report_.report(back, ["split"], back.filter("qid <> '0'").withColumns({"first": F.lit(1), "recall_1": F.lit(0.2)}))
+    assert "| all | 6 | 0.667 | 0.667 | 0.667 | 0.667 | 0.333 | 0.250 |" in got and "| split dev | 3 |" in got
+    assert "| all | 5 | +0.600 | 0 | 0 | 0 | 0 | 0 |" in got and "First hits: 0 better, 3 worse, 2 unchanged." in got
+
+
+def test_rankings_are_cached_and_batches_are_kept(spark, tmp_path):
+    listed = spark.createDataFrame([(1, "why", [5, 6], ["a", "b"], "p1"), (2, " why ", [5, 6], ["a", "b"], "p1"), (3, "who", [6, 5], ["b", "a"], "p2")], "qid long, question string, ids array<long>, texts array<string>, prompt string")
+    reply = lambda prompts_: ['{"ranking": [2, 1]}' if p == "p1" else "no" for p in prompts_]
+    got, new = ask.rankings(listed, None, "m", reply)
+    assert {r.qid: r.ranking for r in got.collect()} == {1: [1, 0], 2: [1, 0]} and new.count() == 1
+    new.write.parquet(f"{tmp_path}/cache")
+    again, more = ask.rankings(listed.filter("qid < 3"), spark.read.parquet(f"{tmp_path}/cache"), "m", lambda prompts_: [1 / 0 for _ in prompts_])
+    assert {r.qid for r in again.collect()} == {1, 2} and more.count() == 0
+    for texts in (["a", "b", "a"], ["b", "c"]):
+        spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/texts")
+        ask.embed_stream(spark.readStream.schema("text string").parquet(f"{tmp_path}/texts"), f"{tmp_path}/vectors", lambda t: [[float(len(x)), 1.0] for x in t], f"{tmp_path}/progress")
+    assert spark.read.parquet(f"{tmp_path}/vectors").count() == 3
+
+
 PYTHON = """import os
 
 LIMIT = 3
