@@ -245,8 +245,8 @@ def places_in_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a question's repository that share its first word at least twice are relevant, on four lines of each, every fifth as context alone."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), F.element_at(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 1).alias("w"))
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", text.lexemes(F.col("text")).alias("words"))
-    met = docs.join(asked, "source").filter(F.size(F.filter("words", lambda x: x == F.col("w"))) >= 2)
+    words = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(text.lexemes(F.col("text"))).alias("w"))
+    met = words.join(asked, ["source", "w"]).groupBy("qid", "doc_id").agg(F.count("*").alias("n")).filter("n >= 2")
     start = (F.col("doc_id") % 12 + 1).cast("int")
     return met.select("qid", F.col("doc_id").alias("label"), F.col("doc_id").cast("string").alias("file"), start.alias("start"), (start + 3).alias("end"), F.when(F.col("doc_id") % 5 == 0, 1).otherwise(2).alias("grade"))
 

@@ -68,20 +68,33 @@ def requeue_stale(jobs: DataFrame, now: Column, stale_seconds: int = STALE_SECON
 
 
 def in_trailing(events: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
-    """events with in_window: how many of the key's events lie in the seconds up to each, itself and those of its instant included; an event exactly that old no longer counts."""
-    micros = _micros(ts)
-    window = Window.partitionBy(key).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("in_window", F.count("*").over(window))
+    """events with in_window: how many of the key's events lie in the seconds up to each, itself and those of its instant included; an event exactly that old no longer counts.
+
+    Time is cut into slots of that many seconds, and a slot sees the one before it as well: a key with many events fills many tasks."""
+    span = seconds * 1_000_000
+    slot = F.floor(_micros(ts) / span)
+    seen = F.explode(F.array(F.struct(slot.alias("slot"), F.lit(True).alias("own")), F.struct((slot + 1).alias("slot"), F.lit(False).alias("own"))))
+    rows = events.withColumn("_at", seen)
+    window = Window.partitionBy(key, "_at.slot").orderBy(_micros(ts)).rangeBetween(-(span - 1), 0)
+    return rows.withColumn("in_window", F.count("*").over(window)).filter("_at.own").drop("_at")
 
 
 def token_bucket(events: DataFrame, key: str, ts: str, order: str, per_minute: int) -> DataFrame:
-    """(key, order, allowed): a bucket of per_minute tokens for each key, refilled steadily, one token a request."""
+    """(key, order, allowed): a bucket of per_minute tokens for each key, refilled steadily, one token a request.
+
+    A task passes over its keys' requests in order and carries the open bucket alone."""
     wanted = events.select(F.col(key).alias("key"), _micros(ts).alias("at"), F.col(order).alias("id"))
 
-    def spend(requests: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"key": requests["key"], "id": requests["id"], "allowed": _spend(requests, per_minute, {})})
+    def spend(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, {}
+        for part in parts:
+            for who, requests in part.groupby("key", sort=False, dropna=False):
+                if who != now:
+                    now, state = who, {}
+                yield pd.DataFrame({"key": requests["key"], "id": requests["id"], "allowed": _spend(requests, per_minute, state)})
 
-    return wanted.groupBy("key").applyInPandas(lambda rows: spend(rows.sort_values(["at", "id"])), "key long, id long, allowed boolean")
+    dealt = wanted.filter(F.col("key").isNotNull()).repartition(F.col("key")).sortWithinPartitions("key", "at", "id")
+    return dealt.mapInPandas(spend, "key long, id long, allowed boolean")
 
 
 def _spend(requests: pd.DataFrame, per_minute: int, state: dict) -> list[bool]:
