@@ -522,6 +522,20 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {LINES_SQL}, b AS (SELECT doc_id AS id, CASE WHEN doc_id % 17 = 0 THEN -doc_id ELSE doc_id END AS file, doc_id % 3 AS s, doc_id % 5 + 1 AS e, CASE WHEN doc_id % 2 = 0 THEN 'X.the' END AS symbol FROM labels),
+z AS (SELECT b.*, len(a) AS size FROM b LEFT JOIN g ON b.file = g.file AND len(a) > 0)
+SELECT id, 'no such file' AS problem FROM z WHERE size IS NULL UNION ALL SELECT id, 'lines outside the file' FROM z WHERE s < 1 OR e < s OR e > size
+UNION ALL SELECT id, 'symbol not in the lines' FROM z JOIN g ON z.file = g.file WHERE symbol IS NOT NULL AND s >= 1 AND e >= s AND s <= size AND NOT contains(array_to_string(a[s : e], chr(10)), 'the')"""
+)
+def label_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a few lines of their documents: some name no document, some lie outside it, some lack their symbol."""
+    k = F.col("doc_id")
+    labels = table(spark, sf_dir, "labels").select(k.alias("id"), F.when(k % 17 == 0, -k).otherwise(k).alias("file"), (k % 3).cast("int").alias("start"), (k % 5 + 1).cast("int").alias("end"), F.when(k % 2 == 0, "X.the").alias("symbol"))
+    found = tables.label_problems(labels, chunks.lines(_files(spark, sf_dir)).select("file", "n", "line"))
+    return found.select("id", F.substring_index("problem", ":", 1).alias("problem"))
+
+
 @query(
     """
 WITH r AS (SELECT DISTINCT source AS repo_id, right(source, 1) IN ('1', '3', '5') AS waits FROM documents)
@@ -658,6 +672,16 @@ def job_claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.claim_order(_jobs(spark, sf_dir)).select("turn", "key")
 
 
+@query(
+    STATES_SQL
+    + """, t AS (SELECT key FROM s WHERE status = 'queued' ORDER BY first_ts, key LIMIT 5)
+SELECT s.key, CASE WHEN t.key IS NOT NULL THEN 'running' ELSE status END AS status, (attempts + CASE WHEN t.key IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS attempts, CASE WHEN t.key IS NULL THEN progress END AS progress FROM s LEFT JOIN t ON s.key = t.key"""
+)
+def job_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All jobs after five workers have claimed one each."""
+    return jobs.claim(_jobs(spark, sf_dir), 5).select("key", "status", F.col("attempts").cast("long").alias("attempts"), "progress")
+
+
 @query("SELECT user_id AS key, arg_max(substr(repeat(props, 100), 1, 500), (ts, event_id)) FILTER (event_type = 'error') AS message FROM events GROUP BY user_id")
 def job_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last failure of each job, its message cut."""

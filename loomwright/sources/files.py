@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.functions.text import IGNORED_DIRS, language_of, line_count, skip_reason
+from loomwright.functions.text import IGNORED_DIRS, clean_nul, language_of, line_count, skip_reason
 
 MAX_FILES, MAX_KB, HEAD = 5_000, 200, 8_192
 COLUMNS = "place long, path string, full string, size long, kind string"
@@ -68,7 +68,7 @@ def scan(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_kb: int
     capped = F.when(F.col("skip_reason").isNull() & (F.col("place") > within), "over_file_cap").otherwise(F.col("skip_reason"))
     rows = rows.withColumn("skip_reason", capped)
     kept = F.col("skip_reason").isNull()
-    return rows.select("path", language_of(F.col("path")).alias("language"), "size", F.when(kept, line_count(F.col("text"))).alias("lines"), F.when(kept, F.col("text")).alias("text"), "skip_reason")
+    return rows.select("path", language_of(F.col("path")).alias("language"), "size", F.when(kept, line_count(F.col("text"))).alias("lines"), F.when(kept, clean_nul(F.col("text"))).alias("text"), "skip_reason")
 
 
 def skipped(scanned: DataFrame) -> DataFrame:

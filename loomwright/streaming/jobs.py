@@ -50,6 +50,14 @@ def claim_order(jobs: DataFrame, status: str = "queued") -> DataFrame:
     return ranged.withColumn("inside", inside).join(F.broadcast(offsets), "range").select((F.col("before") + F.col("inside")).cast("int").alias("turn"), "key", "first_ts")
 
 
+def claim(jobs: DataFrame, workers: int) -> DataFrame:
+    """jobs after each of some workers claimed one: the first queued ones run, with one attempt more and no progress. Made by one writer."""
+    chosen = jobs.filter(F.col("status") == "queued").orderBy("first_ts", "key").limit(workers).select("key", F.lit(True).alias("taken"))
+    out = jobs.join(F.broadcast(chosen), "key", "left")  # no more rows than workers
+    new = {"status": F.when(F.col("taken"), "running").otherwise(F.col("status")), "attempts": F.col("attempts") + F.when(F.col("taken"), 1).otherwise(0), "progress": F.when(F.col("taken").isNull(), F.col("progress"))}
+    return out.withColumns(new).drop("taken")
+
+
 def claimed(jobs: DataFrame, repositories: DataFrame) -> DataFrame:
     """Running jobs (key, repo_id, attempts) with owner and name of their repositories (repo_id, owner, name)."""
     return jobs.filter(F.col("status") == "running").join(repositories, "repo_id").select("key", "repo_id", "owner", "name", "attempts")
