@@ -31,7 +31,7 @@ def brute_lines(rows):
         removed = []
         for k, line in enumerate(key[1].split("\n")):
             s = frozenset(re.findall(r"[^\x20\x09-\x0D]+", line))
-            if len(s) >= 5:
+            if s:
                 if any(5 * len(s & e) >= 4 * len(s | e) for e in seen):
                     removed.append(k)
                 seen.append(s)
