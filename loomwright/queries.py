@@ -438,13 +438,56 @@ def line_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.gaps(of, long_)
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE {LINES_SQL},
+marks AS (SELECT file, n, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})', 1) AS m, trim(line, e' \t\n\x0B\f\r') AS alone, row_number() OVER (PARTITION BY file ORDER BY n) AS i FROM l WHERE regexp_matches(line, '^ {{0,3}}(`{{3,}}|~{{3,}})')),
+st AS (SELECT file, i, n, m AS open FROM marks WHERE i = 1 UNION ALL
+       SELECT k.file, k.i, k.n, CASE WHEN open = '' THEN m WHEN left(m, 1) = left(open, 1) AND length(m) >= length(open) AND alone = m THEN '' ELSE open END FROM st JOIN marks k ON k.file = st.file AND k.i = st.i + 1),
+x AS (SELECT l.file, l.n, line, coalesce(open, '') AS open FROM l ASOF LEFT JOIN st ON l.file = st.file AND l.n > st.n),
+h AS (SELECT file, n, length(regexp_extract(line, '^ {{0,3}}(#{{1,6}})[ \t]', 1)) AS level, trim(regexp_replace(regexp_extract(line, '^ {{0,3}}(#{{1,6}})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$', 2), '\[([^\]]*)\]\([^)]*\)', '\1', 'g')) AS title
+      FROM x WHERE open = '' AND regexp_matches(line, '^ {{0,3}}(#{{1,6}})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$')),
+path AS (SELECT h.file, h.n, string_agg(a.title, ' > ' ORDER BY a.n) AS symbol FROM h JOIN h a ON a.file = h.file AND (a.n = h.n OR a.n < h.n AND a.level < h.level AND NOT EXISTS (SELECT 1 FROM h b WHERE b.file = h.file AND b.n > a.n AND b.n < h.n AND b.level <= a.level)) GROUP BY ALL),
+s AS (SELECT l.file, l.n, line, h.n AS head FROM l ASOF LEFT JOIN h ON l.file = h.file AND l.n >= h.n),
+body AS (SELECT file, head, min(n) AS first, max(n) AS last FROM s WHERE regexp_matches(line, '[^ \t-\r]') GROUP BY file, head HAVING head IS NULL OR count(*) > 1),
+w AS (SELECT file, head, first, last, unnest(range(0, greatest(ceil((last - first + 1 - 20) / 18.0), 0)::BIGINT + 1)) AS i FROM body),
+c AS (SELECT w.file, head, first + i * 18 AS s, least(last, first + i * 18 + 19) AS e, array_to_string(a[s : e], chr(10)) AS content FROM w JOIN g ON w.file = g.file),
+k AS (SELECT *, row_number() OVER (PARTITION BY file, head ORDER BY s) AS part, count(*) OVER (PARTITION BY file, head) AS parts FROM c WHERE regexp_matches(content, '[^ \t-\r]'))
+SELECT k.file::VARCHAR AS file, symbol, 'doc' AS kind, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end",
+       sha256('File: ' || k.file || chr(10) || 'Language: markdown' || chr(10) || 'Symbol: ' || coalesce(symbol, '(none)') || chr(10) || 'Kind: doc' || CASE WHEN parts > 1 THEN chr(10) || 'Part: ' || part || '/' || parts ELSE '' END || chr(10) || '---' || chr(10) || content) AS text_hash
+FROM k LEFT JOIN path ON path.file = k.file AND path.n = head"""
+)
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a Markdown file, in chunks of at most 20 lines."""
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit("markdown").alias("language"), "text")
     return chunks.chunk(files, 20, 2).select("file", "symbol", "kind", "start", "end", "text_hash")
 
 
+#: A document within code of three languages: its lines stand in strings, comments and templates, beside lines that only look like declarations.
+CODE_FILES = {
+    "python": 'note = """\n@T\ndef fake():\n"""\n\n# about @I\n@deco(\n    @I,\n)\ndef f@I(\n    a,\n):\n    return """\n@T\n"""\nclass C@I:\n    x = (\n0)\n    def m(self): return [\n]\n',
+    "go": "package a\n\n/* about\n@T\n*/\nfunc (s *S@I) Run(\n\ta int,\n) string {\n\treturn `\n@T\n}\n`\n}\ntype (\n\tA@I struct {\n\t\tx int\n\t}\n\t// says\n\tB@I interface{ M() }\n)\ntype D@I = string\n",
+    "typescript": "const note = `\n@T\nfunction fake() {\n`;\nexport default function (\n  a: string,\n): string\n{\n  return `${[`}`, a].join()}\n@T\n`;\n}\n@Part({\n  n: @I,\n})\nexport class W@I {\n  // goes\n  go(): void {\n  }\n}\n",
+}
+
+
+@query(
+    """WITH d AS (SELECT doc_id AS i, doc_id % 3 AS m, 1 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS k FROM documents),
+s AS (SELECT i, unnest(CASE m
+  WHEN 0 THEN [{s: 'f' || i, kind: 'function', a: k + 5, b: 2 * k + 13}, {s: 'C' || i, kind: 'class', a: 2 * k + 14, b: 2 * k + 16}, {s: 'C' || i || '.m', kind: 'method', a: 2 * k + 17, b: 2 * k + 18}]
+  WHEN 1 THEN [{s: 'S' || i || '.Run', kind: 'method', a: 3, b: 2 * k + 11}, {s: 'A' || i, kind: 'struct', a: 2 * k + 13, b: 2 * k + 15}, {s: 'B' || i, kind: 'interface', a: 2 * k + 16, b: 2 * k + 17}, {s: 'D' || i, kind: 'type', a: 2 * k + 19, b: 2 * k + 19}]
+  ELSE [{s: 'default', kind: 'function', a: k + 4, b: 2 * k + 10}, {s: 'W' || i, kind: 'class', a: 2 * k + 11, b: 2 * k + 14}, {s: 'W' || i || '.go', kind: 'method', a: 2 * k + 15, b: 2 * k + 17}] END) AS p FROM d)
+SELECT i AS file, p.s AS symbol, p.kind AS kind, CAST(p.a AS INTEGER) AS start, CAST(p.b AS INTEGER) AS "end" FROM s"""
+)
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of every document within code; classes of over four lines as their members."""
+    k = F.col("doc_id")
+    text_ = F.translate(F.coalesce("text", F.lit("")), "`\"'\\$*@", "")
+    code = [F.replace(F.replace(F.lit(c), F.lit("@I"), k.cast("string")), F.lit("@T"), text_) for c in CODE_FILES.values()]
+    language = F.element_at(F.array(*map(F.lit, CODE_FILES)), (k % 3 + 1).cast("int"))
+    files = table(spark, sf_dir, "documents").select(k.alias("file"), language.alias("language"), F.when(k % 3 == 0, code[0]).when(k % 3 == 1, code[1]).otherwise(code[2]).alias("text"))
+    return chunks.symbols(chunks.states(files), 4).select("file", F.inline("pieces"))
+
+
 @query(f"WITH {LINES_SQL} SELECT doc_id, len(a)::BIGINT AS n_lines, (CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END)::BIGINT AS counted FROM documents JOIN g ON doc_id = file")
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("t", F.coalesce("text", F.lit("")))

@@ -309,6 +309,41 @@ def test_chunks_of_code(spark):
     assert made(spark, "a.ts", "typescript", TS) == [("Widget", "class", 3, 6), ("twice", "function", 8, 8), ("Shape", "interface", 10, 12), ("plain", "function", 13, 13), ("exports.helper", "function", 14, 14)]
 
 
+#: Source by language whose brackets, margins and names mislead, with its symbols.
+MISLEADING = [
+    ("python", "def real(\n    a,\n):\n    return 1\n", [("real", "function", 1, 4)]),
+    ("python", 'x = """\ndef fake():\n"""\n', [(None, "window", 1, 3)]),
+    ("python", "@deco(\n    1,\n)\ndef f(x):\n    pass\n", [("f", "function", 1, 5)]),
+    ("python", "def a():\n    s = 'it\\'s # (['  # ({[\n    return (1,\n2)\n# at the margin\n    # within\n\n@b\n# said of c\nclass C: pass\n", [("a", "function", 1, 6), ("C", "class", 8, 10)]),
+    ("python", "def ok():\n    return 1\n\ndef broken(:\n    ((((\n\ndef last():\n    pass\n", [("ok", "function", 1, 2), ("broken", "function", 4, 5), ("last", "function", 7, 8)]),
+    ("python", "x = 1 + \\\n2\ndef f(): return '''\ndef g(): pass\n'''\nif x:\n    def no(): pass\n", [("f", "function", 3, 5)]),
+    ("go", "package a\n\n// B says\nfunc B() string {\n\treturn `a\n}\n`\n}\n", [("B", "function", 3, 8)]),
+    ("go", "type (\n\tX struct {\n\t\ta int\n\t}\n\t// says\n\tY interface{}\n)\n", [("X", "struct", 2, 4), ("Y", "interface", 5, 6)]),
+    ("go", "// One is alone.\ntype (\n\tOnly struct{}\n)\ntype A int\ntype B struct{}\ntype C = B\n", [("Only", "struct", 1, 4), ("A", "type", 5, 5), ("B", "struct", 6, 6), ("C", "type", 7, 7)]),
+    ("go", "/*\nLong\n\nwords {\n*/\nfunc (s *Set[T]) Put(\n\tx T,\n) {\n\tr := '{'\n}\nfunc (Set[T]) Len() int { return 0 }\n", [("Set.Put", "method", 1, 10), ("Set.Len", "method", 11, 11)]),
+    ("typescript", "export default function () {\n  return 1;\n}\nexport default class {\n  a() {}\n}\nexport default async () => {\n};\n", [("default", "function", 1, 3), ("default", "class", 4, 6), ("default", "function", 7, 8)]),
+    ("typescript", "const t = `\nfunction no() {\n  ${f({a: `}`})}\n`;\nfunction yes(\n  a: string,\n): { x: number }\n{\n  const r = /[\"'`{]/.test(a);\n  return { x: 1 };\n}\n", [(None, "window", 1, 4), ("yes", "function", 5, 11)]),
+    ("typescript", "export const go = async (\n  a,\n  b = {},\n) => {\n  return a;\n};\nexport type U =\n  | 'a'\n  | 'b';\nconst el = <p>don't {x}</p>\nlet f: (a: number) => void = (a) => {}\nconst g = call(() => 1);\n", [("go", "function", 1, 6), ("U", "type", 7, 9), ("f", "function", 11, 11)]),
+    ("javascript", "/* says */ x = 1 /* a\n}\n*/\nfunction* gen() {\n}\nclass A extends B\n{\n}\na.b.c = function () {};\n", [(None, "window", 1, 3), ("gen", "function", 4, 5), ("A", "class", 6, 8), ("a.b.c", "function", 9, 9)]),
+    ("ruby", "def f\nend\n", [(None, "window", 1, 2)]),
+]
+
+
+def test_symbols_by_lexical_state(spark):
+    files = spark.createDataFrame([(str(k), language, text) for k, (language, text, _) in enumerate(MISLEADING)], "file string, language string, text string")
+    got = {}
+    for r in chunks.chunk(files).collect():
+        got.setdefault(int(r.file), []).append((r.symbol, r.kind, r.start, r.end))
+    for k, (_, text, want) in enumerate(MISLEADING):
+        assert sorted(got[k], key=lambda r: r[2]) == want, text
+
+
+def test_files_of_any_kind_are_chunked(spark):
+    files = spark.createDataFrame([(1, None, "a\nb"), (2, "python", None), (3, "go", ""), (4, "python", "def f():\n    pass"), (5, "markdown", "~~~\n# no\n~~~~\n# A\nx\n````\n```\n# no\n````\n## B\ny")], "file long, language string, text string")
+    got = sorted((r.file, r.symbol or "", r.kind, r.start, r.end) for r in chunks.chunk(files).collect())
+    assert got == [(1, "", "window", 1, 2), (4, "f", "function", 1, 2), (5, "", "doc", 1, 3), (5, "A", "doc", 4, 9), (5, "A > B", "doc", 10, 11)]
+
+
 def test_long_classes_are_cut_into_their_members(spark):
     source = "class Ship(Base):\n    \"\"\"Doc.\"\"\"\n    size = 1\n\n    @wrap\n    def sail(self):\n        def inner():\n            return 1\n        return inner()\n\n    async def stop(\n        self,\n    ):\n        return 2\n    speed = 3\n\n    # says\n    # more\n    def name(self):\n        return 4\n\n\ndef after():\n    pass\n"
     assert made(spark, "a.py", "python", source, max_lines=6, overlap=1, min_gap=9) == [("Ship", "class", 1, 3), ("Ship.sail", "method", 5, 9), ("Ship.stop", "method", 11, 14), ("Ship.name", "method", 17, 20), ("after", "function", 23, 24)]
