@@ -69,22 +69,25 @@ def marker_problems(answers: DataFrame) -> DataFrame:
 def request_batches(texts: DataFrame, key: str, order: str, tokens: str, batch: int = 64, budget: int = 8_000) -> DataFrame:
     """texts with batch, from 0 within each key: in order, a text goes into the next batch when its own is full or would exceed the budget of tokens.
 
-    Where a batch ends depends on all before it, so that a task passes over its keys' rows in order and carries the open batch alone."""
+    Texts without a key are in batches of their own. Where a batch ends depends on all before it, so that a task passes over its keys' rows in order and carries the open batch alone."""
 
     def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, n, used, count = None, 0, 0, 0
         for part in parts:
             out = []
-            for k, cost in zip(part[key], part[tokens], strict=True):
+            for k, cost in zip(part[hashed], part[tokens], strict=True):
                 if k != at:
                     at, n, used, count = k, 0, 0, 0
                 elif count >= batch or used + cost > budget:
                     n, used, count = n + 1, 0, 0
                 used, count = used + cost, count + 1
                 out.append(n)
-            yield part.assign(batch=out)
+            yield part[[c for c in part.columns if c != hashed]].assign(batch=out)
 
-    dealt = texts.filter(F.col(key).isNotNull()).repartition(F.col(key)).sortWithinPartitions(key, order)
+    # Batches are told apart by the key's text: nulls are equal to each other there.
+    hashed = "_key" + "_" * sum(c.lower().startswith("_key") for c in texts.columns)
+    text = F.concat_ws(":", F.col(key).isNull().cast("string"), F.col(key).cast("string"))
+    dealt = texts.withColumn(hashed, text).repartition(F.col(hashed)).sortWithinPartitions(hashed, order)
     return dealt.mapInPandas(number, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in texts.schema)}, batch long")
 
 

@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: what reads it twice reads the same rows, whatever executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cached(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(found, missing): wanted with what the cache has, and the distinct keys that it lacks."""
     return wanted.join(cache, keys), wanted.select(*keys).distinct().join(cache, keys, "left_anti")

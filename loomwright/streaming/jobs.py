@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomwright.sources.tables import written
+
 STALE_SECONDS, MAX_ATTEMPTS, MESSAGE_CHARS = 600, 3, 500
 
 
@@ -41,9 +43,10 @@ def job_states(events: DataFrame, key: str, ts: str, order: str, kind: str, valu
 def claim_order(jobs: DataFrame, status: str = "queued") -> DataFrame:
     """Queued jobs by the order in which workers claim them: the oldest first, then the lower id.
 
-    Jobs are numbered within ranges of (first_ts, key); a range begins where the ones before it end, by a running sum over the ranges alone."""
+    Jobs are numbered within ranges of (first_ts, key); a range begins where the ones before it end, by a running sum over the ranges alone. The ranges
+    are written once: numbers and sums come from the same ones, whatever is planned or computed again."""
     queued = jobs.filter(F.col("status") == status).select("key", "first_ts")
-    ranged = queued.repartitionByRange("first_ts", "key").withColumn("range", F.spark_partition_id())
+    ranged = written(queued.repartitionByRange("first_ts", "key").withColumn("range", F.spark_partition_id()), "claims")
     inside = F.row_number().over(Window.partitionBy("range").orderBy("first_ts", "key"))
     before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
@@ -88,21 +91,23 @@ def in_trailing(events: DataFrame, key: str, ts: str, seconds: int = 60) -> Data
 
 
 def token_bucket(events: DataFrame, key: str, ts: str, order: str, per_minute: int) -> DataFrame:
-    """(key, order, allowed): a bucket of per_minute tokens for each key, refilled steadily, one token a request.
+    """(key, order, allowed): a bucket of per_minute tokens for each key, refilled steadily, one token a request. Requests without a key share a bucket.
 
     A task passes over its keys' requests in order and carries the open bucket alone."""
-    wanted = events.select(F.col(key).alias("key"), _micros(ts).alias("at"), F.col(order).alias("id"))
+    # A null would turn the keys of a batch into floats.
+    wanted = events.select(F.coalesce(F.col(key), F.lit(0)).alias("key"), F.col(key).isNull().alias("none"), _micros(ts).alias("at"), F.col(order).alias("id"))
 
     def spend(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, {}
         for part in parts:
-            for who, requests in part.groupby("key", sort=False, dropna=False):
+            for who, requests in part.groupby(["key", "none"], sort=False):
                 if who != now:
                     now, state = who, {}
-                yield pd.DataFrame({"key": requests["key"], "id": requests["id"], "allowed": _spend(requests, per_minute, state)})
+                yield pd.DataFrame({"key": requests["key"], "none": requests["none"], "id": requests["id"], "allowed": _spend(requests, per_minute, state)})
 
-    dealt = wanted.filter(F.col("key").isNotNull()).repartition(F.col("key")).sortWithinPartitions("key", "at", "id")
-    return dealt.mapInPandas(spend, "key long, id long, allowed boolean")
+    dealt = wanted.repartition("key", "none").sortWithinPartitions("key", "none", "at", "id")
+    out = dealt.mapInPandas(spend, "key long, none boolean, id long, allowed boolean")
+    return out.select(F.when(~F.col("none"), F.col("key")).alias("key"), "id", "allowed")
 
 
 def _spend(requests: pd.DataFrame, per_minute: int, state: dict) -> list[bool]:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.answers import question_terms
@@ -534,3 +535,33 @@ def test_plans(spark):
     assert "WindowGroupLimit" in top and "CartesianProduct" not in top
     paths = plan(tables.table(spark, "/root/testdata/sf0.001", "pages").filter(F.col("url").startswith("http")).select("page_id"))
     assert "StringStartsWith(url,http)" in paths
+
+
+def test_questions_of_several_dimensions(spark):
+    """A vector of another size silences its own question alone."""
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0, 0.0]), (4, None), (5, [])], "id long, embedding array<double>")
+    asked_ = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0, 2.0, 3.0]), (3, [1.0, 1.0, 0.0, 0.0]), (4, []), (5, None)], "qid long, embedding array<double>")
+    got = [(r.qid, r.rank, r.id) for r in vector_search.nearest(asked_, rows.repartition(2), 5).orderBy("qid", "rank").collect()]
+    assert got == [(1, 1, 1), (1, 2, 2), (3, 1, 3)]
+
+
+def test_every_job_has_a_turn_of_its_own(spark):
+    """Also when neither plan nor rows are shared between the numbering and the sums before it."""
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        states = spark.range(400_000).select(F.col("id").alias("key"), F.lit("queued").alias("status"), F.timestamp_seconds(F.xxhash64("id") % 1000).alias("first_ts"))
+        found = jobs.claim_order(states)
+        assert tuple(found.agg(F.count("*"), F.countDistinct("turn"), F.min("turn"), F.max("turn")).first()) == (400_000, 400_000, 1, 400_000)
+        sorted_ = Window.orderBy("turn")
+        after = found.filter("turn > 199000 AND turn < 201000").withColumn("last", F.lag(F.struct("first_ts", "key")).over(sorted_))
+        assert after.filter(F.col("last") >= F.struct("first_ts", "key")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_rows_without_a_key_are_kept(spark):
+    df = spark.createDataFrame([(None, k, k) for k in range(3)] + [(1, 10 + k, k) for k in range(3)], "who long, id long, at long").withColumn("ts", F.timestamp_seconds("at"))
+    got = {r.id: (r.key, r.allowed) for r in jobs.token_bucket(df, "who", "ts", "id", 2).collect()}
+    assert got == {0: (None, True), 1: (None, True), 2: (None, False), 10: (1, True), 11: (1, True), 12: (1, False)}
+    got = sorted((r.id, r.who, r.batch) for r in prompts.request_batches(df.withColumn("cost", F.lit(3)).withColumn("_key", F.lit(1)), "who", "id", "cost", 2, 100).collect())
+    assert got == [(0, None, 0), (1, None, 0), (2, None, 1), (10, 1, 0), (11, 1, 0), (12, 1, 1)]
