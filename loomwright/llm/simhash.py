@@ -5,9 +5,16 @@ its 64 one-bit variants; those that meet on a variant are linked. A variant can
 group is large however often a text is copied. Within a group neighbours in order are linked, which connects the same
 fingerprints as all pairs would, since any two that meet on a variant are within the radius.
 
+``keep_first`` takes texts as near-duplicates whose sets of five-word shingles have a Jaccard similarity of LIKE = 0.8 or more. Such texts
+differ in too many of 64 bits for one ball. Its fingerprints are of the sets of words, of 128 bits in four parts; a pair within 11 bits
+has a part within RADIUS of each other, so each part emits its own ball of half that radius. What meets is verified: by the bits of all parts,
+then exactly by the shingles. In a group each member is held against the first one and the three before it, so that a group of
+any size makes few pairs; with near copies in one group of their first text and of each other, that finds 0.9 of them or more (README).
+
 Defined results
 - Null and empty texts have fingerprint zero and link like any other. Equal texts have equal fingerprints, so copies
   collapse before any comparison. A null id never names a component unless all its ids are null (then it is null).
+- For keep_first, texts of the same words in lower case are equal, those without a word too; a text of fewer than five words has one shingle, the whole.
 - Very long texts are read whole. Columns pass through with_fingerprints and keep_first; the former refuses a clash with the one it adds.
 - Repeated rows are rows of the same component; the deduplication keeps exactly one row of each component: the least id,
   nulls last, then the row that comes first in the table read. An empty table gives an empty result.
@@ -15,7 +22,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +37,9 @@ from loomwright.llm.common import checkpointed, pieces, refuse, saved, spread_jo
 SHINGLE, SEED = 3, 42
 #: Bits in which linked fingerprints may differ.
 RADIUS = 2
+#: Near-duplicates for keep_first: words in a shingle, least similarity, bits of all parts in which a pair may differ, members of a group before each one that it is held against.
+LIKE_SHINGLE, LIKE, LIKE_BITS, LIKE_BEFORE = 5, 0.8, 26, 3
+PARTS, PART_BITS = 4, 32
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -122,13 +132,76 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     return spread_join(rows, size["rows"], named, "f", "n").select(F.col("_id").alias(doc_id), F.col("f").alias("fingerprint"), "component")
 
 
+def word_print(words: list[bytes]) -> tuple[bytes, list[int]]:
+    """(name, parts): a 128-bit name of the words in order, and the fingerprint of their set in PARTS signed numbers of PART_BITS bits."""
+    name = xxhash.xxh128_digest(b" ".join(words), SEED)
+    if not words:
+        return name, [0] * PARTS
+    distinct = set(words)
+    digest = xxhash.xxh128_digest
+    hashes = np.frombuffer(b"".join([digest(w, SEED) for w in distinct]), np.uint8).reshape(len(distinct), PARTS * PART_BITS // 8)
+    counts = np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
+    return name, np.packbits(2 * counts > len(distinct)).view(np.int32).tolist()
+
+
+def shingles(words: list[bytes], size: int = LIKE_SHINGLE) -> np.ndarray:
+    """The hashes of the set of shingles, in order."""
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(words[k : k + size]), SEED) for k in range(max(1, len(words) - size + 1))}
+    return np.sort(np.fromiter(found, np.uint64, len(found))).view(np.int64)
+
+
+def _each(df: DataFrame, text: str, kinds: list[tuple[str, T.DataType]], value: Callable[[list[bytes]], tuple]) -> DataFrame:
+    """df without text and with columns that value(words of the text in lower case) gives."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    fields = [f for f in df.schema.fields if f.name != text]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text):
+            data, bounds = utf8(batch.column(text))
+            raw = data.tobytes()
+            found = [value(raw[a:b].lower().split()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            new = [pa.array([x[k] for x in found], to_arrow_type(kind)) for k, (_, kind) in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *new], names=[*(f.name for f in fields), *(name for name, _ in kinds)])
+
+    return df.mapInArrow(scan, T.StructType([*fields, *(T.StructField(*x) for x in kinds)]))
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """(a, b), a < b, of prints (k, parts): pairs that meet in the ball of a part and differ in LIKE_BITS at most."""
+    own = lambda p: F.col("parts")[p].cast("long").bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    flips = [own(p).bitwiseXOR(F.lit(flip)) + F.lit(p << PART_BITS) for p in range(PARTS) for flip in (0, *(1 << b for b in range(PART_BITS)))]
+    balls = prints.select("k", F.explode(F.array(*flips)).alias("v"))
+    group = Window.partitionBy("v").orderBy("k")
+    others = [F.first("k").over(group.rowsBetween(Window.unboundedPreceding, 0)), *(F.lag("k", n).over(group) for n in range(1, LIKE_BEFORE + 1))]
+    met = balls.withColumn("others", F.array(*others)).filter(F.col("others")[0] < F.col("k"))
+    met = met.select(F.explode(F.array_distinct(F.array_compact("others"))).alias("a"), F.col("k").alias("b")).distinct()
+    sides = met.join(prints.select(F.col("k").alias("a"), F.col("parts").alias("x")), "a").join(prints.select(F.col("k").alias("b"), F.col("parts").alias("y")), "b")
+    # The bits of a negative number are counted as those of a long one.
+    bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit((1 << PART_BITS) - 1)))), F.lit(0), lambda s, n: s + n)
+    return sides.filter(bits <= LIKE_BITS).select("a", "b")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts (k, text) are alike by their shingles. Only texts of pairs are read into shingles."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    sets = saved(_each(texts.join(wanted, "k", "left_semi").select("k", "text"), "text", [("s", T.ArrayType(T.LongType()))], lambda words: (shingles(words),)), "simhash-shingles")
+    met = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return met.filter(both >= LIKE * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
 def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """df without near-duplicates: one row of each component stays."""
-    key, f = unused("_key", df.columns), unused("_f", [*df.columns, "_key"])
-    table = saved(with_fingerprints(df, text, f).withColumn(key, F.monotonically_increasing_id()), "simhash")
-    prints = table.select(F.col(f).alias("f"), F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(key).alias("k")).alias("row")).groupBy("f").agg(F.min("row").alias("first"))
-    prints = checkpointed(prints)
-    roots = components(links(prints.select("f")))
-    first = prints.join(roots, prints["f"] == roots["node"], "left").groupBy(F.coalesce("root", "f")).agg(F.min("first").alias("first"))
-    kept = first.select(F.col("first.k").alias(key))
-    return table.join(kept, key, "left_semi").select(*df.columns)
+    key, held = unused("_key", df.columns), unused("_held", [*df.columns, "_key"])
+    table = saved(df.withColumn(key, F.monotonically_increasing_id()), "simhash")
+    plain = table.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.col(key).alias("k")).alias("row"))
+    rows = _each(plain, "text", [("name", T.BinaryType()), ("parts", T.ArrayType(T.IntegerType()))], word_print)
+    # Equal texts collapse; the first row stands for them.
+    prints = checkpointed(rows.groupBy("name").agg(F.min("row").alias("first"), F.min("k").alias("k"), F.first("parts").alias("parts")))
+    pairs = saved(candidates(prints.select("k", "parts")), "simhash-candidates")
+    roots = components(verified(pairs, plain.select("k", "text")))
+    first = prints.join(roots, prints["k"] == roots["node"], "left").groupBy(F.coalesce("root", "k")).agg(F.min("first").alias("first"))
+    kept = first.select(F.col("first.k").alias(held))
+    return table.join(kept, table[key] == kept[held], "left_semi").select(*df.columns)
