@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwright.functions.answers import bytes_cut, question_terms, ranking, rerank_key
 from loomwright.functions.text import is_test_path
@@ -81,19 +82,17 @@ def classified(failure: Column) -> Column:
 
 def pending(questions: DataFrame, store: str) -> DataFrame:
     """The questions that have no answer yet in the Parquet folder store; all of them before it exists."""
-    spark = questions.sparkSession
-    try:
-        answered = spark.read.schema(questions.select("qid").schema).parquet(store)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return questions
-    return questions.join(answered, "qid", "left_anti")
+    answered = _parquet(questions.sparkSession, store, questions.select("qid").schema)
+    return questions if answered is None else questions.join(answered, "qid", "left_anti")
 
 
-def resume(questions: DataFrame, store: str, answer_batch: Callable[[DataFrame], DataFrame]) -> None:
-    """Appends the answers of pending questions to store in one commit; after a failure, a later call goes on with what is missing."""
-    answer_batch(pending(questions, store)).write.mode("append").parquet(store)
+def resume(questions: DataFrame, store: str, answer_batch: Callable[[DataFrame], DataFrame], batch: int = 1_000) -> None:
+    """Appends the answers of pending questions to store, about batch of them to a commit. A failure stops at its batch: those before it are kept, and a
+    later call goes on with what is missing."""
+    parts = -(-pending(questions, store).count() // batch)
+    for part in range(parts):
+        some = questions.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)
+        answer_batch(pending(some, store)).write.mode("append").parquet(store)
 
 
 def rankings(listed: DataFrame, cache: DataFrame | None, reranker: str, model: TextModel) -> tuple[DataFrame, DataFrame]:
@@ -109,18 +108,31 @@ def rankings(listed: DataFrame, cache: DataFrame | None, reranker: str, model: T
     return keyed.select("qid", "cache_key").join(known, "cache_key").select("qid", "ranking"), new
 
 
+def kept_rankings(listed: DataFrame, path: str, reranker: str, model: TextModel) -> DataFrame:
+    """rankings() with the Parquet folder path as the cache: what the model says is there before it is used."""
+    spark = listed.sparkSession
+    held = _parquet(spark, path, "cache_key string, ranking array<int>")
+    rankings(listed, held, reranker, model)[1].write.mode("append").parquet(path)
+    told = spark.read.schema("cache_key string, ranking array<int>").parquet(path).dropDuplicates(["cache_key"])
+    return rankings(listed, told, reranker, lambda asked: ["" for _ in asked])[0]
+
+
+def _parquet(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame | None:
+    """The Parquet folder at path; null before it exists."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def embed_stream(texts: DataFrame, cache: str, model: VectorModel, checkpoint: str) -> None:
     """Embeds what a stream of texts has now, a batch at a time: each batch's new vectors are in the Parquet folder cache before the next begins,
     so that a failure loses one batch at most."""
 
     def one(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.schema("text_hash string, embedding array<float>").parquet(cache)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            known = None
+        known = _parquet(batch.sparkSession, cache, "text_hash string, embedding array<float>")
         wanted = batch.select(F.sha2("text", 256).alias("text_hash"), "text").dropDuplicates(["text_hash"])
         new = wanted if known is None else wanted.join(known, "text_hash", "left_anti")
         embed_texts(new, None, model).write.mode("append").parquet(cache)
@@ -178,17 +190,30 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None,
     return marked.withColumn("rank", F.row_number().over(by)).select("qid", "rank", "chunk_id")
 
 
-def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, model: TextModel, reranker: TextModel | None = None, settings: Settings = Settings()) -> DataFrame:
-    """(qid, answer, numbers, invalid, refused, grounded) for a batch of questions."""
+def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, model: TextModel, reranker: TextModel | None = None, settings: Settings = Settings(), indexed: keyword_search.Index | None = None, repositories: DataFrame | None = None, cache: str | None = None) -> DataFrame:
+    """(qid, answer, numbers, invalid, refused, grounded, problem) for a batch of questions.
+
+    indexed: an index of chunks that was written before. repositories (repo_id, status): questions to one that is missing or not ready get no answer but
+    the problem, and no model sees them. cache: a Parquet folder of rankings, which a reranker is asked for once."""
     questions = check_questions(questions)
-    ranked = retrieve(questions, chunks, vectors, settings)
+    refused = None
+    if repositories is not None:
+        judged = readiness(questions, repositories)
+        refused = judged.filter(F.col("problem").isNotNull()).select("qid", "problem")
+        questions = judged.filter(F.col("problem").isNull()).drop("problem")
+    ranked = retrieve(questions, chunks, vectors, settings, indexed)
     held = chunks.select("chunk_id", F.col("file_path").alias("file"), "start", "end", "symbol", "kind", "language", "content")
     if settings.mode == "hybrid_rerank" and reranker is not None:
-        listed = ranked.filter(F.col("rank") <= settings.depth).join(held, "chunk_id").withColumn("content", bytes_cut(F.col("content"), F.lit(RERANK_BYTES))).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "content"))).alias("all"))
-        asked = listed.select("qid", F.array_join(F.transform("all", lambda x: F.concat(F.format_string("[%d] ", x["rank"]), x["content"])), "\n").alias("prompt"), F.size("all").alias("n"))
-        replies = ask_model(asked, reranker).select("qid", ranking("reply", "n").alias("ranking")).filter("ranking IS NOT NULL")
+        listed = ranked.filter(F.col("rank") <= settings.depth).join(held, "chunk_id").withColumn("content", bytes_cut(F.col("content"), F.lit(RERANK_BYTES))).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "content", "chunk_id"))).alias("all"))
+        prompt = F.array_join(F.transform("all", lambda x: F.concat(F.format_string("[%d] ", x["rank"]), x["content"])), "\n").alias("prompt")
+        if cache is None:
+            replies = ask_model(listed.select("qid", prompt, F.size("all").alias("n")), reranker).select("qid", ranking("reply", "n").alias("ranking")).filter("ranking IS NOT NULL")
+        else:
+            told = listed.join(questions.select("qid", "question"), "qid").select("qid", "question", F.transform("all", lambda x: x["chunk_id"]).alias("ids"), F.transform("all", lambda x: x["content"]).alias("texts"), prompt)
+            replies = kept_rankings(told, cache, getattr(reranker, "name", "reranker"), reranker)
         ranked = fusion.rerank(ranked, replies, settings.depth, settings.top)
     ranked = ranked.filter(F.col("rank") <= settings.top)
     built = prompts.prompts(questions.select("qid", "question"), ranked.join(held, "chunk_id"), settings.budget)
     replied = ask_model(built, model).select("qid", F.col("reply").alias("answer"), "n_blocks")
-    return prompts.cite(replied).select("qid", F.col("text").alias("answer"), "numbers", "invalid", "refused", "grounded")
+    out = prompts.cite(replied).select("qid", F.col("text").alias("answer"), "numbers", "invalid", "refused", "grounded", F.lit(None).cast("string").alias("problem"))
+    return out if refused is None else out.unionByName(refused, allowMissingColumns=True)

@@ -170,6 +170,28 @@ def keyword_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_search.cover_density(keyword_index(spark, sf_dir), questions(spark, sf_dir))
 
 
+#: A question of two words in quotes, two with an underscore and two as camelCase, from the words of each item.
+PHRASED = """concat('"', w[0], ' ', w[1], '" ', w[2], '_', w[3], ' ', w[4], upper(substr(w[5], 1, 1)), substr(w[5], 2))"""
+
+
+@query(
+    f"""WITH {INDEX_SQL}, b AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS repo_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z]+')) >= 6),
+lx AS (SELECT DISTINCT qid, repo_id, unnest([w[1], w[2], w[3], w[4], w[5], w[6], w[5] || w[6]]) AS lexeme FROM b),
+wd AS (SELECT repo_id, chunk_id, ' ' || array_to_string(list_concat(a, rest), ' ') || ' ' AS s FROM ix),
+tf2 AS (SELECT repo_id, chunk_id, lexeme, sum(w) AS tf FROM tok SEMI JOIN lx USING (repo_id, lexeme) GROUP BY ALL),
+df2 AS (SELECT repo_id, lexeme, count(*) AS df FROM tf2 GROUP BY ALL),
+sc2 AS (SELECT qid, repo_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf2 JOIN df2 USING (repo_id, lexeme) JOIN st USING (repo_id) JOIN dl USING (repo_id, chunk_id) JOIN lx USING (repo_id, lexeme) GROUP BY ALL),
+bo AS (SELECT qid, chunk_id, round(score * CASE WHEN contains(s, ' ' || w[1] || ' ' || w[2] || ' ') OR contains(s, ' ' || w[3] || ' ' || w[4] || ' ') OR contains(s, ' ' || w[5] || ' ' || w[6] || ' ') OR contains(s, ' ' || w[5] || w[6] || ' ') THEN 1.5 ELSE 1 END, 6) AS score
+       FROM sc2 JOIN wd USING (repo_id, chunk_id) JOIN b USING (qid, repo_id))
+SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM bo) WHERE rank <= 20"""
+)
+def keyword_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with quoted, snake_case and camelCase parts: a chunk with the words of one next to each other is boosted."""
+    words = F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)").alias("w")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("repo_id"), words).filter(F.size("w") >= 6)
+    return keyword_search.search(keyword_index(spark, sf_dir), asked.select("qid", "repo_id", answers.question_terms(F.expr(PHRASED)).alias("terms")))
+
+
 @query(
     r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS w FROM documents),

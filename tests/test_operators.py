@@ -565,3 +565,72 @@ def test_rows_without_a_key_are_kept(spark):
     assert got == {0: (None, True), 1: (None, True), 2: (None, False), 10: (1, True), 11: (1, True), 12: (1, False)}
     got = sorted((r.id, r.who, r.batch) for r in prompts.request_batches(df.withColumn("cost", F.lit(3)).withColumn("_key", F.lit(1)), "who", "id", "cost", 2, 100).collect())
     assert got == [(0, None, 0), (1, None, 0), (2, None, 1), (10, 1, 0), (11, 1, 0), (12, 1, 1)]
+
+
+def test_a_repository_is_replaced_in_a_written_index(spark, tmp_path):
+    """A search equals one over a fresh index, and the folders of other buckets keep their files."""
+    import glob
+    import os
+
+    path = f"{tmp_path}/index"
+    held = corpus(spark)
+    many = [held.withColumns({"repo_id": F.lit(f"r{k}"), "chunk_id": F.col("chunk_id") + 100 * k}) for k in range(6)]
+    whole = many[0]
+    for more in many[1:]:
+        whole = whole.unionByName(more)
+    keyword_search.index(whole, path)
+    files_ = lambda: {f: os.path.getmtime(f) for f in glob.glob(f"{path}/**/*.parquet", recursive=True)}
+    before = files_()
+    new = many[2].filter("chunk_id % 2 = 0").withColumn("content", F.concat("content", F.lit(" rows loadRows of load rows")))
+    found = keyword_search.replace(spark, path, ["r2"], new)
+    fresh = keyword_search.index(whole.filter("repo_id <> 'r2'").unionByName(new))
+    questions = spark.createDataFrame([(10 * k + j, f"r{k}", t) for k in range(6) for j, t in enumerate(("loadRows please", "write 'rows write' of"))], "qid long, repo_id string, question string").select("qid", "repo_id", question_terms("question").alias("terms"))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for ix in (found, keyword_search.open_index(spark, path)):
+        assert rows(keyword_search.search(ix, questions)) == rows(keyword_search.search(fresh, questions))
+        assert rows(keyword_search.cover_density(ix, questions)) == rows(keyword_search.cover_density(fresh, questions))
+    bucket = spark.createDataFrame([("r2",)], "repo_id string").select(keyword_search._bucket()).first()[0]
+    changed = {f for f in set(before) | set(files_()) if before.get(f) != files_().get(f)}
+    assert changed and all(f"bucket={bucket}/" in f or f"bucket={bucket}\\" in f for f in changed)
+    gone = keyword_search.replace(spark, path, ["r2"], new.limit(0))
+    assert rows(gone.stats.select("repo_id", "n")) == [(f"r{k}", 5) for k in range(6) if k != 2] and gone.postings.filter("repo_id = 'r2'").count() == 0
+
+
+def test_many_questions_are_not_held_by_the_driver(spark, monkeypatch):
+    indexed, questions = keyword_search.index(corpus(spark)), asked(spark, "loadRows please", "the save_rows", "write 'rows write'")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    want = rows(keyword_search.search(indexed, questions)), rows(keyword_search.cover_density(indexed, questions))
+    monkeypatch.setattr(keyword_search, "BROADCAST_ROWS", 2)
+    assert (rows(keyword_search.search(indexed, questions)), rows(keyword_search.cover_density(indexed, questions))) == want
+
+
+def test_answers_check_repositories_and_keep_rankings(spark, tmp_path):
+    held = corpus(spark).withColumns({"start": F.lit(1), "end": F.lit(9), "kind": F.lit("function")})
+    vectors = spark.createDataFrame([(k, [float(k == j) for j in range(1, 6)]) for k in range(1, 6)], "id long, embedding array<float>")
+    questions = spark.createDataFrame([(k, r, "where is loadRows", [1.0, 0.0, 0.0, 0.0, 0.2]) for k, r in ((1, "r"), (2, "s"), (3, "t"))], "qid long, repo_id string, question string, embedding array<float>")
+    known = spark.createDataFrame([("r", "ready"), ("s", "indexing")], "repo_id string, status string")
+    indexed = keyword_search.index(held, f"{tmp_path}/index")
+    model = lambda prompts_: ["It loads [1]." for _ in prompts_]
+    ranker = lambda p: ['{"ranking": [2]}' for _ in p]
+    never = lambda p: [1 / 0 for _ in p]
+    for reranker in (ranker, never):  # the second time every ranking is known
+        got = {r.qid: r for r in ask.answer(questions, held, vectors, model, reranker, indexed=indexed, repositories=known, cache=f"{tmp_path}/rankings").collect()}
+        assert {k: r.problem for k, r in got.items()} == {1: None, 2: "not_ready", 3: "not_found"} and got[1].answer == "It loads [1]." and got[2].answer is None
+    assert spark.read.parquet(f"{tmp_path}/rankings").count() == 1
+
+
+def test_answers_before_a_failure_are_kept(spark, tmp_path):
+    store, questions, calls = f"{tmp_path}/answers", spark.range(50).withColumnRenamed("id", "qid"), []
+
+    def answer_batch(df):
+        calls.append(df.count())
+        if len(calls) == 4:
+            raise RuntimeError("the model failed")
+        return df.withColumn("answer", F.lit("a"))
+
+    with pytest.raises(RuntimeError):
+        ask.resume(questions, store, answer_batch, 5)
+    done = spark.read.parquet(store).count()
+    assert 0 < done < 50 and done == sum(calls[:3])
+    ask.resume(questions, store, answer_batch, 5)
+    assert sorted(r.qid for r in spark.read.parquet(store).collect()) == list(range(50)) and sum(calls) - calls[3] == 50
