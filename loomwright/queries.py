@@ -412,7 +412,8 @@ def fallback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, max(value) AS p100, round(median(value), 6) AS middle FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(metrics.percentile("value", 50).alias("p50"), metrics.percentile("value", 90).alias("p90"), F.max("value").alias("p100"), F.round(F.median("value"), 6).alias("middle"))
+    found = metrics.group_percentiles(e, "event_type", "value", {"p50": 50, "p90": 90, "p100": 100}, "middle")
+    return found.withColumn("middle", F.round("middle", 6))
 
 
 @query("SELECT lang, count(*) FILTER (quality = 0) AS q0, count(*) FILTER (quality = 1) AS q1 FROM labels JOIN documents USING (doc_id) GROUP BY lang")

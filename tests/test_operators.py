@@ -634,3 +634,15 @@ def test_answers_before_a_failure_are_kept(spark, tmp_path):
     assert 0 < done < 50 and done == sum(calls[:3])
     ask.resume(questions, store, answer_batch, 5)
     assert sorted(r.qid for r in spark.read.parquet(store).collect()) == list(range(50)) and sum(calls) - calls[3] == 50
+
+
+def test_percentiles_of_groups(spark):
+    rng = random.Random(9)
+    rows = [(g, rng.choice([rng.randrange(5), rng.random() * 100])) for g, n in (("a", 1), ("b", 2), ("c", 199), (None, 40), ("e", 1000)) for _ in range(n)]
+    df = spark.createDataFrame([(g, float(v)) for g, v in rows] + [("c", None), ("f", None)], "g string, v double").repartition(5)
+    got = {r.g: r for r in metrics.group_percentiles(df, "g", "v", {"p1": 1, "p50": 50, "p90": 90, "p100": 100}, "middle").collect()}
+    assert set(got) == {"a", "b", "c", None, "e"}
+    for g, r in got.items():
+        v = sorted(float(x) for k, x in rows if k == g)
+        assert [r.p1, r.p50, r.p90, r.p100] == [v[max(1, -(-p * len(v) // 100)) - 1] for p in (1, 50, 90, 100)]
+        assert r.middle == (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
