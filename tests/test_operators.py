@@ -646,3 +646,23 @@ def test_percentiles_of_groups(spark):
         v = sorted(float(x) for k, x in rows if k == g)
         assert [r.p1, r.p50, r.p90, r.p100] == [v[max(1, -(-p * len(v) // 100)) - 1] for p in (1, 50, 90, 100)]
         assert r.middle == (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+
+
+def test_a_tree_is_listed_in_the_order_of_a_walk(spark, tmp_path):
+    import os
+
+    for path in ("b/z.py", "b/a/x.py", "b/a-b/y.py", "a.py", "z.py", "c/deep/er/q.md", "vendor/no.py", "b/dist/no.js", "é/n.py", "b/a/dist/no.js"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    (tmp_path / "c" / "loop").symlink_to(tmp_path)
+    (tmp_path / "empty").mkdir()
+    want = []
+    for folder, names, found in os.walk(tmp_path, followlinks=False):
+        skip = [d for d in names if d in ("vendor", "dist") or os.path.islink(os.path.join(folder, d))]
+        want += sorted(d for d in skip if not os.path.islink(os.path.join(folder, d))) and [os.path.relpath(os.path.join(folder, d), tmp_path) for d in sorted(skip) if d in ("vendor", "dist")]
+        want += [os.path.relpath(os.path.join(folder, f), tmp_path) for f in sorted([*found, *(d for d in skip if d not in ("vendor", "dist"))])]
+        names[:] = sorted(d for d in names if d not in skip)
+    rows = files.listed(spark, str(tmp_path)).orderBy("place").collect()
+    assert [r.path for r in rows] == want and {r.kind for r in rows} == {"file", "symlink", "ignored_dir"}
+    first = {r.path for r in files.scan(spark, str(tmp_path), max_files=3).filter("skip_reason IS NULL").collect()}
+    assert first == {p for p in want if p.endswith((".py", ".md"))} & set([p for p in want if p.endswith((".py", ".md"))][:3])
