@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -92,8 +93,9 @@ class Words:
             out = (out + self.hash[j : j + n]) * _ODD
         return _mixed(out)
 
+    @cached_property
     def winnowed(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the K-grams that are least in some run of SPAN words."""
+        """Positions and hashes of the K-grams that are least in some run of SPAN words; found once."""
         grams, wide = self.grams(K), SPAN - K + 1
         n = len(grams) - wide + 1
         if n <= 0:
@@ -120,7 +122,7 @@ class BenchmarkIndex:
         self.ids = ids
         self.words = Words(*utf8(pa.array(texts, pa.large_string())))
         self.sizes = np.diff(self.words.bounds)
-        at, grams = self.words.winnowed()
+        at, grams = self.words.winnowed
         order = np.argsort(grams, kind="stable")
         self.hashes, self.at = grams[order], at[order]
         self.item = np.repeat(np.arange(len(ids)), self.sizes)
@@ -134,28 +136,40 @@ class BenchmarkIndex:
     def hits(self, docs: Words) -> list[tuple[int, int, int, int]]:
         """(document, first word, end, item) of each shared run of SPAN words or more, and of each whole shorter item."""
         found: list[tuple[int, int, int, int]] = []
-        at, grams = docs.winnowed()
+        at, grams = docs.winnowed
         low, high = np.searchsorted(self.hashes, grams), np.searchsorted(self.hashes, grams, "right")
         hit = np.flatnonzero(high > low)
         reached: dict[tuple[int, int], int] = {}  # (item, diagonal) -> end of the last run
+        covered: dict[int, tuple[int, int]] = {}  # item -> the last run of SPAN words or more
+        places: dict[int, list[tuple[int, list[int]]]] = {}  # a hash's items, each with its places
         for k in hit:
-            p = int(at[k])
+            p, at_hash = int(at[k]), int(low[k])
             doc = int(np.searchsorted(docs.bounds, p, "right")) - 1
             first, stop = int(docs.bounds[doc]), int(docs.bounds[doc + 1])
-            for q in self.at[low[k] : high[k]].tolist():
-                item = int(self.item[q])
-                if reached.get((item, p - q), -1) > p:
-                    continue
+            if at_hash not in places:
+                by_item: dict[int, list[int]] = {}
+                for q in np.sort(self.at[low[k] : high[k]]).tolist():
+                    by_item.setdefault(int(self.item[q]), []).append(q)
+                places[at_hash] = list(by_item.items())
+            for item, several in places[at_hash]:
                 begin, over = int(self.words.bounds[item]), int(self.words.bounds[item + 1])
-                i, j = p, q
-                while i > first and j > begin and docs.same(i - 1, self.words, j - 1):
-                    i, j = i - 1, j - 1
-                e, f = p, q
-                while e < stop and f < over and docs.same(e, self.words, f):
-                    e, f = e + 1, f + 1
-                reached[item, p - q] = max(e, p + 1)
-                if e - i >= SPAN:
-                    found.append((doc, i - first, e - first, item))
+                for q in several:
+                    # Where the item has been found in all runs of SPAN words that hold this gram, no other diagonal adds a word.
+                    s, t = covered.get(item, (stop, 0))
+                    if max(first, p - SPAN + K) >= s and min(stop, p + SPAN) <= t:
+                        break
+                    if reached.get((item, p - q), -1) > p:
+                        continue
+                    i, j = p, q
+                    while i > first and j > begin and docs.same(i - 1, self.words, j - 1):
+                        i, j = i - 1, j - 1
+                    e, f = p, q
+                    while e < stop and f < over and docs.same(e, self.words, f):
+                        e, f = e + 1, f + 1
+                    reached[item, p - q] = max(e, p + 1)
+                    if e - i >= SPAN:
+                        found.append((doc, i - first, e - first, item))
+                        covered[item] = (i, e) if not s <= i <= t else (s, max(e, t))
         for size, (hashes, items) in self.short.items():
             grams = docs.grams(size)
             low, high = np.searchsorted(hashes, grams), np.searchsorted(hashes, grams, "right")
@@ -223,7 +237,7 @@ def _prints(rows: DataFrame, key: str, sizes: list[int], items: bool) -> DataFra
                 size.append(np.full(len(at), k))
                 gram.append(grams)
 
-            add(words.winnowed()[0], 0, words.winnowed()[1])
+            add(words.winnowed[0], 0, words.winnowed[1])
             for k in sizes:
                 grams = words.grams(k)
                 at = words.bounds[:-1][n == k] if items else np.arange(len(grams))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomwright.llm import decontaminate, entry, line_dedup, simhash, suffix_dedup, suffix_order
+from loomwright.llm.common import utf8
 
 from . import fixtures
 
@@ -285,3 +287,30 @@ def test_items_without_an_id_hit_and_are_not_listed(spark, tmp_path):
     assert [r[5] for r in got] == [True, True, True, False]
     in_blocks = decontaminate.contamination(df, benchmark, block_bytes=100).select("doc_id", "n_hit").collect()
     assert sorted(tuple(r) for r in in_blocks) == [(r[0], r[2]) for r in got]
+
+
+def test_repeated_words_are_found_in_linear_time():
+    rng = random.Random(21)
+    words = lambda *texts: decontaminate.Words(*utf8(pa.array(texts, pa.large_string())))
+    for _ in range(150):
+        made = lambda n: " ".join(x for _ in range(n) for x in ([f"w{rng.randrange(3)}"] * rng.choice([1, 1, 30])))
+        items = [made(rng.randint(0, 25)) for _ in range(2)]
+        docs = [f"{made(8)} {rng.choice(items)} {made(8)}" for _ in range(2)]
+        got = [(set(), set()) for _ in docs]
+        for doc, start, end, item in decontaminate.BenchmarkIndex(["0", "1"], items).hits(words(*docs)):
+            got[doc][0].update(range(start, end))
+            got[doc][1].add(item)
+        for doc, found in zip(docs, got):
+            w, hit, listed = doc.split(), set(), set()
+            for k, item in enumerate(items):
+                v = item.split()
+                n = min(13, len(v))
+                windows = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else set()
+                for i in range(len(w) - n + 1):
+                    if tuple(w[i : i + n]) in windows:
+                        hit.update(range(i, i + n))
+                        listed.add(k)
+            assert found == (hit, listed)
+    began = time.process_time()
+    assert [h[1:3] for h in decontaminate.BenchmarkIndex(["0"], ["same " * 5_000]).hits(words("same " * 5_000))] == [(0, 5_000)]
+    assert time.process_time() - began < 2
