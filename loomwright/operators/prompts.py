@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwright.functions.answers import bytes_cut, validated
 from loomwright.functions.text import fence
+from loomwright.sources.tables import written
 
 #: Fixed values of the prompt's format: its budget in bytes, the mark of a cut, and what stands before the blocks and the question.
 BUDGET = 24_000
@@ -17,6 +22,10 @@ CUT_MARK = "\n[content truncated]"
 BEFORE_BLOCKS, BEFORE_QUESTION = "Context:\n", "\n\nQuestion: "
 
 
+#: Texts of a key that one task assigns to batches.
+SEGMENT = 100_000
+
+
 def block(n: Column, content: Column) -> Column:
     """A numbered block of context; its fence is longer than any in the content."""
     head = F.format_string("[%d] %s:%d-%d (%s, %s, %s)", n, "file", "start", "end", F.coalesce("symbol", F.lit("-")), "kind", "language")
@@ -68,27 +77,98 @@ def marker_problems(answers: DataFrame) -> DataFrame:
 
 def request_batches(texts: DataFrame, key: str, order: str, tokens: str, batch: int = 64, budget: int = 8_000) -> DataFrame:
     """texts with batch, from 0 within each key: in order, a text goes into the next batch when its own is full or would exceed the budget of tokens.
-
-    Texts without a key are in batches of their own. Where a batch ends depends on all before it, so that a task passes over its keys' rows in order and carries the open batch alone."""
-
-    def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, n, used, count = None, 0, 0, 0
-        for part in parts:
+    Texts without a key are in batches of their own.
+
+    Where a batch ends depends on all before it, but never on more than `batch` texts after its first. So a key's texts are cut into segments of SEGMENT,
+    each of which says for every place at which its first batch may begin where the first batch beyond it begins, and how many lie
+    between. Chained along the key, one small row for each segment, that tells where each segment's batches begin, and segments are then numbered by
+    themselves: a key of any size fills many tasks, which hold the open batch alone."""
+    if batch >= SEGMENT:
+        raise ValueError("a batch must be smaller than a segment")
+    hashed, tie, rng, idx, seg, entry, number = (name + "_" * sum(c.lower().startswith(name) for c in texts.columns) for name in ("_key", "_tie", "_range", "_idx", "_seg", "_entry", "_number"))
+    # Keys are told apart by their text: nulls are equal to each other there.
+    text = F.concat_ws(":", F.col(key).isNull().cast("string"), F.col(key).cast("string"))
+    keyed = texts.withColumns({hashed: text, tie: F.monotonically_increasing_id()})
+    ranged = written(keyed.repartitionByRange(hashed, order, tie).withColumn(rng, F.spark_partition_id()), "batches")
+    held = ranged.groupBy(hashed, rng).agg(F.count("*").alias("n"))
+    before = held.select(hashed, rng, F.coalesce(F.sum("n").over(Window.partitionBy(hashed).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(hashed, rng).orderBy(order, tie)) - 1
+    rows = ranged.withColumn(idx, inside).join(before, [hashed, rng]).withColumn(idx, F.col(idx) + F.col("before")).drop("before", rng, tie).withColumn(seg, F.floor(F.col(idx) / SEGMENT))
+    ahead = F.when((F.col(idx) % SEGMENT < batch) & (F.col(seg) > 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    costs = rows.select(F.col(hashed).alias("k"), F.col(seg).alias("s"), F.col(idx).alias("i"), F.col(tokens).alias("cost"), F.explode(ahead).alias("ahead")).withColumn("s", F.col("s") - F.col("ahead"))
+    costs = costs.repartition("k", "s").sortWithinPartitions("k", "s", "i").select("k", "s", "cost", (F.col("ahead") == 0).alias("own"))
+    maps = costs.mapInPandas(lambda parts: _maps(parts, batch, budget), "k string, s long, exits array<long>, counts array<long>")
+    begins = maps.repartition("k").sortWithinPartitions("k", "s").mapInPandas(_begins, "k string, s long, entry long, number long")
+    heads = begins.select(F.col("k").alias(hashed), F.col("s").alias(seg), F.lit(-1).cast("long").alias(idx), F.col("entry").alias(entry), F.col("number").alias(number))
+    both = rows.unionByName(heads, allowMissingColumns=True).repartition(hashed, seg).sortWithinPartitions(hashed, seg, idx)
+
+    names = [*texts.columns, "batch"]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, skip, used, count = 0, 0, 0, 0
+        for part in batches:
             out = []
-            for k, cost in zip(part[hashed], part[tokens], strict=True):
-                if k != at:
-                    at, n, used, count = k, 0, 0, 0
-                elif count >= batch or used + cost > budget:
-                    n, used, count = n + 1, 0, 0
-                used, count = used + cost, count + 1
+            for place, begin, first, cost in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in (idx, entry, number, tokens)), strict=True):
+                if place < 0:
+                    n, skip, used, count = first - 1, begin, 0, batch
+                elif skip:
+                    skip -= 1
+                else:
+                    if count >= batch or used + cost > budget:
+                        n, used, count = n + 1, 0, 0
+                    used, count = used + cost, count + 1
                 out.append(n)
-            yield part[[c for c in part.columns if c != hashed]].assign(batch=out)
-
-    # Batches are told apart by the key's text: nulls are equal to each other there.
-    hashed = "_key" + "_" * sum(c.lower().startswith("_key") for c in texts.columns)
-    text = F.concat_ws(":", F.col(key).isNull().cast("string"), F.col(key).cast("string"))
-    dealt = texts.withColumn(hashed, text).repartition(F.col(hashed)).sortWithinPartitions(hashed, order)
-    return dealt.mapInPandas(number, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in texts.schema)}, batch long")
+            columns = [part.column(part.schema.get_field_index(c)) for c in names[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.int64())], names=names).filter(pc.greater_equal(part.column(part.schema.get_field_index(idx)), 0))
+
+    return both.mapInArrow(put, T.StructType([*texts.schema.fields, T.StructField("batch", T.LongType())]))
+
+
+def _maps(parts: Iterator[pd.DataFrame], batch: int, budget: int) -> Iterator[pd.DataFrame]:
+    """A row for each segment: for each place, up to batch, at which its first batch may begin, the place in the next segment at which
+    a batch begins first, and the batches that begin before. The rows that are not a segment's own are the next one's first."""
+    for k, s, part in _segments(parts):
+        n, cost = int(part["own"].sum()), part["cost"].to_numpy()
+        sums = np.concatenate([[0], np.cumsum(cost)])
+        after = np.searchsorted(sums, sums[:n] + budget, "right") - 1
+        after = np.maximum(np.arange(n) + 1, np.minimum(after, np.minimum(np.arange(n) + batch, len(cost)))).tolist()
+        exits, counts = [0] * n, [1] * n
+        for i in range(n - 1, -1, -1):
+            j = after[i]
+            if j >= n:
+                exits[i] = j - n
+            else:
+                exits[i], counts[i] = exits[j], counts[j] + 1
+        # A batch of the segment before may hold all of a short last one.
+        most = min(n, batch)
+        yield pd.DataFrame({"k": [k], "s": [s], "exits": [exits[:most] + [0] * (batch + 1 - most)], "counts": [counts[:most] + [0] * (batch + 1 - most)]})
+
+
+def _segments(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, pd.DataFrame]]:
+    """Each segment's rows together; a segment is bounded."""
+    now, held = None, []
+    for part in parts:
+        for name, some in part.groupby(["k", "s"], sort=False):
+            if name != now and held:
+                yield *now, pd.concat(held)
+                held = []
+            now = name
+            held.append(some)
+    if held:
+        yield *now, pd.concat(held)
+
+
+def _begins(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where the first batch of each segment begins, and its number."""
+    key, entry, number = None, 0, 0
+    for part in parts:
+        out = []
+        for k, s, exits, counts in zip(part["k"], part["s"], part["exits"], part["counts"], strict=True):
+            if k != key:
+                key, entry, number = k, 0, 0
+            out.append((k, s, entry, number))
+            entry, number = int(exits[entry]), number + int(counts[entry])
+        yield pd.DataFrame(out, columns=["k", "s", "entry", "number"])
 
 
 def preflight(texts: DataFrame, remaining: int, batch: int = 64, reserve: int = 0) -> DataFrame:

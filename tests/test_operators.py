@@ -666,3 +666,21 @@ def test_a_tree_is_listed_in_the_order_of_a_walk(spark, tmp_path):
     assert [r.path for r in rows] == want and {r.kind for r in rows} == {"file", "symlink", "ignored_dir"}
     first = {r.path for r in files.scan(spark, str(tmp_path), max_files=3).filter("skip_reason IS NULL").collect()}
     assert first == {p for p in want if p.endswith((".py", ".md"))} & set([p for p in want if p.endswith((".py", ".md"))][:3])
+
+
+@pytest.mark.parametrize("segment", [5, 12, 100_000])
+def test_batches_of_large_keys(spark, monkeypatch, segment):
+    """Whatever the segments, batches are those of one pass over each key's texts."""
+    monkeypatch.setattr(prompts, "SEGMENT", segment)
+    rng = random.Random(segment)
+    rows = [(key, (1 << 60) + k, rng.choice([0, 1, 3, 9, 40])) for key, n in (("a", 150), (None, 37), ("b", 1), ("c", 24)) for k in range(n)]
+    df = spark.createDataFrame(rows, "who string, id long, cost int").repartition(7)
+    got = {(r.who, r.id): r.batch for r in prompts.request_batches(df, "who", "id", "cost", 4, 20).collect()}
+    want, state = {}, {}
+    for who, k, cost in rows:
+        n, used, count = state.get(who, (0, 0, 0))
+        if count and (count >= 4 or used + cost > 20):
+            n, used, count = n + 1, 0, 0
+        state[who] = (n, used + cost, count + 1)
+        want[who, k] = n
+    assert got == want
