@@ -78,6 +78,54 @@ def requeue_stale(jobs: DataFrame, now: Column, stale_seconds: int = STALE_SECON
     return jobs.withColumns({"stale": stale, "status": status})
 
 
+def requeue_counts(jobs: DataFrame) -> DataFrame:
+    """(requeued, failed) of requeue_stale(): what it did with silent jobs."""
+    return jobs.agg(F.count_if(F.col("stale") & (F.col("status") == "queued")).alias("requeued"), F.count_if(F.col("stale") & (F.col("status") == "failed")).alias("failed"))
+
+
+_LIVE = "key long, status string, attempts long, progress double, first_ts timestamp, last_ts timestamp, stale boolean"
+#: Of a job: the status and when it was told (microseconds, id), claims less releases, the progress and when it was told, the first and the last event.
+_HELD = "status string, status_at long, status_id long, claims long, progress double, progress_at long, progress_id long, first long, last long"
+
+
+def live_jobs(events: DataFrame, key: str, ts: str, order: str, kind: str, value: str, stale_seconds: int = STALE_SECONDS, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """job_states of a stream of events, in update mode: a row (key, status, attempts, progress, first_ts, last_ts, stale) whenever a job changes.
+
+    Each running job has a timer. One that nothing is heard of for stale_seconds is queued again, or fails after too many attempts, by the timer alone; its
+    row is stale. Events may come in any order: the latest by (ts, order) decides. Jobs without a key are one job."""
+    told = events.select(F.col(key).cast("long").alias("key"), _micros(ts).alias("at"), F.col(order).cast("long").alias("id"), F.col(kind).alias("kind"), F.col(value).cast("double").alias("value"))
+    after = {"queued": "queued", "claimed": "running", "progress": "running", "failed": "failed", "released": "queued", "succeeded": "succeeded"}
+    names = [x.split()[0] for x in _HELD.split(", ")]
+
+    def row(who: object, held: dict, stale: bool) -> pd.DataFrame:
+        stamp = lambda micros: pd.Timestamp(micros, unit="us")
+        return pd.DataFrame({"key": pd.array([who], "Int64"), "status": [held["status"]], "attempts": [max(held["claims"], 0)], "progress": [held["progress"]], "first_ts": [stamp(held["first"])], "last_ts": [stamp(held["last"])], "stale": [stale]})
+
+    def follow(who: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        none = who[0] is None or pd.isna(who[0])
+        held = dict(zip(names, state.get, strict=True)) if state.exists else dict.fromkeys(names)
+        if state.hasTimedOut:
+            held["status"] = "failed" if max(held["claims"], 0) >= max_attempts else "queued"
+            state.update(tuple(held[c] for c in names))
+            yield row(None if none else int(who[0]), held, True)
+            return
+        held["claims"] = held["claims"] or 0
+        for part in parts:
+            for at, n, what, number in zip(part["at"].tolist(), part["id"].tolist(), part["kind"], part["value"].tolist(), strict=True):
+                if held["status_at"] is None or (at, n) >= (held["status_at"], held["status_id"]):
+                    held |= {"status": after.get(what), "status_at": at, "status_id": n}
+                held["claims"] += (what == "claimed") - (what == "released")
+                if what == "progress" and number == number and (held["progress_at"] is None or (at, n) >= (held["progress_at"], held["progress_id"])):
+                    held |= {"progress": number, "progress_at": at, "progress_id": n}
+                held |= {"first": at if held["first"] is None else min(at, held["first"]), "last": at if held["last"] is None else max(at, held["last"])}
+        state.update(tuple(held[c] for c in names))
+        if held["status"] == "running":
+            state.setTimeoutDuration(stale_seconds * 1_000)
+        yield row(None if none else int(who[0]), held, False)
+
+    return told.groupBy("key").applyInPandasWithState(follow, _LIVE, _HELD, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def in_trailing(events: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
     """events with in_window: how many of the key's events lie in the seconds up to each, itself and those of its instant included; an event exactly that old no longer counts.
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -684,3 +685,38 @@ def test_batches_of_large_keys(spark, monkeypatch, segment):
         state[who] = (n, used + cost, count + 1)
         want[who, k] = n
     assert got == want
+
+
+def test_jobs_live(spark, tmp_path):
+    """A drained stream gives the states of the batch; a job that falls silent is queued by its timer alone, or fails after its last attempt."""
+    kinds = ["queued", "claimed", "progress", "failed", "released", "succeeded"]
+    rng = random.Random(12)
+    rows = [(rng.randrange(12), k, rng.randrange(1000), rng.choice(kinds), rng.choice([None, float(k)])) for k in range(150)]
+    rows += [(50, 1000, 1, "claimed", None), *((51, 1001 + k, k, "claimed", None) for k in range(3)), (52, 1010, 1, "succeeded", None)]
+    df = spark.createDataFrame(rows, "job long, id long, at long, kind string, value double").withColumn("ts", F.timestamp_seconds("at"))
+    for part in (df.filter("id % 2 = 0"), df.filter("id % 2 = 1")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen = {}
+
+    def keep(batch, _):
+        for r in batch.collect():
+            seen.setdefault(r.key, []).append(r)
+
+    events = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    live = jobs.live_jobs(events, "job", "ts", "id", "kind", "value", stale_seconds=3)
+    query = live.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/check").trigger(processingTime="500 milliseconds").start()
+    try:
+        # A stream with timers never falls idle, so that it is watched.
+        want = {r.job: (r.status, r.attempts, r.progress, r.first_ts, r.last_ts) for r in jobs.job_states(df, "job", "ts", "id", "kind", "value").collect()}
+        running, until = {k for k, v in want.items() if v[0] == "running"}, time.time() + 90
+        while (set(seen) != set(want) or any(not seen[k][-1].stale for k in running)) and query.isActive and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    fresh = {k: next(r for r in reversed(v) if not r.stale) for k, v in seen.items()}
+    assert {k: (r.status, r.attempts, r.progress, r.first_ts, r.last_ts) for k, r in fresh.items()} == want
+    assert {k for k, v in seen.items() if v[-1].stale} == running
+    assert seen[50][-1].status == "queued" and seen[51][-1].status == "failed" and not seen[52][-1].stale
+    batch = jobs.requeue_stale(jobs.job_states(df, "job", "ts", "id", "kind", "value"), F.timestamp_seconds(F.lit(10_000)))
+    told = jobs.requeue_counts(batch).first()
+    assert (told.requeued, told.failed) == (sum(seen[k][-1].status == "queued" for k in running), sum(seen[k][-1].status == "failed" for k in running))
