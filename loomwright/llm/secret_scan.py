@@ -35,7 +35,6 @@ from loomwright.llm.common import pieces, refuse, unused, utf8
 KINDS, TAGGED = ("assign", "access", "hex"), "tagged"
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 DIGITS = re.compile(r"[0-9]+")
 TOKEN = re.compile(r"[\w+/~-]+(?:\.[\w+/~-]+)*|[^\w\s]")
 #: Words that go with secrets, in small letters.
@@ -123,7 +122,7 @@ def pattern_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-#: A match of HEX of 24 or more begins where none of its letters stands before it.
+#: A run of hexadecimal digits, from its first one.
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 
