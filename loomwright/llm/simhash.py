@@ -5,11 +5,12 @@ its 64 one-bit variants; those that meet on a variant are linked. A variant can
 group is large however often a text is copied. Within a group neighbours in order are linked, which connects the same
 fingerprints as all pairs would, since any two that meet on a variant are within the radius.
 
-``keep_first`` takes texts as near-duplicates whose sets of five-word shingles have a Jaccard similarity of LIKE = 0.8 or more. Such texts
-differ in too many of 64 bits for one ball. Its fingerprints are of the sets of words, of 128 bits in four parts; a pair within 11 bits
-has a part within RADIUS of each other, so each part emits its own ball of half that radius. What meets is verified: by the bits of all parts,
-then exactly by the shingles. In a group each member is held against the first one and the three before it, so that a group of
-any size makes few pairs; with near copies in one group of their first text and of each other, that finds 0.9 of them or more (README).
+``keep_first`` takes texts as near-duplicates whose sets of five-word shingles have a Jaccard similarity of LIKE = 0.8 or more, and loses no such pair.
+
+- Fingerprints of 128 bits in four parts, of the sets of words, come first: each part emits its own ball of half of RADIUS. In a group each member is held
+  against the first one and the three before it, so that families of any size are linked in linear time; links are verified by the shingles.
+- What they leave open is met exactly: the first shingles of texts in different components (prefix filter), then the shingles themselves. Texts of one component make no
+  pair. Two large families that share shingles and are not alike do meet in all pairs.
 
 Defined results
 - Null and empty texts have fingerprint zero and link like any other. Equal texts have equal fingerprints, so copies
@@ -37,9 +38,13 @@ from loomwright.llm.common import checkpointed, pieces, refuse, saved, spread_jo
 SHINGLE, SEED = 3, 42
 #: Bits in which linked fingerprints may differ.
 RADIUS = 2
-#: Near-duplicates for keep_first: words in a shingle, least similarity, bits of all parts in which a pair may differ, members of a group before each one that it is held against.
-LIKE_SHINGLE, LIKE, LIKE_BITS, LIKE_BEFORE = 5, 0.8, 26, 3
+#: Near-duplicates for keep_first: words in a shingle, and the least similarity as a fraction.
+LIKE_SHINGLE, LIKE = 5, (4, 5)
+#: What the fingerprints try first: bits of all parts in which a pair may differ, members of a group before each one that it is held against.
+LIKE_BITS, LIKE_BEFORE = 26, 3
 PARTS, PART_BITS = 4, 32
+#: Which of so many texts are counted for the order of shingles; one in more of them than FREQUENT comes last; those that do, at most (8 bytes each are broadcast).
+COUNTED, FREQUENT, FREQUENT_KEYS = 16, 50, 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -146,9 +151,12 @@ def word_print(words: list[bytes]) -> tuple[bytes, list[int]]:
 
 def shingles(words: list[bytes], size: int = LIKE_SHINGLE) -> np.ndarray:
     """The hashes of the set of shingles, in order."""
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    n = max(1, len(words) - size + 1)
+    begin, end = [0, *(ends[: n - 1] + 1).tolist()], ends[len(words) - n :].tolist() or [0]
     digest = xxhash.xxh64_intdigest
-    found = {digest(b" ".join(words[k : k + size]), SEED) for k in range(max(1, len(words) - size + 1))}
-    return np.sort(np.fromiter(found, np.uint64, len(found))).view(np.int64)
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(begin, end, strict=True)), np.uint64, n)).view(np.int64)
 
 
 def _each(df: DataFrame, text: str, kinds: list[tuple[str, T.DataType]], value: Callable[[list[bytes]], tuple]) -> DataFrame:
@@ -188,8 +196,60 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     sets = saved(_each(texts.join(wanted, "k", "left_semi").select("k", "text"), "text", [("s", T.ArrayType(T.LongType()))], lambda words: (shingles(words),)), "simhash-shingles")
     met = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return met.filter(both >= LIKE * (F.size("x") + F.size("y") - both)).select("a", "b")
+    p, q = LIKE
+    return met.filter((p + q) * F.size(F.array_intersect("x", "y")) >= p * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def first_shingles(texts: DataFrame, last: np.ndarray | None = None) -> DataFrame:
+    """(s, k, root, n) of texts (k, root, text): of its n shingles those of which a text that is alike must have one (all but LIKE of them, and one more), in
+    the order of their hashes, but those of last at the end; without last every one."""
+    p, q = LIKE
+    late = None if last is None else texts.sparkSession.sparkContext.broadcast(last)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            data, bounds = utf8(batch.column("text"))
+            raw, found, sizes = data.tobytes(), [np.zeros(0, np.int64)], []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                s = shingles(raw[a:b].lower().split())
+                sizes.append(len(s))
+                if late is not None:
+                    moved = np.isin(s, late.value)
+                    s = np.concatenate([s[~moved], s[moved]])[: len(s) + p * len(s) // -q + 1]
+                found.append(s)
+            lengths = [len(s) for s in found[1:]]
+            of = pa.array(np.repeat(np.arange(len(lengths)), lengths))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column("k").take(of), batch.column("root").take(of), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["s", "k", "root", "n"])
+
+    return texts.select("k", "root", "text").mapInArrow(scan, "s long, k long, root long, n int")
+
+
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """Shingles that come last in the order, so that a passage of very many texts makes no groups of them. No result depends on the order: some texts are counted alone."""
+    counted = first_shingles(texts.filter(F.pmod(F.xxhash64("k"), F.lit(COUNTED)) == 0)).groupBy("s").agg(F.count("*").alias("m")).filter(F.col("m") > FREQUENT)
+    most = saved(counted, "simhash-frequent").orderBy(F.desc("m"), "s").limit(FREQUENT_KEYS)
+    return np.sort(most.toArrow().column("s").to_numpy())
+
+
+def open_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b) of texts (k, root, text): those of different roots that may be alike; no other two of different roots are.
+
+    Two sets that are alike share one of their first shingles (prefix filter), and so many of them that what comes after the first ones of either set can make
+    up the rest. A shingle in texts of one root makes no pair; in others the texts of the commonest root are held against the rest alone.
+    """
+    group = Window.partitionBy("s")
+    rows = first_shingles(texts, frequent_shingles(texts)).withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)})
+    mixed = saved(rows.filter(F.col("low") < F.col("high")).drop("low", "high"), "simhash-mixed")
+    mains = mixed.groupBy("s", "root").agg(F.count("*").alias("m")).groupBy("s").agg(F.max_by("root", "m").alias("main"))
+    left, right = (mixed.select("s", *[F.col(c).alias(f"{side}{c}") for c in ("k", "root", "n")]) for side in ("l_", "r_"))
+    left = left.join(mains, "s").filter(F.col("l_root") != F.col("main"))
+    p, q = LIKE
+    once = (F.col("r_root") == F.col("main")) | (F.col("l_k") < F.col("r_k"))
+    sizes = q * F.least("l_n", "r_n") >= p * F.greatest("l_n", "r_n")
+    met = left.join(right, "s").filter((F.col("l_root") != F.col("r_root")) & once & sizes)
+    met = met.groupBy(F.least("l_k", "r_k").alias("a"), F.greatest("l_k", "r_k").alias("b")).agg(F.count("*").alias("both"), F.min(F.least("l_n", "r_n")).alias("n"), F.max(F.greatest("l_n", "r_n")).alias("m"))
+    most = F.col("both") + F.ceil(p * F.col("m") / q) - 1
+    return saved(met.filter((p + q) * most >= p * (F.col("n") + F.col("m"))).select("a", "b"), "simhash-open")
 
 
 def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -201,7 +261,11 @@ def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     # Equal texts collapse; the first row stands for them.
     prints = checkpointed(rows.groupBy("name").agg(F.min("row").alias("first"), F.min("k").alias("k"), F.first("parts").alias("parts")))
     pairs = saved(candidates(prints.select("k", "parts")), "simhash-candidates")
-    roots = components(verified(pairs, plain.select("k", "text")))
+    roots = checkpointed(components(verified(pairs, plain.select("k", "text"))))
+    named = prints.join(roots, prints["k"] == roots["node"], "left").select("k", F.coalesce("root", "k").alias("root"))
+    rest = saved(verified(open_pairs(plain.select("k", "text").join(named, "k")), plain.select("k", "text")), "simhash-rest")
+    if not rest.isEmpty():
+        roots = components(roots.filter("node > root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
     first = prints.join(roots, prints["k"] == roots["node"], "left").groupBy(F.coalesce("root", "k")).agg(F.min("first").alias("first"))
     kept = first.select(F.col("first.k").alias(held))
     return table.join(kept, table[key] == kept[held], "left_semi").select(*df.columns)

@@ -156,6 +156,37 @@ def test_near_copies_are_removed_and_others_stay(spark):
     check_kept(Counter((r.doc_id, r.text) for r in simhash.keep_first(fixtures.documents(spark, rows).repartition(4)).collect()), rows)
 
 
+def test_a_group_of_one_fingerprint_loses_no_link(spark):
+    """Texts of the same words in other orders share all fingerprints; the one near copy among them lies beyond the members that each is held against."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    orders = [rng.sample(words, 60) for _ in range(9)]
+    near = [*orders[1][:-2], orders[1][-1], orders[1][-2]]
+    rows = [(k, " ".join(w), "en", "s0", 1) for k, w in enumerate([*orders, near])]
+    want = brute_like(rows)
+    assert sum(want.values()) == 9
+    assert Counter((r.doc_id, r.text) for r in simhash.keep_first(fixtures.documents(spark, rows).coalesce(1)).collect()) == want
+
+
+@pytest.mark.parametrize("frequent", [None, 1, 9])
+def test_near_copies_are_removed_as_by_brute_force(spark, monkeypatch, frequent):
+    """Families of near copies, a passage of many texts, lines added to short texts: every link counts, in any order of the shingles."""
+    if frequent:
+        monkeypatch.setattr(simhash, "COUNTED", 1)
+        monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    rng = random.Random(13)
+    passage, rows = fixtures.words(rng, 40, 5000), fixtures.rows()
+    for k in range(30):
+        words = fixtures.words(rng, rng.randint(20, 120), 5000).split()
+        rows.append((1000 + len(rows), " ".join(words) + (f" {passage}" if k % 2 else ""), "en", "s0", 1))
+        for _ in range(k % 5):
+            near = list(words)
+            near[rng.randrange(len(near))] = f"x{rng.randrange(5000)}"
+            rows.append((1000 + len(rows), " ".join(near) + (f" {passage}" if k % 2 else ""), "en", "s0", 1))
+    got = simhash.keep_first(fixtures.documents(spark, rows).repartition(4))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == brute_like(rows)
+
+
 def test_simhash_components(spark):
     rng = random.Random(4)
     rows = fixtures.rows() + [(100 + k, " ".join(fixtures.rows()[9][1].split()[: -k or None]), "en", "s0", 1) for k in range(8)]
