@@ -4,10 +4,11 @@ A line is the set of its words. Two lines match if the Jaccard similarity of the
 if a line before it, anywhere in the corpus, matches it; before means: the lesser doc_id, then the earlier line.
 
 - Lines with equal sets collapse first; each set stands where it occurs first. Its later occurrences are removed.
-- The words of each set are ordered from rare to frequent, by counts over all documents folded into BUCKETS counters. Matching sets
-  share one of their first words (prefix filter). Only pairs that can still reach the similarity, by their sizes, by the
-  places of the shared word (length and positional filters) and by 128-bit signatures, are compared, on the words themselves.
-- First each set meets one set alone: of the earliest and the last before it in its word groups, the likeliest to match.
+- The words of each set are ordered from rare to frequent, by counts over all documents folded into BUCKETS counters. Of matching sets,
+  the larger one has among its first words (prefix) one of the fewer first words (short prefix) of the smaller one. Only pairs that can
+  still reach the similarity, by their sizes (length filter) and by signatures of 64 bits, or 128 if both are large, are compared, on
+  the words themselves.
+- First each set of crowded words meets one set alone: of the earliest and the last before it in their groups, the likeliest to match.
   That settles families of many variants of a line in linear time. The sets that this leaves open meet all earlier sets.
 
 Defined results
@@ -30,6 +31,10 @@ from loomwright.llm.common import let, saved, unused, words_of
 #: Least Jaccard similarity of matching lines, as a fraction.
 SIMILAR = (4, 5)
 BUCKETS = 1 << 18
+#: Rarity of words whose groups are crowded (the count of their counter is 255 or more).
+CROWDED = 32
+#: Sets of more words have signatures of 128 bits, which too few differences of 64 bits would not tell apart.
+LARGE = 96
 #: Candidate lines whose places are broadcast, at most (about 60 bytes each); beyond that their texts are joined by a shuffle.
 BROADCAST_LINES = 500_000
 
@@ -40,15 +45,13 @@ def line_words(line: Column) -> Column:
 
 def _words(line: Column) -> Column:
     """Lines whose words are parted by single spaces, as most are, take the faster way."""
-    odd = line.startswith(" ") | line.endswith(" ") | (line == "")
-    for mark in ("  ", "\t", "\x0b", "\f", "\r", "\n"):
-        odd = odd | F.contains(line, F.lit(mark))
+    odd = line.startswith(" ") | line.endswith(" ") | (line == "") | F.contains(line, F.lit("  ")) | line.rlike(r"[\x09-\x0D]")
     return F.when(odd, words_of(line)).otherwise(F.split(line, " "))
 
 
 def eligible(line: Column) -> Column:
-    """One word at least."""
-    return line.rlike(r"[^\x20\x09-\x0D]")
+    """One word at least; most lines begin with one."""
+    return (line >= "!") | line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def _documents(df: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -62,44 +65,46 @@ def _rarity(documents: DataFrame) -> Column:
 
     The array is a scalar subquery, so that no plan spells it out."""
     words = documents.select(F.explode(F.split(F.replace("t", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    buckets = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
+    buckets = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
     every = documents.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     step = F.least(F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0)))), F.lit(126)).cast("byte")
     counts = every.join(buckets, "b", "left").select(F.struct("b", step.alias("c")).alias("x"))
     return counts.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["c"]).alias("c")).scalar()
 
 
-def _bucket(word: Column) -> Column:
-    """A word's counter."""
-    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
+def _bucket(hashed: Column) -> Column:
+    """The counter of a word, by its hash."""
+    return hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def _ordered(words: Column, counts: Column) -> Column:
     """The set of the words, from rare to frequent: for each its rarity in the upper byte, and 56 bits of its hash."""
-    rarity = lambda w: F.coalesce(F.get(counts, _bucket(w)).cast("long"), F.lit(0).cast("long"))
-    return F.array_distinct(F.sort_array(F.transform(words, lambda w: F.shiftleft(rarity(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8)))))
+    rarity = lambda x: F.coalesce(F.get(counts, _bucket(x)), F.lit(0).cast("byte")).cast("long")
+    key = lambda x: F.shiftleft(rarity(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+    return F.array_distinct(F.sort_array(F.transform(F.transform(words, lambda w: F.xxhash64(w)), key)))
 
 
 def _prefix(ordered: Column) -> Column:
-    """The rarest words of a set, by 32 bits, of which a matching set must have one: all but SIMILAR of them, and one more."""
+    """The rarest words of a set, by 31 bits and a sign (negative: crowded), of which a matching set must have one: all but SIMILAR of them, and one more."""
     p, q = SIMILAR
     size = F.size(ordered)
-    return F.transform(F.slice(ordered, F.lit(1), size - F.ceil(size * p / q).cast("int") + 1), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"))
+    sign = lambda x: F.when(x >= F.lit(CROWDED << 56), F.lit(1 << 31)).otherwise(F.lit(0).cast("long"))
+    return F.transform(F.slice(ordered, F.lit(1), size - F.ceil(size * p / q).cast("int") + 1), lambda x: (x.bitwiseAND(F.lit((1 << 31) - 1)) - sign(x)).cast("int"))
 
 
 def _signature(ordered: Column) -> tuple[Column, Column]:
-    """128 bits, each flipped by the words that fall on it: two sets differ in as many words at least as their signatures in bits."""
-
-    def half(mine: Callable[[Column], Column]) -> Column:
-        # A shift takes the last six bits of its distance alone.
-        bit = lambda x: F.call_function("shiftleft", mine(F.shiftrightunsigned(x, 46).bitwiseAND(F.lit(1))), F.shiftrightunsigned(x, 40).cast("int"))
-        return F.aggregate(ordered, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
-
-    return half(lambda b: b), half(lambda b: b.bitwiseXOR(F.lit(1)))
+    """64 bits, each flipped by the words that fall on it: two sets differ in as many words at least as their signatures in bits. For a LARGE set,
+    also those bits as half of the words flip them, which with the other half make 128 bits."""
+    # A shift takes the last six bits of its distance alone.
+    flip = lambda one, x: F.call_function("shiftleft", one, F.shiftrightunsigned(x, 40).cast("int"))
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    bits = F.aggregate(ordered, none, lambda s, x: s.bitwiseXOR(flip(one, x)))
+    half = F.aggregate(ordered, none, lambda s, x: s.bitwiseXOR(flip(F.shiftrightunsigned(x, 46).bitwiseAND(one), x)))
+    return bits, F.when(F.size(ordered) > LARGE, half).otherwise(none)
 
 
 def line_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The distinct sets of the eligible lines, where each occurs first: s (rising from first to last), id, h, line, n, bits_a and bits_b (the signature), prefix.
+    """The distinct sets of the eligible lines, where each occurs first: s (rising from first to last), id, h, line, n, bits and half (the signature), prefix.
 
     Hashes stand for the words; two 64-bit hashes of all its words in order name a set.
     """
@@ -107,25 +112,22 @@ def line_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     # Lines become rows before their words are looked at, so that sorting and hashing sets is compiled code.
     lines = documents.select("id", "h", F.posexplode(F.split("t", "\n", -1)).alias("line", "l")).filter(eligible(F.col("l")))
     lines = lines.withColumn("counts", _rarity(documents)).select("id", "h", "line", _ordered(_words(F.col("l")), F.col("counts")).alias("w"))
-    a, b = _signature(F.col("w"))
-    first = F.struct(F.col("id").isNull().alias("none"), "id", "h", "line", F.size("w").alias("n"), a.alias("bits_a"), b.alias("bits_b"), _prefix(F.col("w")).alias("prefix"))
+    bits, half = _signature(F.col("w"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "h", "line", F.size("w").alias("n"), bits.alias("bits"), half.alias("half"), _prefix(F.col("w")).alias("prefix"))
     sets = lines.select(F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), "w").alias("b"), first.alias("first")).groupBy("a", "b").agg(F.min("first").alias("first")).select("first.*")
-    sets = sets.orderBy("none", "id", "h", "line").select(F.monotonically_increasing_id().alias("s"), "id", "h", "line", "n", "bits_a", "bits_b", "prefix")
+    sets = sets.orderBy("none", "id", "h", "line").select(F.monotonically_increasing_id().alias("s"), "id", "h", "line", "n", "bits", "half", "prefix")
     return saved(sets, "lines")
 
 
 def _may_match(a: str, b: str) -> Column:
-    """Of two sets at a shared word (what stands before the names n, bits_a, bits_b and at of their columns): length filter; positional filter, the words after it
-    must still allow the overlap; and no more differences in the signatures than the sets may have."""
+    """Of two sets (what stands before the names n, bits and half of their columns): no more differences in the signatures than they may have, and length filter."""
     p, q = SIMILAR
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    length = q * F.least(n, m) >= p * F.greatest(n, m)
-    place = (p + q) * F.least(n - F.col(f"{a}at"), m - F.col(f"{b}at")) >= p * (n + m)
-    return length & place & ((p + q) * _differences(a, b) <= (q - p) * (n + m))
-
-
-def _differences(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}bits_a").bitwiseXOR(F.col(f"{b}bits_a"))) + F.bit_count(F.col(f"{a}bits_b").bitwiseXOR(F.col(f"{b}bits_b")))
+    few = lambda bits: (p + q) * bits <= (q - p) * (n + m)
+    differ, half = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("bits", "half"))
+    both = few(F.bit_count(half) + F.bit_count(half.bitwiseXOR(differ)))
+    # What rejects most comes first.
+    return few(F.bit_count(differ)) & (q * F.least(n, m) >= p * F.greatest(n, m)) & ((F.least(n, m) <= LARGE) | both)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -148,29 +150,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, text: str, doc_i
 def matched_sets(df: DataFrame, sets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """s of each set that an earlier set matches."""
 
-    fields = ("s", "n", "bits_a", "bits_b", "at")
-
-    def by_word(of: DataFrame, *more: str) -> DataFrame:
-        return of.select("s", "n", "bits_a", "bits_b", *more, F.posexplode("prefix").alias("at", "word"))
-
+    fields = ("s", "n", "bits", "half")
     p, q = SIMILAR
     # A smaller set matches its equals alone, which have collapsed: one word more is too much for it.
     sets = sets.filter((q - p) * F.col("n") >= p)
-    # Each set first meets one other: of the earliest and the last before it in its word groups, the one whose signature is nearest.
+    # The short prefix: before its first word in common with a set that is not smaller, a set may miss no more words than these.
+    short = F.slice("prefix", F.lit(1), F.floor((q - p) * F.col("n") / (p + q)).cast("int") + 1)
+    # By its crowded words, each set first meets one other: of the earliest and the last before it in their groups, the one whose signature is nearest.
+    # The groups of other words are small, so that all their pairs are few for each row.
     group = Window.partitionBy("word").orderBy("s")
     earliest = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = by_word(sets).select(*fields, *[F.first(c).over(earliest).alias(f"first_{c}") for c in fields], *[F.lag(c).over(group).alias(f"last_{c}") for c in fields])
-    near = [F.when((F.col("s") > F.col(f"{e}s")) & _may_match("", e), F.struct(_differences("", e).alias("d"), F.col(f"{e}s").alias("b"))) for e in ("last_", "first_")]
+    met = sets.select(*fields, F.explode(short).alias("word")).filter(F.col("word") < 0).select(*fields, *[F.first(c).over(earliest).alias(f"first_{c}") for c in fields], *[F.lag(c).over(group).alias(f"last_{c}") for c in fields])
+    differ = lambda e: F.bit_count(F.col("bits").bitwiseXOR(F.col(f"{e}bits")))
+    near = [F.when((F.col("s") > F.col(f"{e}s")) & _may_match("", e), F.struct(differ(e).alias("d"), F.col(f"{e}s").alias("b"))) for e in ("last_", "first_")]
     met = met.select(F.col("s").alias("a"), F.least(*near).alias("near")).filter(F.col("near").isNotNull())
     nearest = met.groupBy("a").agg(F.min("near").alias("near")).select("a", "near.b")
     settled = saved(_verified(nearest, sets, df, text, doc_id), "settled")
     flagged = sets.join(settled.withColumn("open", F.lit(0)), "s", "left").withColumn("open", F.coalesce("open", F.lit(1)))
-    words = by_word(flagged, "open")
-    left, right = (words.select("word", *[F.col(c).alias(f"{side}{c}") for c in (*fields, "open")]) for side in ("l_", "r_"))
-    # Open sets alone look for matches. The test takes both sides, so that one shuffle of the words serves for both.
-    open_ = F.col("l_open") * F.col("r_n") > F.col("r_open")
-    pairs = left.join(right, "word").filter((F.col("r_s") < F.col("l_s")) & open_ & _may_match("l_", "r_"))
-    return settled.union(_verified(pairs.select(F.col("l_s").alias("a"), F.col("r_s").alias("b")), sets, df, text, doc_id))
+    large, small = (flagged.select(F.explode(words).alias("word"), *[F.col(c).alias(f"{side}{c}") for c in (*fields, "open")]) for side, words in (("l_", F.col("prefix")), ("r_", short)))
+    # Of equal sizes, the earlier one counts as the smaller. The later one of a pair looks for a match, if it is open.
+    smaller = (F.col("r_n") < F.col("l_n")) | ((F.col("r_n") == F.col("l_n")) & (F.col("r_s") < F.col("l_s")))
+    open_ = F.when(F.col("l_s") > F.col("r_s"), F.col("l_open")).otherwise(F.col("r_open")) == 1
+    pairs = large.join(small, "word").filter(_may_match("l_", "r_") & smaller & open_)
+    return settled.union(_verified(pairs.select(F.greatest("l_s", "r_s").alias("a"), F.least("l_s", "r_s").alias("b")), sets, df, text, doc_id))
 
 
 def kept_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -183,12 +185,12 @@ def kept_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 def line_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """For each row of df: its id, n_lines, and removed, the places of the lines that the deduplication removes."""
     lines = F.split("t", "\n", -1)
-    places = F.filter(F.transform(lines, lambda x, i: F.when(eligible(x), i)), lambda i: i.isNotNull())
-    rows = _documents(df, text, doc_id).select("id", "h", F.size(lines).alias("n_lines"), places.alias("places"))
+    places = F.transform(lines, lambda x, i: F.when(eligible(x), i))
+    rows = _documents(df, text, doc_id).select("id", "h", places.alias("places"))
     kept = kept_lines(df, text, doc_id).select(F.col("id").alias("i"), F.col("h").alias("g"), "kept")
     out = rows.join(kept, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
-    removed = F.when(F.col("kept").isNull(), F.col("places")).otherwise(F.array_except("places", "kept"))
-    return out.select(F.col("id").alias(doc_id), "n_lines", removed.alias("removed"))
+    removed = F.array_except(F.array_compact("places"), F.coalesce("kept", F.array().cast("array<int>")))
+    return out.select(F.col("id").alias(doc_id), F.size("places").alias("n_lines"), removed.alias("removed"))
 
 
 def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -65,6 +65,21 @@ def test_lines_are_removed_as_by_brute_force(spark):
     assert any(want.values())
 
 
+@pytest.mark.parametrize(("crowded", "large"), [(0, 6), (0, 10_000), (126, 6), (126, 0)])
+def test_lines_of_all_sizes_meet_by_short_prefixes(spark, monkeypatch, crowded, large):
+    monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(line_dedup, "LARGE", large)
+    random.seed(7)
+    rows = []
+    for k in range(60):
+        line = random.sample([f"w{i}" for i in range(120)], random.choice([4, 5, 6, 9, 10, 30, 80]))
+        near = [line[: len(line) - cut] + [f"x{k}-{i}" for i in range(new)] for cut, new in ((0, 1), (1, 0), (len(line) // 9, len(line) // 9), (len(line) // 5, 0), (0, len(line) // 4), (len(line) // 6, len(line) // 6))]
+        rows += [(random.randrange(10**9), " ".join(random.sample(x, len(x)))) for x in (line, *near)]
+    want = {i: removed for (i, _), removed in brute_lines(rows).items()}
+    got = {r.doc_id: r.removed for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 100 < sum(map(len, want.values())) < len(rows)
+
+
 def test_lines_of_repeated_ids_empty_and_clashing_tables(spark):
     df = fixtures.documents(spark).withColumns({"_h": F.lit(1), "s": F.lit(2), "w": F.lit(3), "_kept": F.lit(4)})
     out = line_dedup.dedup_lines(df)
